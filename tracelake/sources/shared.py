@@ -1,25 +1,24 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there to cut a lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) a new local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
-    return spark.sparkContext.getCheckpointDir()
+    return named or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tracelake-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder: later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df computed once, written to the shared folder and read again: later steps plan from a short lineage and known
+    sizes, and survive lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
