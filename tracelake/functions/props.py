@@ -37,17 +37,17 @@ def listed(prefix: str, values: Column) -> Column:
     return F.map_from_entries(F.when(F.size(values) > 0, items).otherwise(F.array(F.struct(path.alias("key"), F.lit("[]").alias("value")))))
 
 
-def _holds(key: Column, names: tuple[str, ...]) -> Column:
+def holds(key: Column, names: tuple[str, ...]) -> Column:
     return F.exists(F.split(key, "/"), lambda part: part.isin(*names))
 
 
 def has_any(of: Column, names: tuple[str, ...]) -> Column:
     """Whether a name stands anywhere in a path."""
-    return F.exists(F.map_keys(of), lambda k: _holds(k, names))
+    return F.exists(F.map_keys(of), lambda k: holds(k, names))
 
 
 def without(of: Column, names: tuple[str, ...]) -> Column:
-    return F.map_filter(of, lambda k, v: ~_holds(k, names))
+    return F.map_filter(of, lambda k, v: ~holds(k, names))
 
 
 def canonical(of: Column) -> Column:

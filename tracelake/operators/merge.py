@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracelake.schema import Graph
 
+#: Later than any stored batch.
+LAST_BATCH = 1 << 30
+
 
 def last_wins(records: DataFrame) -> DataFrame:
     """One row an id: the values of the record with the greatest `ord`, at the position of the least.
@@ -16,12 +19,13 @@ def last_wins(records: DataFrame) -> DataFrame:
     return merged.select(*[F.col("id") if c == "id" else F.col("first").alias("ord") if c == "ord" else F.col(f"row.{c}").alias(c) for c in records.columns])
 
 
-def merge(left: Graph, right: Graph) -> Graph:
-    """left and right as one graph; records of right replace those of left with the same id in their places."""
-    def batch(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn("ord", F.col("ord").withField("batch", F.lit(n)))
+def merge(left: Graph, right: Graph, batch: int = LAST_BATCH) -> Graph:
+    """left and right as one graph; records of right replace those of left with the same id in their places, new ones
+    follow, as batch number `batch`."""
+    def late(df: DataFrame) -> DataFrame:
+        return df.withColumn("ord", F.col("ord").withField("batch", F.lit(batch)))
 
-    return Graph(*(last_wins(batch(a, 0).unionByName(batch(b, 1))) for a, b in zip(left, right, strict=True)))
+    return Graph(*(last_wins(a.unionByName(late(b))) for a, b in zip(left, right, strict=True)))
 
 
 def concatenated(*graphs: Graph) -> Graph:
