@@ -103,6 +103,9 @@ class Bpe:
         self.pattern = pattern
 
     def prepare(self) -> None:
+        """Once a worker process: what cannot be sent, and the pre-tokens that it has met."""
+        if hasattr(self, "known"):
+            return
         self.split = regex.compile(self.pattern).findall
         self.bytes_of = {str(i): t for t, i in self.rank.items()}
         self.known: dict[str, str] = {}
