@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as tx
 from tracelake.functions.ids import stable_id
 from tracelake.functions.props import NOT_SHOWN, canonical, props, without
+from tracelake.handle import GraphHandle
 from tracelake.operators import ask, derive, merge, reach, validate
 from tracelake.operators.components import connected_components
 from tracelake.plans.job import build
@@ -174,6 +175,17 @@ def test_questions(spark, extracted):
         ask.traceability(g, asked, missing_ok=False)
 
 
+def test_handle(spark, extracted, tmp_path):
+    g = derive.derive(extracted[0])
+    store.write(g, str(tmp_path / "h"))
+    h = GraphHandle.from_store(spark, str(tmp_path / "h"), require_validation=True)
+    assert [r.id for r in h.list_requirements(capability="billing").collect()] == sorted(r.id for r in ask.requirements(g, capability="billing").collect())
+    assert h.list_services().count() == 0 and h.list_changes().count() == 3
+    assert h.traceability("node:gone", require_validation=True).first().missing
+    with pytest.raises(validate.GraphInvalid):
+        GraphHandle.from_graph(Graph(g.nodes.limit(1), g.edges, g.evidence), require_validation=True)
+
+
 def test_merge_is_biased_to_the_right_and_idempotent(extracted):
     g = extracted[0]
     new = Graph(g.nodes.withColumn("name", F.concat(F.lit("new "), "name")), g.edges.limit(0), g.evidence.limit(0))
@@ -236,8 +248,9 @@ repositories:
 
 
 def test_registry(spark):
-    bad = YAML.replace("path: svc/../svc/pay", "path: reqs/inner").replace("role: requirements", "role: test").replace("git@h:x", "http://h").replace("version: 1", "version: 2").replace("freshness_policy: any", "jira_data: {a: 1}").replace("id: pay,", "id: bad,").replace("openlore_path: kg", "openlore_path: reqs/kg")
-    files = spark.createDataFrame([("/ws/repo-index.yaml", YAML), ("/bad/repo-index.yaml", bad), ("/none/repo-index.yaml", "- a list")], "path string, value string")
+    bad = YAML.replace("path: svc/../svc/pay", "path: reqs/inner").replace("role: requirements", "role: test").replace("git@h:x", "http://h").replace("version: 1", "version: 2").replace("freshness_policy: any", "jira_data: {a: 1}").replace("id: pay,", "id: bad,").replace("openlore_path: kg", "openlore_path: ../bad/reqs/kg")
+    out = YAML.replace("openlore_path: kg", "openlore_path: ../elsewhere").replace("id: pay,", "id: out,")
+    files = spark.createDataFrame([("/out/repo-index.yaml", out), ("/ws/repo-index.yaml", YAML), ("/bad/repo-index.yaml", bad), ("/none/repo-index.yaml", "- a list")], "path string, value string")
     w, r, keys = registry.from_yaml(files)
     w = w.where("workspace_id is not null")
     g = registry.facts(w.where("workspace_id = 'pay'"), r.where("workspace_id = 'pay'"), empty_graph(spark).evidence)
@@ -245,11 +258,12 @@ def test_registry(spark):
     assert {x.resolved_path for x in r.where("workspace_id = 'pay'").collect()} == {"/ws/reqs", "/ws/svc/pay"}
     broken = {(x.workspace_id, x.rule) for x in registry.violations(w, r, keys).collect()}
     assert not [x for x in broken if x[0] == "pay"]
+    assert {x[1] for x in broken if x[0] == "out"} == {"outside_root"}
     assert {x[1] for x in broken if x[0] == "bad"} == {"version", "ssh_url", "store_repository", "inside_store", "generated_path", "forbidden"}
     assert [tuple(x) for x in registry.federation(w, r).where("workspace_id = 'pay'").collect()] == [("pay", "reqs", "/ws/reqs/idx")]
     stores, faulty = registry.known_stores(spark.createDataFrame([("s1", None, "/ws/reqs", None), (None, "s2", None, "/ws/reqs"), ("s3", None, None, " ")], "id string, name string, root string, location string"))
     assert stores.count() == 2 and faulty.count() == 1
-    assert {(x.workspace_id, x.state) for x in registry.matched_stores(r, stores).collect()} == {("pay", "ambiguous")}
+    assert {(x.workspace_id, x.state) for x in registry.matched_stores(r, stores).collect()} == {("pay", "ambiguous"), ("out", "missing")}
     asked = spark.createDataFrame([("pay", "s1")], "workspace_id string, store_id string")
     assert registry.matched_stores(r, stores, asked).first().state == "used"
 

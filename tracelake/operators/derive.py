@@ -62,6 +62,11 @@ def diagnostics(g: Graph) -> DataFrame:
     return broken.unionByName(without)
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """Diagnostics by severity as text, rule, object and message."""
+    return found.orderBy("severity", "rule_id", "affected_object_id", "message")
+
+
 def derive(g: Graph) -> Graph:
     new = last_wins(derived_edges(g))
     return merge(g, Graph(g.nodes.limit(0), new, g.evidence.limit(0)))

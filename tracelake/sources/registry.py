@@ -106,6 +106,9 @@ def violations(workspaces: DataFrame, repositories: DataFrame, keys: DataFrame |
         inner = r.where(F.col("role").isin("code", "library")).select("workspace_id", F.col("id").alias("item"), F.col("resolved_path").alias("path"))
         out.append(_v(contained(inner, owner).where("item <> owner"), "inside_store", "item", "owner"))
         made = laid.select("workspace_id", F.lit("openlore_path").alias("item"), joined(joined(F.col("base"), F.col("root_path")), F.col("openlore_path")).alias("path")).where(F.col("openlore_path") != "")
+        root = laid.select("workspace_id", F.lit("root").alias("owner"), joined(F.col("base"), F.col("root_path")).alias("path"))
+        outside = made.join(contained(made, root).select("workspace_id"), "workspace_id", "left_anti")
+        out.append(_v(outside, "outside_root", "item", "path"))
         every = r.select("workspace_id", F.col("id").alias("owner"), F.col("resolved_path").alias("path"))
         out.append(_v(contained(made, every), "generated_path", "item", "owner"))
     out.append(_v(r.where(F.col("include_in_federation") & (stripped(F.coalesce("index_location", F.lit(""))) == "")), "index_location", "id", "index_location"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tracelake.functions import text as tx
 from tracelake.functions.ids import stable_id
@@ -38,7 +38,7 @@ def bad_bytes(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_json(blocks: pd.Series) -> pd.Series:
     """YAML mappings as JSON text; anything else is an empty mapping; dates become text."""
     import yaml
