@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 #: A vocabulary of more bytes isn't broadcast.
 MOST_BYTES = 64 << 20
 #: Pre-tokens whose ids a task remembers; beyond it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 _U = np.uint64
 
@@ -100,6 +100,10 @@ class Bpe:
         self.tokens = list(self.rank)
         self.ids = list(self.rank.values())
         self.table = PerfectHash(self.tokens)
+        self.single = [self.rank[bytes([b])] for b in range(256)]
+        self.size = max(self.ids) + 1
+        #: Of each two tokens that make a third one, its rank.
+        self.pairs = {a * self.size + b: r for t, r in self.rank.items() for k in range(1, len(t)) if (a := self.rank.get(t[:k])) is not None and (b := self.rank.get(t[k:])) is not None}
         self.pattern = pattern
 
     def prepare(self) -> None:
@@ -111,25 +115,29 @@ class Bpe:
         self.known: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no token: the pair of lowest rank merges first, the leftmost of equals."""
-        rank, n = self.rank, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        """Ids of a pre-token that is no token: the pair of lowest rank merges first, the leftmost of equals.  A heap
+        entry is the rank and the place of a pair; it is stale if that place now starts another pair."""
+        rank_of, size, n = self.pairs.get, self.size, len(piece)
+        ids = list(map(self.single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] * size + ids[i + 1])) is not None]
+        heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
-            if part[i] is None or (j := after[i]) == n or len(part[i]) + len(part[j]) != size:
+            x = heappop(heap)
+            i, r = x & 0xFFFFFFFF, x >> 32
+            j = after[i]
+            if j >= n or ids[i] < 0 or rank_of(ids[i] * size + ids[j]) != r:
                 continue
-            part[i], part[j] = part[i] + part[j], None
+            ids[i], ids[j] = r, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(part[i] + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, len(part[i]) + len(part[k])))
-            if (k := before[i]) >= 0 and (r := rank.get(part[k] + part[i])) is not None:
-                heapq.heappush(heap, (r, k, len(part[k]) + len(part[i])))
-        return [rank[p] for p in part if p is not None]
+                if (q := rank_of(r * size + ids[k])) is not None:
+                    heappush(heap, q << 32 | i)
+            k = before[i]
+            if k >= 0 and (q := rank_of(ids[k] * size + r)) is not None:
+                heappush(heap, q << 32 | k)
+        return [x for x in ids if x >= 0]
 
     def learn(self, new: list[str]) -> None:
         raw = [t.encode() for t in new]
