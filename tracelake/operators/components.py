@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracelake.sources.shared import cut
+from tracelake.sources.shared import cut, drop
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,24 +22,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     label = None
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).withColumn("p", F.least("v", "p")))
+        near = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).withColumn("p", F.least("v", "p")))
+        parent = near
         for _ in range(2):
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            up = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
         parent = cut(parent)
-        label = parent if label is None else cut(
-            label.withColumnRenamed("p", "q").join(parent.select(F.col("v").alias("q"), "p"), "q", "left")
-            .select("v", F.coalesce("p", "q").alias("p"))
-        )
-        to = parent.select(F.col("v"), F.col("p"))
-        e = (
-            e.join(to.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
-            .join(to.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-            .where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct()
-        )
-        e = cut(e)
+        to = lambda end: parent.select(F.col("v").alias(end), F.col("p").alias(f"p{end}"))  # noqa: E731, B023
+        left = e.join(to("a"), "a").join(to("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        left = cut(left.distinct())
+        drop(e, near)
+        e = left
+        if label is None:
+            label = parent
+            continue
+        moved = cut(label.withColumnRenamed("p", "q").join(parent.select(F.col("v").alias("q"), "p"), "q", "left").select("v", F.coalesce("p", "q").alias("p")))
+        drop(label, parent)
+        label = moved
     if label is None:
         return e.select(F.col("a").alias("v"), F.col("a").alias("component"))
+    drop(e)
     return label.select("v", F.col("p").alias("component"))

@@ -21,4 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
     sizes, and survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read any more."""
+    for df in written:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
