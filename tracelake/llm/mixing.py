@@ -67,13 +67,13 @@ def token_table(docs: DataFrame) -> DataFrame:
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """leaves (levels, supply) with the column budget, whole tokens, for each leaf."""
     node = leaves.withColumn("cap", (F.col("supply") * plan.epochs).cast("double"))
-    total = node.agg(F.sum("supply").alias("s"), F.sum("cap").alias("c"))
-    root = total.select(F.least(F.floor(F.coalesce("s", F.lit(0)) * plan.fraction).cast("double"), F.coalesce("c", F.lit(0.0))).alias("budget"))
-    parent, above = root, []
+    total = node.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("s"), F.coalesce(F.sum("cap"), F.lit(0.0)).alias("c"))
+    root = total.select(F.least(F.floor(F.col("s") * plan.fraction).cast("double"), F.col("c")).alias("budget")).first().budget
+    parent, above = None, []
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
         children = node.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, plan).cast("double"))
-        children = children.join(parent, above) if above else children.crossJoin(F.broadcast(parent))  # the root is one row
+        children = children.join(parent, above) if above else children.withColumn("budget", F.lit(root))
         order = (Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))).orderBy(F.col("cap") / F.col("w"), level)
         filled = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         open_ = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
