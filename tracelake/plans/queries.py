@@ -310,8 +310,8 @@ def build_job(spark, d):
 
     folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     done = build(fg.graph(spark, d), folder, check=False)
-    a = merge.counts(done.stored).select(*[F.col(c).alias(f"stored_{c}") for c in ("node_count", "edge_count", "evidence_count")])
-    return a.crossJoin(merge.counts(done.graph))  # one row each
+    stored = merge.counts(done.stored).first().asDict()
+    return merge.counts(done.graph).select(*[F.lit(n).alias(f"stored_{c}") for c, n in stored.items()], *stored)
 
 
 def extraction_counts(spark, d):
