@@ -143,7 +143,8 @@ def digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
 def met(docs: DataFrame, n_keys: int, text: str = "text") -> DataFrame:
     """Lists of at least two sets.  kind 0: a pair (a, b) of a short list.  kind 1: set a of the long list `key` of
-    `size` sets, whose first is b.  Keys travel packed: a row for each batch and hash range."""
+    `size` sets, whose first is b.  Keys travel packed: a row for each batch and hash range;
+    what a batch holds beyond LONG + 1 sets of a key is dealt out over all tasks, with the first of them as b."""
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // TASK_KEYS))
     parts = 1 << int(4 * tasks - 1).bit_length()
     shift = 64 - (parts.bit_length() - 1)
@@ -165,10 +166,20 @@ def met(docs: DataFrame, n_keys: int, text: str = "text") -> DataFrame:
             key = np.concatenate(got)
             owner = np.repeat(np.arange(len(got)), [len(k) for k in got])
             table = np.array(nodes, np.int64)
-            order = np.argsort(key >> _U(shift), kind="stable")
+            order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
-            cuts = np.searchsorted(key >> _U(shift), np.arange(parts + 1, dtype=np.uint64))
             rows: dict[str, list] = {"part": [], "high": [], "low": [], "owner": [], "nodes": []}
+            over, lead = overflow(key, LONG)
+            if over.any():
+                name = ((key >> _U(shift)) << _U(48) | key & _U((1 << 48) - 1))[over].astype(np.int64)
+                spread = (mix(key[over] + _U(nodes[0] & (1 << 63) - 1)) >> _U(shift)).astype(np.int64)
+                first, member = table[owner[lead[over]]], table[owner[over]]
+                for p in np.unique(spread):
+                    mine = spread == p
+                    for c, x in (("part", int(p)), ("high", name[mine].tobytes()), ("low", member[mine].tobytes()), ("owner", first[mine].tobytes()), ("nodes", None)):
+                        rows[c].append(x)
+                key, owner = key[~over], owner[~over]
+            cuts = np.searchsorted(key >> _U(shift), np.arange(parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(cuts)):
                 k, o = key[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]]
                 used = np.zeros(len(table), bool)
@@ -184,17 +195,30 @@ def met(docs: DataFrame, n_keys: int, text: str = "text") -> DataFrame:
         held: dict[int, list] = {}
         for batch in batches:
             for part, high, low, owner, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if nodes is None:
+                    name, member, first = (np.frombuffer(x, np.int64) for x in (high, low, owner))
+                    yield _rows(1, name, np.full(len(name), LONG + 1), member, first)
+                    continue
                 k = (np.frombuffer(high, np.uint32).astype(np.uint64) << _U(16)) | np.frombuffer(low, np.uint16)
                 o = np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(k) else np.uint32)
                 held.setdefault(part, []).append((k, np.frombuffer(nodes, np.int64)[o]))
         for part in sorted(held):
-            yield from lists(part, *map(np.concatenate, zip(*held.pop(part), strict=True)))
+            yield from lists(part, *map(np.concatenate, zip(*held.pop(part), strict=True)), SHORT)
 
     packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "part int, high binary, low binary, owner binary, nodes binary")
     return packed.repartition(tasks, "part").mapInArrow(meet, "kind int, key long, size int, a long, b long")
 
 
-def lists(part: int, key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+def overflow(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the sorted keys of one batch: which entries are beyond the first most + 1 of their key, and where each entry's
+    key begins.  Such a list is long whatever other tasks hold, so those entries need not meet the rest: they go
+    elsewhere with the first of the batch, and only most + 1 of a batch reach the task that owns the key."""
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    lead = np.repeat(heads, np.diff(np.append(heads, len(key))))
+    return np.arange(len(key)) - lead > most, lead
+
+
+def lists(part: int, key: np.ndarray, node: np.ndarray, short: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(key, kind="stable")
     key, node = key[order], node[order]
     same = key[1:] == key[:-1]
@@ -207,7 +231,7 @@ def lists(part: int, key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBat
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
     sizes = np.diff(np.append(heads, len(key)))
     first, second = [], []
-    for s in range(2, SHORT + 1):
+    for s in range(2, short + 1):
         at = heads[sizes == s]
         for i in range(s):
             for j in range(i + 1, s):
@@ -220,7 +244,7 @@ def lists(part: int, key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBat
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         a, b = a[new], b[new]
         yield _rows(0, np.zeros(len(a), np.int64), np.full(len(a), 2), a, b)
-    big = np.flatnonzero(sizes > SHORT)
+    big = np.flatnonzero(sizes > short)
     if len(big):
         at = np.repeat(heads[big] - (np.cumsum(sizes[big]) - sizes[big]), sizes[big]) + np.arange(sizes[big].sum())
         name = (key[at] | (_U(part) << _U(48))).astype(np.int64)
