@@ -98,7 +98,7 @@ def test_ngram_join_around_the_threshold(spark):
 def test_ngram_join_long_lists(spark, monkeypatch):
     """Lists beyond the limits: near copies of one text, and a passage that many different texts share."""
     monkeypatch.setattr(ngram_join, "SHORT", 2)
-    monkeypatch.setattr(ngram_join, "LONG", 3)
+    monkeypatch.setattr(ngram_join, "LONG", 2)
     from conftest import prose
 
     passage = prose(1234, 90)

@@ -15,8 +15,8 @@ missed in an index only if both sets fall short there, so both are in the next.
 by hash.  Candidates pass an exact bound (bitmaps of hash parity, whose distance never exceeds the true difference)
 before the sets themselves are compared.
 
-Lists of more than LONG sets: every set is compared with the first of the list.  A set that lost more keys than its
-margin is also compared with all sets of its long lists that lie in other components by then, so no link is lost.
+Lists of more than LONG sets: every set is compared with the first of the list.  Sets that lost more keys than their
+margin, in lists that still span components, are joined once more by their rarest shingles, so no link is lost.
 
 Defined results: null or word-less texts have the empty set and stand alone; a null id gets a null component; equal
 texts are one class; repeated rows are kept in the result; an empty table gives no rows; other columns are ignored.
@@ -30,15 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tracelake.llm.links import link
+from tracelake.llm.links import link, small
 from tracelake.llm.shingles import mix, sets, utf8
 from tracelake.sources.shared import cut
 
 PERCENT = 75
-#: Lists up to SHORT give all pairs at once; those beyond LONG count as lost keys.
-SHORT, LONG = 8, 64
+#: Lists up to SHORT give all pairs at once; those beyond LONG (not below SHORT) count as lost keys.
+SHORT = LONG = 8
 #: Keys that one task gathers, and the share of spare keys.
 TASK_KEYS, SPARE = 3_000_000, 0.12
 
@@ -280,7 +280,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     pairs = out.where("kind = 0").select("a", "b").unionByName(out.where("kind = 1 and a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     texts = rows.select(F.col("doc_id").alias("node"), "text")
     links, found = link(_possible(pairs, classes), texts, PERCENT)
-    rest = _left(out, classes, found)
+    rest = _left(out, classes, found, texts)
     if not rest.isEmpty():
         links, found = link(_possible(rest, classes), texts, PERCENT, links)
     whole = classes.join(found, classes.rep == found.v, "left").select("node", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
@@ -288,18 +288,37 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     return told.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
-def _left(out: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of long lists that the first of the list did not settle: across components, and for lists beyond LONG only
-    those of a set that lost more keys than it had to spare."""
-    members = out.where("kind = 1").select("key", "size", F.col("a").alias("node"))
-    lost = members.groupBy("node").agg(F.count_if(F.col("size") > LONG).alias("lost"))
-    state = classes.join(found, classes.rep == found.v, "left").join(lost, "node").select("node", F.coalesce("component", "rep").alias("label"), (F.col("lost") > F.col("spare")).alias("short"))
+def _left(out: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs that only long lists hold and that their first sets did not settle.
+
+    Concerned are the sets of long lists that span components and hold a set that lost more keys than it had to spare.
+    Among these, shingles are ordered by how many of the sets have them, the rarest first: similar sets share one of
+    their first n // 4 + 1.  What made the lists long, a passage in many texts, comes last in this order."""
+    members = out.where("kind = 1").select("key", F.col("a").alias("node"))
+    lost = members.groupBy("node").agg(F.count("*").alias("lost"))
+    state = classes.join(found, classes.rep == found.v, "left").join(lost, "node").select("node", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"), (F.col("lost") > F.col("spare")).alias("short"))
     known = members.join(state, "node")
-    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("short").alias("any"), F.first("size").alias("n")).where("lo < hi").where((F.col("n") <= LONG) | F.col("any"))
-    open_ = cut(known.join(mixed.select("key"), "key"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("short").alias("short_b"))
-    both = open_.join(other, "key").where("label < label_b").where((F.col("size") <= LONG) | F.col("short") | F.col("short_b"))
-    return cut(both.select(F.col("node").alias("a"), "b").distinct())
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("short").alias("any")).where("lo < hi and any").select("key")
+    open_ = cut(known.join(mixed, "key", "left_semi").select(F.col("node").alias("set"), "rep", "n_shingles", "label").distinct())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8(batch.column(1))
+            for i, x in enumerate(sets(data, ends)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py(), np.int64)), pa.array(x.view(np.int64))], ["set", "token"])
+
+    own = small(open_.select("set", F.col("rep").alias("node")))
+    tokens = cut(texts.join(own, "node").select("set", "text").mapInArrow(of, "set long, token long"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    rows = tokens.join(shared, "token").join(open_.select("set", "n_shingles", "label"), "set")
+    rank = Window.partitionBy("set").orderBy("n", "token")
+    alone = F.col("n_shingles") - F.count("*").over(Window.partitionBy("set"))
+    first = rows.withColumn("rank", F.row_number().over(rank) + alone).where("rank <= floor(n_shingles / 4) + 1").select("token", "set", "label")
+    first = cut(first)
+    span = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    both = cut(first.join(span, "token", "left_semi"))
+    other = both.select("token", F.col("set").alias("b"), F.col("label").alias("other"))
+    return cut(both.join(other, "token").where("label < other").select(F.col("set").alias("a"), "b").distinct())
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
