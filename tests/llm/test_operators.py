@@ -312,7 +312,7 @@ def plain_rule(host, path):
 def test_urls(spark, small_dir):
     odd = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?y#z", "https://example.com?x=/en/", "x://y://z/q", "ftp://ÄB.net/de/8", "http://b.example.net/de/81", "http://com/en/\n7", "http://acom/en/", "http://a.com/en", "http://é.org/es/#"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(odd)] * 2, "page_id long, url string").unionByName(
-        spark.read.parquet(f"{small_dir}/pages.parquet").select(F.col("page_id") + 100, "url")).withColumn("host", F.lit(1)).withColumn("verdict", F.lit(2))
+        spark.read.parquet(f"{small_dir}/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url")).withColumn("host", F.lit(1)).withColumn("verdict", F.lit(2))
     urls = {r.page_id: r.url for r in pages.collect()}
     got = url_filter.filter_urls(pages).collect()
     assert len(got) == pages.count()

@@ -66,7 +66,7 @@ def ngrams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(places)
 
 
-def fit(hosts: list[str], paths: list[str], labels: list[int], steps: int = 150, rate: float = 8.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(hosts: list[str], paths: list[str], labels: list[int], steps: int = 600, rate: float = 8.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent with momentum; the same rows give the same model."""
     w, b = np.zeros(DIMENSIONS), 0.0
     if not labels or len(set(labels)) < 2:
