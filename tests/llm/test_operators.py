@@ -168,6 +168,19 @@ def test_warc_payloads_and_ranges(spark, monkeypatch, tmp_path):
     assert all(r.intact for r in got)
 
 
+def test_warc_long_urls(spark, monkeypatch, tmp_path):
+    """Urls longer than a range and what is read past it, in the middle of a file: no record is lost behind them."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 20_000)
+    long = {3: 65_000, 4: 70_000, 9: 1_000_000}
+    rows = [(i, "http://a/" + "u" * long.get(i, i), f"<p>{i}") for i in range(20)] + [(30, "http://a/", warc.MAGIC.decode() * 9000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    manifest = warc.write(pages, str(tmp_path))
+    got = warc.read(manifest, str(tmp_path)).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: h for i, _, h in rows} and len(got) == len(rows)
+    with pytest.raises(ValueError, match="records can be reached"):
+        warc.read(manifest.withColumn("records", F.col("records") + 1), str(tmp_path))
+
+
 def test_quality(spark, some):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality.judge(some, labels).collect())

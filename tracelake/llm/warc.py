@@ -5,8 +5,8 @@ is read; files of lost or repeated attempts stay unlisted.  Of records with equa
 page id is a response, the others revisit it.
 
 Reading: a task scans a byte range of a file for the record magic and emits, for each hit, its offset and the offset
-where the record that would start there ends.  Pointer jumping from offset 0 of each file (the reach doubles every
-round) keeps the hits that are reachable; magic inside payloads is not, and is dropped.
+where the record that would start there ends; a header of any length is read to its end.  Pointer jumping from offset 0 of each file (the reach doubles every
+round) keeps the hits that are reachable; magic inside payloads is not, and is dropped.  A file with another number of reachable records than its manifest says is an error.
 
 Defined results: a null html is an empty payload, and equal to other empty ones; rows that repeat a page keep one
 record each; of equal page ids with equal payloads all are responses; a null page id is written as "null" and ranks
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 from tracelake.llm.links import small
 from tracelake.sources.shared import cut, shared_dir
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC, FIELD = b"WARC/1.1\r\n", b"\r\nContent-Length: "
 #: A file is closed when it is this large; a task reads ranges of this many bytes.
 FILE_BYTES, RANGE_BYTES = 128 << 20, 4 << 20
-MOST_HEADER = 1 << 16
+#: Bytes read past a range for headers that begin in it, and at a time for longer ones; no limit to a header.
+READ_ON = 1 << 16
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_BYTES = 0
 
@@ -56,7 +57,7 @@ def record(page: str, url: str, payload: bytes, refers_to: str | None) -> bytes:
 
 def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the header at `at` and where its block begins; None if it isn't one."""
-    end = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
@@ -64,6 +65,29 @@ def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("Content-Length", "").isdigit() else None
 
 
+def _ends(f: pa.NativeFile, begin: int, stop: int, length: int) -> Iterator[tuple[int, int]]:
+    """(at, next) of the magic places in `length` bytes from begin.  Places before the same blank line share the search for it and for the
+    last Content-Length, and data grows until that line is found."""
+    f.seek(begin)
+    data = bytearray(f.read(min(stop - begin, length + READ_ON + len(MAGIC))))
+    end, field = -1, -1
+    at = data.find(MAGIC)
+    while 0 <= at < length:
+        if end < at:
+            end = data.find(b"\r\n\r\n", at)
+            while end < 0:
+                seen = len(data)
+                more = f.read(min(stop - begin - seen, max(READ_ON, seen)))
+                if not more:
+                    return
+                data += more
+                end = data.find(b"\r\n\r\n", max(at, seen - 3))
+            field = data.rfind(FIELD, at, end)
+        if field >= at and (n := bytes(data[field + len(FIELD) : end]).split(b"\r\n", 1)[0]).isdigit() and len(n) < 18:
+            yield begin + at, begin + end + 4 + int(n) + 4
+        at = data.find(MAGIC, at + 1)
+
+
 def _marked(pages: DataFrame, id: str, url: str, html: str, least_bytes: int) -> DataFrame:
     """(page_id, url, html, refers_to): only revisits get a refers_to; texts are moved only if revisits are many."""
     body = F.coalesce(F.col(html), F.lit("")).alias("html")
@@ -124,13 +148,7 @@ def candidates(manifest: DataFrame, folder: str) -> DataFrame:
             out: list[tuple[str, int, int]] = []
             for name, size, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
-                    f.seek(begin)
-                    data = f.read(min(size - begin, RANGE_BYTES + MOST_HEADER + len(MAGIC)))
-                at = data.find(MAGIC)
-                while 0 <= at < RANGE_BYTES:
-                    if (h := header(data, at)) is not None:
-                        out.append((name, begin + at, begin + h[1] + int(h[0]["Content-Length"]) + 4))
-                    at = data.find(MAGIC, at + 1)
+                    out += [(name, at, end) for at, end in _ends(f, begin, size, RANGE_BYTES)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["file", "at", "next"])
 
     return _ranges(manifest).select("file", "bytes", "begin").mapInArrow(of, "file string, at long, next long")
@@ -152,7 +170,10 @@ def reachable(found: DataFrame) -> DataFrame:
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload, intact) of each record; a revisit has no payload of
     its own, intact tells whether the payload has the digest of its header."""
-    kept = reachable(candidates(manifest, folder))
+    kept = cut(reachable(candidates(manifest, folder)))
+    whole = manifest.join(kept.groupBy("file").agg(F.count("*").alias("reached")), "file", "left").select("file", "records", F.coalesce("reached", F.lit(0)).alias("reached"))
+    if bad := whole.where("reached <> records").first():
+        raise ValueError(f"{bad.file}: {bad.reached} of {bad.records} records can be reached")
     n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = kept.withColumn("range", F.floor(F.col("at") / RANGE_BYTES)).repartition(n, "file", "range").sortWithinPartitions("file", "at").select("file", "at", "next")
 
