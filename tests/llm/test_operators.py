@@ -45,6 +45,27 @@ def test_minhash_classes(docs):
     assert got[None] is None
 
 
+def test_fingerprint_query_has_classes(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_document_fingerprints"](spark, str(tmp_path)).select("doc_id", "class_id").collect()
+    want = brute.jaccard(pairs(docs))
+    assert len(got) == docs.count() and {r.doc_id: r.class_id for r in got} == {None: None} | {i: c for i, (_, c) in want.items()}
+
+
+def test_mixed_buckets_are_not_paired(spark):
+    """Unlike texts in one bucket make no pairs, and near copies that their least member is unlike are still found."""
+    from conftest import prose
+    from tracelake.llm import links
+
+    passage = prose(1234, 60)
+    near = [prose(40 + i, 90) for i in range(3)]
+    rows = [(i, prose(2000 + i, 50) + " " + passage) for i in range(60)] + [(100 + 10 * i + k, f"{t} more{k}") for i, t in enumerate(near) for k in range(3)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    found = links.components_of_buckets(texts.select(F.lit(1).cast("long").alias("key"), "node"), texts, 0.75).collect()
+    assert {r.v: r.component for r in found} == {100 + 10 * i + k: 100 + 10 * i for i in range(3) for k in range(3)}
+    assert links.rarest_pairs(texts.select("node", F.col("node").alias("label")), texts, 75).count() == 9
+
+
 def test_secrets(some):
     got = sorted((r.doc_id or -1, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan_documents(some).collect())
     assert got == sorted((i or -1, *brute.secrets(t)[:4]) for i, t in pairs(some))

@@ -18,7 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracelake.llm.shingles import chunks, hashed, sets, utf8
+from tracelake.llm.shingles import chunks, hashed, utf8
+from tracelake.sources.shared import cut
 
 PERMUTATIONS = 128
 BANDS = 32
@@ -63,8 +64,9 @@ def _ranges(rows: DataFrame) -> list[int]:
     return sorted(set(bounds or []))
 
 
-def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, guest, ord, doc_id, text): each range of ids in order, followed by the first document of the next range."""
+def with_next(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(bucket, guest, ord, doc_id, text, class_id): each range of ids in order, followed by the first document of the
+    next range.  The class of an id, from classes (v, component), is a row without text that precedes its documents."""
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = _ranges(rows)
 
@@ -81,35 +83,40 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
         return pd.Series([[b, -1 - before[x]] if x in before else [b] for x, b in zip(ids.tolist(), own.tolist(), strict=True)])
 
     dealt = rows.withColumn("place", F.explode(places("ord"))).select(
-        F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("guest"), "ord", "doc_id", "text")
-    return dealt.repartition(max(1, len(least)), "bucket").sortWithinPartitions("bucket", "guest", "ord", "text")
+        F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("guest"), "ord", "doc_id", "text", F.lit(None).cast("long").alias("class_id"))
+    told = classes.select(bucket("v").alias("bucket"), F.lit(False).alias("guest"), F.col("v").alias("ord"), F.col("v").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("component").alias("class_id"))
+    return dealt.unionByName(told).repartition(max(1, len(least)), "bucket").sortWithinPartitions("bucket", "guest", "ord", "text")
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
-    def made(rows: list[tuple[int | None, str]], following: str) -> pa.RecordBatch:
-        texts = [t for _, t in rows] + [following]
+    def made(rows: list[tuple[int | None, str, int | None]], following: str) -> pa.RecordBatch:
+        texts = [t for _, t, _ in rows] + [following]
         own = signatures(texts)
         edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:], strict=False)]
         new = signatures(edited)
         return pa.RecordBatch.from_arrays([
-            pa.array([i for i, _ in rows], pa.int64()),
-            pa.array([len(t) for _, t in rows], pa.int64()),
+            pa.array([i for i, _, _ in rows], pa.int64()),
+            pa.array([len(t) for _, t, _ in rows], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
             pa.array([text_of(s) for s in own[:-1]], pa.string()),
             pa.array([text_of(s) for s in new], pa.string()),
             pa.array((own[:-1] == new).mean(axis=1), pa.float64()),
             pa.array((own[:-1] == own[1:]).mean(axis=1), pa.float64()),
+            pa.array([c for _, _, c in rows], pa.int64()),
         ], names)
 
-    held: list[tuple[int | None, str]] = []
-    size, bucket, closed = 0, None, False
+    held: list[tuple[int | None, str, int | None]] = []
+    size, bucket, closed, told = 0, None, False, (None, None)
     for batch in batches:
-        for b, guest, i, t in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")), strict=True):
+        for b, guest, i, t, c in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text", "class_id")), strict=True):
+            if t is None:
+                told = (i, c)
+                continue
             if b != bucket:
                 bucket, closed = b, False
             if closed:
@@ -119,38 +126,56 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield made(held, t)
                 held, size, closed = [], 0, guest
             if not guest:
-                held.append((i, t))
+                held.append((i, t, told[1] if i is not None and told[0] == i else i))
                 size += len(t)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """SCHEMA for each row: its fingerprint, that of its edited text (the last half replaced by the start of the next
-    document by ascending id, the first after the last), and the likeness of each to the other and to the next one's."""
-    return with_next(docs).mapInArrow(_fingerprints, SCHEMA)
+    document by ascending id, the first after the last), the likeness of each to the other and to the next one's, and the
+    class of its near copies (near_duplicates)."""
+    return with_next(docs, classes(docs).where("v <> component")).mapInArrow(_fingerprints, SCHEMA)
 
 
-def bands(docs: DataFrame, id: str = "doc_id", text: str = "text", n_bands: int = BANDS) -> DataFrame:
-    """(key, node, signature) rows: BANDS of a signature; node is the id; texts without words have none."""
-    rows = docs.select(F.col(id).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def signed(docs: DataFrame) -> DataFrame:
+    """(node, digest, signature) of each row with an id and a word: 128 bits of hash of its text, and its signature."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
 
-    def of(batches):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = signatures(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            s = signatures(texts)
             full = np.flatnonzero((s != 0xFFFF).any(axis=1))
-            packed = np.ascontiguousarray(s[full].astype(">u2")).view("u1").reshape(len(full), n_bands, -1)
-            keys = [hashlib.blake2b(bytes([b]) + row[b].tobytes(), digest_size=8).digest() for row in packed for b in range(n_bands)]
-            ids = np.array([x if x is not None else NO_ID for x in batch.column(0).to_pylist()], np.int64)[full]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), ">i8").astype(np.int64)), pa.array(np.repeat(ids, n_bands))], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(full)), pa.array([hashlib.blake2b(texts[i].encode(), digest_size=16).digest() for i in full], pa.binary()),
+                pa.array([s[i].astype(">u2").tobytes() for i in full], pa.binary()),
+            ], ["node", "digest", "signature"])
 
-    return rows.mapInArrow(of, "key long, node long")
+    return rows.mapInArrow(of, "node long, digest binary, signature binary")
 
 
-def near_duplicates(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """(doc_id, class_id): the smallest id reachable through pairs that share a band and whose exact Jaccard
-    similarity over shingles is at least `alike`.  Texts without words stand alone."""
+def bands(signs: DataFrame, n_bands: int = BANDS) -> DataFrame:
+    """(key, node): BANDS hashes of parts of each signature."""
+    width = 2 * PERMUTATIONS // n_bands
+    return signs.select("node", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(n_bands)])).alias("key")).select("key", "node")
+
+
+def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """(v, component) of the documents that have copies or near copies: equal texts go to their least id first, and only
+    these meet in bands."""
     from tracelake.llm.links import components_of_buckets
 
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = components_of_buckets(bands(known).distinct(), known.select(F.col("doc_id").alias("node"), "text"), alike)
+    signs = cut(signed(docs))
+    least = signs.groupBy("digest").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("digest", "a")
+    copies = cut(signs.select("node", "digest").join(least, "digest").where("node > a").select("digest", "node", "a").distinct())
+    own = signs.join(copies, ["digest", "node"], "left_anti")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+    return components_of_buckets(bands(own).distinct(), texts, alike, copies.select("a", F.col("node").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """(doc_id, class_id): the smallest id reachable through pairs that share a band (or are compared as members of mixed
+    buckets) and whose exact Jaccard similarity over shingles is at least `alike`.  Texts without words stand alone."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    found = classes(docs, alike)
     return ids.join(found, ids.doc_id == found.v, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

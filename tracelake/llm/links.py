@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tracelake.llm.shingles import sets, utf8
 from tracelake.operators.components import connected_components
@@ -90,17 +90,41 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def components_of_buckets(members: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    """Components (v, component) over all similar pairs that share a key of members (key, node).
+def rarest_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, label) with different labels that may be similar.
 
-    First each member is compared with the least of its bucket; then members of a bucket that still lie in different
-    components are compared with each other."""
+    Shingles are ordered by how many of the nodes have them, the rarest first: of n shingles, similar texts share one of
+    the first n * (100 - percent) // 100 + 1.  A passage in many texts comes last in this order."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8(batch.column(2))
+            for i, x in enumerate(sets(data, ends)):
+                alike = [pa.array(np.full(len(x), batch.column(k)[i].as_py(), np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*alike, pa.array(np.full(len(x), len(x), np.int64)), pa.array(x.view(np.int64))], ["node", "label", "n", "token"])
+
+    tokens = cut(texts.join(small(nodes), "node").select("node", "label", "text").mapInArrow(of, "node long, label long, n long, token long"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    rank = Window.partitionBy("node").orderBy("held", "token")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))  # shingles of no other node come first
+    first = tokens.join(shared, "token").withColumn("rank", F.row_number().over(rank) + alone)
+    first = cut(first.where(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("token", "node", "label"))
+    span = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    both = cut(first.join(span, "token", "left_semi"))
+    other = both.select("token", F.col("node").alias("b"), F.col("label").alias("other"))
+    return both.join(other, "token").where("label < other").select(F.col("node").alias("a"), "b").distinct()
+
+
+def components_of_buckets(members: DataFrame, texts: DataFrame, alike: float, known: DataFrame | None = None) -> DataFrame:
+    """Components (v, component) over all similar pairs that share a key of members (key, node), and known links.
+
+    First each member is compared with the least of its bucket; then the members of buckets that still span components
+    are compared where their rarest shingles meet, whichever of these buckets they are in."""
     percent = round(100 * alike)
     members = cut(members.select("key", "node"))
     least = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    links, found = link(members.join(least, "key").select("a", F.col("node").alias("b")), texts, percent)
-    labelled = members.join(found, members.node == found.v, "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    links, found = link(members.join(least, "key").select("a", F.col("node").alias("b")), texts, percent, known)
+    labelled = members.join(least, "key", "left_semi").join(found, F.col("node") == F.col("v"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = cut(labelled.join(mixed, "key"))
-    right = left.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    return link(left.join(right, "key").where("label < other").select(F.col("node").alias("a"), "b"), texts, percent, links)[1]
+    left = cut(labelled.join(mixed, "key", "left_semi").select("node", "label").distinct())
+    return found if left.isEmpty() else link(rarest_pairs(left, texts, percent), texts, percent, links)[1]
