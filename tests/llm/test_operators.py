@@ -279,6 +279,14 @@ def test_line_dedup(some):
     assert line_dedup.dedup_lines(some).columns == some.columns and line_dedup.dedup_lines(some).count() == some.count()
 
 
+def test_line_windows_that_do_not_repeat_go_first(spark):
+    from conftest import prose
+
+    docs = spark.createDataFrame([(i, prose(300 + i, 400)) for i in range(20)], "doc_id long, text string")
+    w = line_dedup.windows(docs)
+    assert w.count() > 400 and line_dedup.repeated_prints(w).count() == 0
+
+
 def domain(source):
     import re
 

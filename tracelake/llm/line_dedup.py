@@ -1,10 +1,11 @@
-"""Line deduplication by winnowing, in DataFrame functions only.
+"""Line deduplication by hashes of whole windows, after a filter by winnowing, in DataFrame functions only.
 
-A window is a run of three lines, or of one or two lines with at least 50 words together.  Each window selects the
-least of its line hashes as its fingerprint, so two equal windows always share one.  Fingerprints that occur at more
-than one place are joined with the windows that selected them; a match extends both ways through all windows that
-occurred earlier, in the order of document id and line; the lines of such later windows are deleted, so every repeated
-run of three lines, or of 50 words in fewer, is deleted whole but for its first occurrence.
+A window is a run of three lines, or of one or two lines with at least 50 words together.  Every window is hashed whole,
+and windows with equal hashes are found by grouping: the windows of a longer match all occurred earlier, so no positions
+are joined and nothing is extended.  The least line hash of a window, winnowing's fingerprint, only keeps windows out of
+that grouping whose fingerprint was selected at a single line.  The lines of windows that occurred earlier, in the order
+of document id and line, are deleted: every repeated run of three lines, or of 50 words in fewer, but for its first
+occurrence.  A repeated line, or two, of fewer than 50 words stays.
 
 Defined results: null text stays null and has no lines; an empty text has one empty line; windows without a word
 never match; rows that repeat an id count as one document and lose the same lines; rows with a null id are left
@@ -25,7 +26,8 @@ def lines_of(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, pos, size, print_, a, b): each window, its fingerprint, and 128 bits of hash of its lines."""
+    """(doc, pos, size, print_, at, a, b): each window, its fingerprint and the line that has it (the first of equal
+    ones), and 128 bits of hash of its lines."""
     hashed = F.transform(lines_of(F.col(text)), lambda x: F.struct(
         F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
     rows = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("doc"), hashed.alias("x"))
@@ -37,9 +39,13 @@ def windows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         def window(i: Column) -> Column:
             part = [F.get("x", i + k) for k in range(size)]
             words = sum((p["n"] for p in part[1:]), part[0]["n"])
+            least = F.least(*[p["h"] for p in part]) if size > 1 else part[0]["h"]
+            at = F.lit(size - 1)
+            for k in reversed(range(size - 1)):
+                at = F.when(part[k]["h"] == least, k).otherwise(at)
             return F.when(words >= (1 if size == LINES else WORDS), F.struct(
                 i.alias("pos"), F.lit(size).alias("size"),
-                (F.least(*[p["h"] for p in part]) if size > 1 else part[0]["h"]).alias("print_"),
+                least.alias("print_"), (i + at).alias("at"),
                 F.xxhash64(F.lit(size), *[p["h"] for p in part]).alias("a"), F.xxhash64(F.lit(size), *[p["g"] for p in part]).alias("b"),
             ))
 
@@ -48,12 +54,16 @@ def windows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     return rows.select("doc", F.explode(F.filter(F.concat(*[of(s) for s in range(1, LINES + 1)]), lambda w: w.isNotNull())).alias("w")).select("doc", "w.*")
 
 
+def repeated_prints(w: DataFrame) -> DataFrame:
+    """(doc, pos, size, a, b): the windows whose fingerprint was selected at more than one line; equal windows at two
+    places have theirs at two lines."""
+    prints = w.groupBy("print_").agg(F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", "at")).alias("hi")).where("lo <> hi").select("print_")
+    return w.join(cut(prints), "print_", "left_semi").select("doc", "pos", "size", "a", "b")
+
+
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, gone array<int>): the 0-based lines to delete, in order, for documents that have any."""
-    w = cut(windows(docs, id, text))
-    prints = w.groupBy("print_").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max(F.struct("doc", "pos")).alias("hi")).where("lo <> hi").select("print_")
-    maybe = w.join(cut(prints), "print_", "left_semi").select("doc", "pos", "size", "a", "b")
-    maybe = cut(maybe)
+    maybe = cut(repeated_prints(cut(windows(docs, id, text))))
     first = cut(maybe.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max(F.struct("doc", "pos")).alias("hi")).where("lo <> hi").select("a", "b", "lo"))
     later = maybe.join(first, ["a", "b"]).where(F.struct("doc", "pos") > F.col("lo"))
     gone = later.select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("line")).distinct()
