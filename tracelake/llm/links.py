@@ -31,46 +31,73 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar.  texts: (node, text).
+def beside(pairs: DataFrame, texts: DataFrame, made, schema: str) -> DataFrame:
+    """Columns of made(a, set of a, b, set of b), one array each or None, for every pair (a, b).  texts: (node, text).
 
     Each b goes to a block of its a; a goes to every block of its own.  A block is read as a stream, a first."""
-    pairs = cut(pairs.select("a", "b").distinct())
+    pairs = cut(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("node"), F.lit(1).alias("part"))
-    heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.lit(0).alias("part"))
+    block = F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block")
+    dealt = pairs.join(blocks, "a").select("a", block, F.col("b").alias("node"), F.lit(1).alias("part"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    heads = blocks.select("a", each, F.col("a").alias("node"), F.lit(0).alias("part"))
     sent = cut(dealt.unionByName(heads))
     full = texts.join(small(sent), "node").select("a", "block", "part", "node", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = utf8(batch.column(4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in sets(data, ends)], pa.binary())], ["a", "block", "part", "node", "tokens"])
+            held = pa.array([s.tobytes() for s in sets(data, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], held], ["a", "block", "part", "node", "tokens"])
+
+    kinds = [tuple(x.split()) for x in schema.split(", ")]
+    arrow = {"long": pa.int64(), "boolean": pa.bool_()}
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = [], []
+            out: list[list] = [[] for _ in kinds]
+            size = 0
             for key, block, part, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 if part == 0:
                     at, head = (key, block), x
-                elif at == (key, block) and similar(head, x, percent):
-                    a.append(key)
-                    b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                elif at == (key, block) and (row := made(key, head, node, x)) is not None:
+                    for column, values in zip(out, row, strict=True):
+                        column.append(values)
+                    size += len(row[0])
+                    if size > 1 << 18:
+                        yield _columns(out, kinds, arrow)
+                        out, size = [[] for _ in kinds], 0
+            yield _columns(out, kinds, arrow)
 
     full = full.mapInArrow(tokens, "a long, block int, part int, node long, tokens binary")
-    return full.repartition("a", "block").sortWithinPartitions("a", "block", "part").mapInArrow(compared, "a long, b long")
+    return full.repartition("a", "block").sortWithinPartitions("a", "block", "part").mapInArrow(compared, schema)
+
+
+def _columns(out: list[list], kinds: list[tuple[str, str]], arrow: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], arrow[k]) for c, (_, k) in zip(out, kinds, strict=True)], [n for n, _ in kinds])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar.  texts: (node, text)."""
+
+    def made(a: int, x: np.ndarray, b: int, y: np.ndarray) -> tuple | None:
+        return ([a], [b]) if similar(x, y, percent) else None
+
+    return beside(pairs, texts, made, "a long, b long")
 
 
-def link(pairs: DataFrame, texts: DataFrame, percent: int, known: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
+def link(pairs: DataFrame, texts: DataFrame, percent: int, known: DataFrame | None = None, found: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
     """Verified links that join the same nodes as all similar candidate pairs would, and the components (v, component).
+    known: links that are settled already; found: their components, if at hand.
 
     Two rounds check one partner of each node, the smallest left; pairs within a component by then are settled; the
     last round checks all pairs still open."""
     rest = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    links, found = known, connected_components(known if known is not None else rest.limit(0))
+    links = known
+    if found is None:
+        found = cut(connected_components(known if known is not None else rest.limit(0)))
     for step in range(3):
         rest = cut(_across(rest, found))
         if rest.isEmpty():
@@ -90,41 +117,93 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def rarest_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, label) with different labels that may be similar.
-
-    Shingles are ordered by how many of the nodes have them, the rarest first: of n shingles, similar texts share one of
-    the first n * (100 - percent) // 100 + 1.  A passage in many texts comes last in this order."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = utf8(batch.column(2))
-            for i, x in enumerate(sets(data, ends)):
-                alike = [pa.array(np.full(len(x), batch.column(k)[i].as_py(), np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*alike, pa.array(np.full(len(x), len(x), np.int64)), pa.array(x.view(np.int64))], ["node", "label", "n", "token"])
-
-    tokens = cut(texts.join(small(nodes), "node").select("node", "label", "text").mapInArrow(of, "node long, label long, n long, token long"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    rank = Window.partitionBy("node").orderBy("held", "token")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))  # shingles of no other node come first
-    first = tokens.join(shared, "token").withColumn("rank", F.row_number().over(rank) + alone)
-    first = cut(first.where(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("token", "node", "label"))
-    span = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    both = cut(first.join(span, "token", "left_semi"))
-    other = both.select("token", F.col("node").alias("b"), F.col("label").alias("other"))
-    return both.join(other, "token").where("label < other").select(F.col("node").alias("a"), "b").distinct()
+def leaders(members: DataFrame) -> DataFrame:
+    """(node, leader): for each list of members (key, node), its members with the list's leader; a node with few leaders.
+
+    The leader is the member of most lists, then twice the leader of that one, so that lists of one group of near copies
+    come to the same leader.  Leaders are only found with max(), which combines before the shuffle."""
+    held = members.groupBy("node").agg(F.count("*").alias("held"))
+    known = cut(members.join(held, "node").select("key", "node", "held"))
+    lead = cut(known.groupBy("key").agg(F.max(F.struct("held", "node")).alias("lead")))
+    up = known.join(small(lead), "key").groupBy("node").agg(F.max("lead").alias("lead"))
+    up = cut(up.select("node", F.col("lead.node").alias("up")))
+    lead = lead.select("key", F.col("lead.node").alias("node"))
+    for _ in range(2):
+        lead = lead.join(small(up), "node").select("key", F.col("up").alias("node"))
+    lead = lead.select("key", F.col("node").alias("leader"))
+    return known.join(small(cut(lead)), "key").where("node <> leader").select("node", "leader").distinct()
+
+
+def _differences(percent: int):
+    def made(a: int, x: np.ndarray, b: int, y: np.ndarray) -> tuple | None:
+        token = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+        d = len(token)
+        near = (100 + percent) * d <= (100 - percent) * (len(x) + len(y))
+        if not d:  # equal sets: no token, so a row with 0 that no other row of this pair can meet
+            token = np.zeros(1, np.int64)
+        full = lambda v: np.full(len(token), v, np.int64)
+        first = np.zeros(len(token), bool)
+        first[0] = near
+        return full(a), full(b), full(len(y)), full(d), first, token
+
+    return made
+
+
+def link_lists(members: DataFrame, texts: DataFrame, percent: int, links: DataFrame | None, found: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Links and components (v, component) when also all similar pairs within the lists of members (key, node) are linked,
+    without all pairs of a list being made.
+
+    Each member is compared once with a leader of its list: the links so found contract a group of near copies.  Members
+    are then known by their differences from the leader, in which all that the group shares has gone, and which keep
+    distances: members x and y with d(x) <= d(y) differences of which c are common differ in d(x) + d(y) - 2c elements.
+    They may differ in h = (|x| + |y|) (100 - percent) / (100 + percent), so c >= (d(x) + d(y) - h) / 2.  If that is not
+    positive, both are similar to the leader and linked.  Else, with differences in order of how many members have them,
+    the rarest first, x has a common one among its first h / 2 + 1, y among its first h + 1; the places bound c again."""
+    members = cut(members.distinct())
+    known = members.join(found, F.col("node") == F.col("v"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = cut(known.join(mixed, "key", "left_semi").select("key", "node"))
+    if open_.isEmpty():
+        return links, found
+    schema = "leader long, node long, n long, d long, near boolean, token long"
+    told = leaders(open_).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    differing = cut(beside(told, texts, _differences(percent), schema))
+    star = differing.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    links = cut(star if links is None else links.unionByName(star))
+    found = cut(connected_components(links))
+    nodes = differing.select("leader", "node").distinct().join(found, F.col("node") == F.col("v"), "left")
+    nodes = cut(nodes.select("leader", "node", F.coalesce("component", "node").alias("label")))
+    spans = nodes.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("leader")
+    rows = cut(differing.where("d > 0").drop("near").join(small(cut(nodes.join(spans, "leader", "left_semi"))), ["leader", "node"]))
+    return link(apart(rows, percent), texts, percent, links, found)
+
+
+def apart(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar, of those with a leader in common and different labels, from their
+    differences (leader, node, label, n, d, token); n is the size of a node's set, d the number of its differences."""
+    shared = rows.groupBy("leader", "token").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("held > 1")
+    own = Window.partitionBy("leader", "node")
+    alone = F.col("d") - F.count("*").over(own)  # differences of no other member come first
+    place = F.row_number().over(own.orderBy("held", "token")) - 1 + alone
+    most = f"n * {100 - percent} div {percent}"
+    first = rows.join(shared, ["leader", "token"]).withColumn("place", place).where(f"place <= {most} and lo < hi")
+    first = cut(first.select("leader", "token", "node", "label", "n", "d", "place"))
+    x = first.where(f"place <= {most} div 2").alias("x")
+    may_differ = f"((x.n + y.n) * {100 - percent} div {100 + percent})"
+    met = x.join(first.alias("y"), ["leader", "token"]).where(
+        "x.label <> y.label and (x.d < y.d or x.d = y.d and x.node < y.node)"
+        f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" and 2 * least(x.d - x.place, y.d - y.place) >= x.d + y.d - {may_differ}")
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def components_of_buckets(members: DataFrame, texts: DataFrame, alike: float, known: DataFrame | None = None) -> DataFrame:
     """Components (v, component) over all similar pairs that share a key of members (key, node), and known links.
 
-    First each member is compared with the least of its bucket; then the members of buckets that still span components
-    are compared where their rarest shingles meet, whichever of these buckets they are in."""
+    First each member is compared with the least of its bucket; the buckets that still span components go to link_lists."""
     percent = round(100 * alike)
     members = cut(members.select("key", "node"))
     least = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    links, found = link(members.join(least, "key").select("a", F.col("node").alias("b")), texts, percent, known)
-    labelled = members.join(least, "key", "left_semi").join(found, F.col("node") == F.col("v"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = cut(labelled.join(mixed, "key", "left_semi").select("node", "label").distinct())
-    return found if left.isEmpty() else link(rarest_pairs(left, texts, percent), texts, percent, links)[1]
+    met = cut(members.join(least, "key"))
+    links, found = link(met.select("a", F.col("node").alias("b")), texts, percent, known)
+    return link_lists(met.select("key", "node"), texts, percent, links, found)[1]

@@ -15,8 +15,9 @@ missed in an index only if both sets fall short there, so both are in the next.
 by hash.  Candidates pass an exact bound (bitmaps of hash parity, whose distance never exceeds the true difference)
 before the sets themselves are compared.
 
-Lists of more than LONG sets: every set is compared with the first of the list.  Sets that lost more keys than their
-margin, in lists that still span components, are joined once more by their rarest shingles, so no link is lost.
+The allocation is by measured cost: a list that turns out longer than LONG gets 0.  Sets that lost more keys by it than
+their margin are compared with a leader of the list, and where the list still spans components, joined by their
+differences from it (links.link_lists), so no link is lost and no list is multiplied with itself.
 
 Defined results: null or word-less texts have the empty set and stand alone; a null id gets a null component; equal
 texts are one class; repeated rows are kept in the result; an empty table gives no rows; other columns are ignored.
@@ -30,9 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tracelake.llm.links import link, small
+from tracelake.llm.links import link, link_lists, small
 from tracelake.llm.shingles import mix, sets, utf8
 from tracelake.sources.shared import cut
 
@@ -97,8 +98,21 @@ def keys(x: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), spare
 
 
+def digest(x: np.ndarray) -> bytes:
+    """128 bits of hash of a set: equal digests make a class."""
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
 def class_key(x: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True)
+    """The short handle of a set in key lists; sets that share one by chance are both candidates."""
+    return int.from_bytes(digest(x)[:8], "big", signed=True)
+
+
+def least_spare(n: int) -> int:
+    """The fewest spare keys of sets that may be similar to a set of n elements."""
+    low = max(1, -(-PERCENT * n // 100))
+    need = (low + min(4 * low // 3, int(TOPS[np.searchsorted(TOPS, low)]))) // 7 + 1
+    return int(np.ceil(SPARE * need)) + 2
 
 
 def parity(x: np.ndarray) -> bytes:
@@ -120,25 +134,27 @@ def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
 
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, spare, n_keys, bits) of each row; node, a hash of the set, is null for the empty set."""
+    """(doc_id, n_shingles, digest, node, spare, n_keys, bits) of each row; digest and node, hashes of the set, are null
+    for the empty set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = utf8(batch.column(1))
-            n, node, spare, n_keys, bits = [], [], [], [], []
+            n, whole, node, spare, n_keys, bits = [], [], [], [], [], []
             for x in sets(data, ends):
                 n.append(len(x))
                 k, s = keys(x) if len(x) else ((), 0)
                 n_keys.append(len(k))
-                spare.append(s)
+                spare.append(min(s, least_spare(len(x))) if s else 0)
+                whole.append(digest(x) if len(x) else None)
                 node.append(class_key(x) if len(x) else None)
                 bits.append(parity(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(spare, pa.int32()), pa.array(n_keys, pa.int64()), pa.array(bits, pa.binary())],
-                ["doc_id", "n_shingles", "node", "spare", "n_keys", "bits"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(node, pa.int64()), pa.array(spare, pa.int32()), pa.array(n_keys, pa.int64()), pa.array(bits, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "node", "spare", "n_keys", "bits"])
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, n_shingles long, node long, spare int, n_keys long, bits binary")
+    return rows.mapInArrow(of, "doc_id long, n_shingles long, digest binary, node long, spare int, n_keys long, bits binary")
 
 
 def met(docs: DataFrame, n_keys: int, text: str = "text") -> DataFrame:
@@ -274,51 +290,26 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     one with an equal set."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = cut(digests(rows))
-    classes = cut(d.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.min("spare").alias("spare"), F.first("bits").alias("bits")))
+    classes = cut(d.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"),
+        F.min("spare").alias("spare"), F.first("bits").alias("bits")))
     out = cut(met(rows.where("doc_id is not null"), d.agg(F.sum("n_keys").alias("s")).first().s or 0))
-    pairs = out.where("kind = 0").select("a", "b").unionByName(out.where("kind = 1 and a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    links, found = link(_possible(pairs, classes), texts, PERCENT)
-    rest = _left(out, classes, found, texts)
-    if not rest.isEmpty():
-        links, found = link(_possible(rest, classes), texts, PERCENT, links)
-    whole = classes.join(found, classes.rep == found.v, "left").select("node", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    told = d.select("doc_id", "n_shingles", "node").join(cut(whole), "node", "left")
-    return told.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-
-
-def _left(out: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs that only long lists hold and that their first sets did not settle.
-
-    Concerned are the sets of long lists that span components and hold a set that lost more keys than it had to spare.
-    Among these, shingles are ordered by how many of the sets have them, the rarest first: similar sets share one of
-    their first n // 4 + 1.  What made the lists long, a passage in many texts, comes last in this order."""
-    members = out.where("kind = 1").select("key", F.col("a").alias("node"))
+    links, found = link(_possible(out.where("kind = 0").select("a", "b"), classes), texts, PERCENT)
+    found = link_lists(_hidden(out, classes), texts, PERCENT, links, found)[1]
+    whole = classes.join(found, classes.rep == found.v, "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    told = d.select("doc_id", "n_shingles", "digest").join(cut(whole), "digest", "left")
+    known = F.col("doc_id").isNotNull()
+    return told.select("doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def _hidden(out: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node): the long lists, with those of their sets, by least document, that lost more keys than any partner has
+    to spare.  A similar pair that no short list holds shares a long one, and both its sets are among these."""
+    members = out.where("kind = 1").select("key", F.col("a").alias("node")).distinct()
     lost = members.groupBy("node").agg(F.count("*").alias("lost"))
-    state = classes.join(found, classes.rep == found.v, "left").join(lost, "node").select("node", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"), (F.col("lost") > F.col("spare")).alias("short"))
-    known = members.join(state, "node")
-    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("short").alias("any")).where("lo < hi and any").select("key")
-    open_ = cut(known.join(mixed, "key", "left_semi").select(F.col("node").alias("set"), "rep", "n_shingles", "label").distinct())
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = utf8(batch.column(1))
-            for i, x in enumerate(sets(data, ends)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py(), np.int64)), pa.array(x.view(np.int64))], ["set", "token"])
-
-    own = small(open_.select("set", F.col("rep").alias("node")))
-    tokens = cut(texts.join(own, "node").select("set", "text").mapInArrow(of, "set long, token long"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    rows = tokens.join(shared, "token").join(open_.select("set", "n_shingles", "label"), "set")
-    rank = Window.partitionBy("set").orderBy("n", "token")
-    alone = F.col("n_shingles") - F.count("*").over(Window.partitionBy("set"))
-    first = rows.withColumn("rank", F.row_number().over(rank) + alone).where("rank <= floor(n_shingles / 4) + 1").select("token", "set", "label")
-    first = cut(first)
-    span = first.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    both = cut(first.join(span, "token", "left_semi"))
-    other = both.select("token", F.col("set").alias("b"), F.col("label").alias("other"))
-    return cut(both.join(other, "token").where("label < other").select(F.col("set").alias("a"), "b").distinct())
+    short = cut(classes.join(lost, "node").where("lost > spare").select("node", "rep"))
+    return members.join(small(short), "node").select("key", F.col("rep").alias("node"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
