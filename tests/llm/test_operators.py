@@ -63,7 +63,7 @@ def test_mixed_buckets_are_not_paired(spark):
     texts = spark.createDataFrame(rows, "node long, text string")
     found = links.components_of_buckets(texts.select(F.lit(1).cast("long").alias("key"), "node"), texts, 0.75).collect()
     assert {r.v: r.component for r in found} == {100 + 10 * i + k: 100 + 10 * i for i in range(3) for k in range(3)}
-    sets_of = links.beside(texts.where("node < 122").select(F.lit(122).alias("a"), F.col("node").alias("b")), texts, links._differences(75), "leader long, node long, n long, d long, near boolean, token long")
+    sets_of = links.beside(texts.where("node < 122").select(F.lit(122).alias("a"), F.col("node").alias("b")), texts, links._differences(75), links.DIFFERENCES)
     assert sets_of.where("near").count() == 2
     assert links.apart(sets_of.drop("near").withColumn("label", F.col("node")), 75).where("a < 120 or b < 120").count() == 6
 

@@ -32,7 +32,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def beside(pairs: DataFrame, texts: DataFrame, made, schema: str) -> DataFrame:
-    """Columns of made(a, set of a, b, set of b), one array each or None, for every pair (a, b).  texts: (node, text).
+    """A row made(a, set of a, b, set of b), or none where that is None, for every pair (a, b).  texts: (node, text).
 
     Each b goes to a block of its a; a goes to every block of its own.  A block is read as a stream, a first."""
     pairs = cut(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
@@ -50,40 +50,45 @@ def beside(pairs: DataFrame, texts: DataFrame, made, schema: str) -> DataFrame:
             held = pa.array([s.tobytes() for s in sets(data, ends)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], held], ["a", "block", "part", "node", "tokens"])
 
-    kinds = [tuple(x.split()) for x in schema.split(", ")]
-    arrow = {"long": pa.int64(), "boolean": pa.bool_()}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, np.zeros(0, np.uint64)
         for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            size = 0
+            rows, size = [], 0
             for key, block, part, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 if part == 0:
                     at, head = (key, block), x
                 elif at == (key, block) and (row := made(key, head, node, x)) is not None:
-                    for column, values in zip(out, row, strict=True):
-                        column.append(values)
-                    size += len(row[0])
+                    rows.append(row)
+                    size += len(x)
                     if size > 1 << 18:
-                        yield _columns(out, kinds, arrow)
-                        out, size = [[] for _ in kinds], 0
-            yield _columns(out, kinds, arrow)
+                        yield _columns(rows, names, kinds)
+                        rows, size = [], 0
+            yield _columns(rows, names, kinds)
 
     full = full.mapInArrow(tokens, "a long, block int, part int, node long, tokens binary")
     return full.repartition("a", "block").sortWithinPartitions("a", "block", "part").mapInArrow(compared, schema)
 
 
-def _columns(out: list[list], kinds: list[tuple[str, str]], arrow: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], arrow[k]) for c, (_, k) in zip(out, kinds, strict=True)], [n for n, _ in kinds])
+def _columns(rows: list[tuple], names: tuple[str, ...], kinds: tuple[str, ...]) -> pa.RecordBatch:
+    arrow = {"long": pa.int64(), "boolean": pa.bool_()}
+
+    def column(values: list, kind: str) -> pa.Array:
+        if kind in arrow:
+            return pa.array(values, arrow[kind])
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+    return pa.RecordBatch.from_arrays([column([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar.  texts: (node, text)."""
 
     def made(a: int, x: np.ndarray, b: int, y: np.ndarray) -> tuple | None:
-        return ([a], [b]) if similar(x, y, percent) else None
+        return (a, b) if similar(x, y, percent) else None
 
     return beside(pairs, texts, made, "a long, b long")
 
@@ -134,17 +139,18 @@ def leaders(members: DataFrame) -> DataFrame:
     return known.join(small(cut(lead)), "key").where("node <> leader").select("node", "leader").distinct()
 
 
+#: Of a node: its leader, size of its set, number of differences, whether it is similar to the leader, what it has more
+#: and, only if that is no more than may matter, what it has less than the leader.
+DIFFERENCES = "leader long, node long, n long, d long, near boolean, more array<long>, less array<long>"
+
+
 def _differences(percent: int):
-    def made(a: int, x: np.ndarray, b: int, y: np.ndarray) -> tuple | None:
-        token = np.setxor1d(x, y, assume_unique=True).view(np.int64)
-        d = len(token)
+    def made(a: int, x: np.ndarray, b: int, y: np.ndarray) -> tuple:
+        more, less = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+        d = len(more) + len(less)
         near = (100 + percent) * d <= (100 - percent) * (len(x) + len(y))
-        if not d:  # equal sets: no token, so a row with 0 that no other row of this pair can meet
-            token = np.zeros(1, np.int64)
-        full = lambda v: np.full(len(token), v, np.int64)
-        first = np.zeros(len(token), bool)
-        first[0] = near
-        return full(a), full(b), full(len(y)), full(d), first, token
+        needed = len(more) <= len(y) * (100 - percent) // percent
+        return a, b, len(y), d, near, more.view(np.int64), less.view(np.int64) if needed else np.zeros(0, np.int64)
 
     return made
 
@@ -157,37 +163,43 @@ def link_lists(members: DataFrame, texts: DataFrame, percent: int, links: DataFr
     are then known by their differences from the leader, in which all that the group shares has gone, and which keep
     distances: members x and y with d(x) <= d(y) differences of which c are common differ in d(x) + d(y) - 2c elements.
     They may differ in h = (|x| + |y|) (100 - percent) / (100 + percent), so c >= (d(x) + d(y) - h) / 2.  If that is not
-    positive, both are similar to the leader and linked.  Else, with differences in order of how many members have them,
-    the rarest first, x has a common one among its first h / 2 + 1, y among its first h + 1; the places bound c again."""
+    positive, both are similar to the leader and linked.  Else, with all differences in one order, x has a common one
+    among its first h / 2 + 1, y among its first h + 1; the places bound c again.  The order: what a node has more than the
+    leader, the rarest first, then what it has less."""
     members = cut(members.distinct())
     known = members.join(found, F.col("node") == F.col("v"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = cut(known.join(mixed, "key", "left_semi").select("key", "node"))
     if open_.isEmpty():
         return links, found
-    schema = "leader long, node long, n long, d long, near boolean, token long"
     told = leaders(open_).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    differing = cut(beside(told, texts, _differences(percent), schema))
+    differing = cut(beside(told, texts, _differences(percent), DIFFERENCES))
     star = differing.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = cut(star if links is None else links.unionByName(star))
     found = cut(connected_components(links))
-    nodes = differing.select("leader", "node").distinct().join(found, F.col("node") == F.col("v"), "left")
-    nodes = cut(nodes.select("leader", "node", F.coalesce("component", "node").alias("label")))
+    nodes = differing.drop("near").join(found, F.col("node") == F.col("v"), "left").withColumn("label", F.coalesce("component", "node")).drop("v", "component")
     spans = nodes.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("leader")
-    rows = cut(differing.where("d > 0").drop("near").join(small(cut(nodes.join(spans, "leader", "left_semi"))), ["leader", "node"]))
-    return link(apart(rows, percent), texts, percent, links, found)
+    return link(apart(cut(nodes.join(small(cut(spans)), "leader", "left_semi")), percent), texts, percent, links, found)
 
 
-def apart(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that may be similar, of those with a leader in common and different labels, from their
-    differences (leader, node, label, n, d, token); n is the size of a node's set, d the number of its differences."""
-    shared = rows.groupBy("leader", "token").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("held > 1")
-    own = Window.partitionBy("leader", "node")
-    alone = F.col("d") - F.count("*").over(own)  # differences of no other member come first
-    place = F.row_number().over(own.orderBy("held", "token")) - 1 + alone
+def apart(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar, of those with a leader in common and different labels; nodes: columns of
+    DIFFERENCES and label."""
     most = f"n * {100 - percent} div {percent}"
-    first = rows.join(shared, ["leader", "token"]).withColumn("place", place).where(f"place <= {most} and lo < hi")
-    first = cut(first.select("leader", "token", "node", "label", "n", "d", "place"))
+    more = nodes.select("leader", "node", "label", F.explode("more").alias("token"))
+    held = more.groupBy("leader", "token").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("node"))
+    held = cut(held)
+    alone = held.where("held = 1").groupBy("leader", "node").agg(F.count("*").alias("alone"))
+    left = cut(nodes.join(alone, ["leader", "node"], "left").where(f"coalesce(alone, 0) <= {most}"))  # of the rest, no shared one comes first
+    shared = left.select("leader", "node", "label", "n", "d", F.size("more").alias("all"), F.explode("more").alias("token"))
+    shared = shared.join(held.where("lo < hi").select("leader", "token", "held"), ["leader", "token"])
+    own = Window.partitionBy("leader", "node")
+    place = F.row_number().over(own.orderBy("held", "token")) - 1 + F.col("all") - F.count("*").over(own)
+    columns = ["leader", "token", "node", "label", "n", "d", F.col("place").cast("long").alias("place")]
+    shared = shared.withColumn("place", place).select(*columns)
+    less = left.select("leader", "node", "label", "n", "d", F.size("more").alias("all"), F.posexplode("less").alias("at", "token"))
+    less = less.withColumn("place", F.col("all") + F.col("at")).select(*columns)
+    first = cut(shared.unionByName(less).where(f"place <= {most}"))
     x = first.where(f"place <= {most} div 2").alias("x")
     may_differ = f"((x.n + y.n) * {100 - percent} div {100 + percent})"
     met = x.join(first.alias("y"), ["leader", "token"]).where(
