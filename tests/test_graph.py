@@ -242,8 +242,8 @@ layout: {root_path: ., openlore_path: kg}
 engineering_kg: {enabled: true, store_repository: reqs}
 openlore: {federation_enabled: true, freshness_policy: any}
 repositories:
-  - {id: reqs, path: reqs, description: d, ssh_url: "git@h:x", default_branch: main, role: requirements, openlore: {include_in_federation: true, index_location: idx}}
-  - {id: pay-service, path: svc/../svc/pay, description: d, ssh_url: "ssh://h/x", default_branch: main, role: code, service: {id: pay-service, name: Pay}, openlore: {include_in_federation: false}}
+  - {id: reqs, path: reqs, description: d, ssh_url: "git@h:x", default_branch: main, role: requirements, exploration: {include_by_default: true, search_exclusions: []}, git: {dirty_worktree: skip, fetch: allowed, pull: forbidden, pull_requires_default_branch: true}, openlore: {include_in_federation: true, index_location: idx}}
+  - {id: pay-service, path: svc/../svc/pay, description: d, ssh_url: "ssh://h/x", default_branch: main, role: code, exploration: {include_by_default: true, search_exclusions: []}, git: {dirty_worktree: skip, fetch: allowed, pull: forbidden, pull_requires_default_branch: true}, service: {id: pay-service, name: Pay}, openlore: {include_in_federation: false}}
 """
 
 
@@ -297,3 +297,52 @@ def test_workspace_edges_do_not_conduct(spark, extracted):
     found = {x.id: x.component for x in reach.labels(joined).collect()}
     owns = joined.edges.where("kind = 'owns'").first()
     assert found[owns.source_id] == found[owns.target_id] and joined.edges.where("kind = 'contains'").first().source_id not in found
+
+
+def test_registry_defaults(spark):
+    """Unset keys have their defaults, repositories lie below the registry's folder, missing and mistyped keys are told."""
+    least = """version: 1
+workspace: {name: Least}
+layout: {root_path: ws}
+repositories:
+  - {id: requirements, path: repos/a, description: d, ssh_url: "git@h:x", default_branch: main, role: requirements, exploration: {include_by_default: true, search_exclusions: []}, git: {dirty_worktree: skip, fetch: allowed, pull: forbidden, pull_requires_default_branch: true}, openlore: {include_in_federation: true, index_location: idx}}
+"""
+    bare = least.replace("Least", "Bare").replace("description: d, ", "").replace("fetch: allowed, ", "").replace("include_by_default: true", "include_by_default: often").replace("id: requirements", "id: other")
+    inside = least.replace("Least", "Inside").replace("path: repos/a", "path: ws/.engineering-kg")
+    files = spark.createDataFrame([("/base/repo-index.yaml", least), ("/bare/repo-index.yaml", bare), ("/in/repo-index.yaml", inside)], "path string, value string")
+    w, r, keys = registry.from_yaml(files)
+    row = w.where("name = 'Least'").first()
+    assert (row.enabled, row.federation_enabled, row.store_repository, row.openlore_path) == (True, True, "requirements", ".openlore")
+    assert r.where("workspace_id = 'Least'").first().resolved_path == "/base/repos/a"
+    found = {(x.workspace_id, x.rule, x.object, x.detail) for x in registry.violations(w, r, keys).collect()}
+    assert found == {
+        ("Bare", "required", "other", "description"), ("Bare", "required", "other", "fetch"), ("Bare", "required", "other", "include_by_default"),
+        ("Bare", "store_repository", "requirements", "unknown"), ("Inside", "generated_path", "output_path", "requirements"),
+    }
+    assert registry.federation(w, r).count() == 3
+
+
+@pytest.mark.parametrize("front, title, related", [
+    ("title: 2024", "a", []), ("title: true", "a", []), ("title: 2026-08-01", "a", []), ("title: '2024'", "2024", []), ("title: ' Foo '\nrelated: 5", "Foo", []),
+    ("related: [1, Foo, ' ', null]", "a", ["Foo"]), ("related: '[Draft] Foo'", "a", ["[Draft] Foo"]), ("related: Foo", "a", ["Foo"]), ("title: [broken", "a", []),
+])
+def test_frontmatter_types(spark, front, title, related):
+    files = spark.createDataFrame([("openspec/specs/a/spec.md", f"---\n{front}\n---\n### Requirement: R")], "path string, value string")
+    row = specs.parsed(specs.placed(files)).first()
+    assert (row.title, row.related) == (title, related)
+    assert specs.bad_frontmatter(files).count() == (front == "title: [broken")
+
+
+def test_frontmatter_keeps_types(spark):
+    """A number and a text with the same digits are different properties."""
+    made = [(f"openspec/specs/{n}/spec.md", f"---\nrepo: {v}\n---\n") for n, v in (("a", "1"), ("b", "'1'"), ("c", "true"), ("d", "{k: 1}"))]
+    g = specs.spec_facts(specs.parsed(specs.placed(spark.createDataFrame(made, "path string, value string"))))
+    assert {x.capability: x.props["/frontmatter/repo"] for x in g.nodes.collect()} == {"a": "1", "b": '"1"', "c": "true", "d": '{"k": 1}'}
+
+
+@pytest.mark.parametrize("keys, kind", [
+    (["repository", "revision", "file", "symbol"], "code"), (["repository", "file", "symbol"], None), (["repository", "revision", "file", "symbol", "line_start"], None),
+    ([*store.OPENSPEC], "openspec"), ([*store.OPENSPEC, "extra"], "openspec"), (["page_id"], "page"), (["page_id", "text"], None), (["text"], "text"),
+])
+def test_locator_kinds(spark, keys, kind):
+    assert value(spark, store.locator_kind(F.array(*map(F.lit, keys)))) == kind

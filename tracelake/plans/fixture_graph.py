@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tracelake.functions.ids import stable_id
+from tracelake.functions.props import json_text
 from tracelake.functions.text import ARTIFACTS
 from tracelake.operators.merge import concatenated
 from tracelake.schema import ACTIVE_SCOPE, ARCHIVED_SCOPE, DURABLE, IMPLEMENTS, REPOSITORY, Graph
-from tracelake.functions.ids import stable_id
 from tracelake.sources import registry, specs
 from tracelake.sources.specs import edge, heading_facts, related_facts, spec_facts
 from tracelake.sources.tables import table
@@ -16,7 +17,7 @@ from tracelake.sources.tables import table
 
 
 def _top(title, related):
-    return F.create_map(F.lit("title"), title, F.lit("related"), F.to_json(related))
+    return F.create_map(F.lit("title"), json_text(title), F.lit("related"), F.to_json(F.transform(related, json_text)))
 
 
 def durable(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from tracelake.plans.sql import needs, sid
 
 _LINE = r"regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1)"
 _PATHS = f"""p AS (SELECT page_id, '/' || array_to_string(list_filter(string_split({_LINE}, '/'), lambda x: x NOT IN ('', '.')), '/') AS path FROM pages WHERE {_LINE} <> '')"""
-_PARTS = "part JOIN durable ON p_brand = capability WHERE p_partkey % 2 = 0"
+_PARTS = "part JOIN durable ON p_brand = capability WHERE true"
 
 
 def _reach(start: str, tables: tuple[str, ...] = (), more: str = "") -> str:
@@ -48,7 +48,7 @@ ORACLES = {
       UNION ALL SELECT workspace_id, 'service_topology', sid, CAST(count(DISTINCT name) AS VARCHAR) FROM (
         SELECT workspace_id, name, 'svc-' || (CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS INT) % 5) AS sid FROM supplier JOIN repo ON n = s_nationkey) GROUP BY ALL HAVING count(DISTINCT name) > 1
       UNION ALL SELECT workspace_id, 'index_location', name, '  ' FROM repo WHERE include_in_federation AND n % 6 = 0""",
-    "path_containment": f"""WITH {_PATHS}, owners AS (SELECT DISTINCT path AS owner FROM p WHERE page_id % 5 = 0 UNION SELECT DISTINCT regexp_extract(path, '^/[^/]+', 0) FROM p)
+    "path_containment": f"""WITH {_PATHS}, owners AS (SELECT DISTINCT path AS owner FROM p UNION SELECT DISTINCT regexp_extract(path, '^/[^/]+', 0) FROM p)
       SELECT page_id, owner FROM p JOIN owners ON path = owner OR starts_with(path, owner || '/')""",
     "store_match": f"""{needs('repo')}, s AS (SELECT '/ws/repos/n' || (s_suppkey % 60) AS path, 'store-' || s_suppkey AS store_id FROM supplier)
       SELECT workspace_id, name AS id, count(store_id) AS matches, CASE WHEN count(store_id) = 1 THEN min(store_id) ELSE '-' END AS store_id,

@@ -54,7 +54,7 @@ def registry_violations(spark, d):
 def path_containment(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^:]+://[^/]+(/[^?#]*)", 1).alias("raw")).where("raw <> ''").select("page_id", tx.resolved(F.col("raw")).alias("path"))
     inner = p.select(F.lit("w").alias("workspace_id"), F.col("page_id").alias("item"), "path")
-    outer = p.where("page_id % 5 = 0").select(F.lit("w").alias("workspace_id"), "path").distinct().select("workspace_id", F.col("path").alias("owner"), "path")
+    outer = p.select(F.lit("w").alias("workspace_id"), "path").distinct().select("workspace_id", F.col("path").alias("owner"), "path")
     langs = p.select(F.lit("w").alias("workspace_id"), F.regexp_extract("path", "^/[^/]+", 0).alias("path")).distinct().select("workspace_id", F.col("path").alias("owner"), "path")
     return registry.contained(inner, outer.unionByName(langs).distinct()).select(F.col("item").alias("page_id"), "owner")
 
@@ -73,7 +73,7 @@ def federation_refs(spark, d):
 
 def _markdown(spark, d) -> DataFrame:
     """(path, value): the text of each durable specification, put together from its parts."""
-    heads = fg.part_headings(spark, d).where("p_partkey % 2 = 0")
+    heads = fg.part_headings(spark, d)
     line = F.when(F.col("scenario").isNull(), F.concat(F.lit("### Requirement:  "), "requirement", F.lit(" "))).otherwise(F.concat(F.lit("#### Scenario: "), "scenario"))
     noise = F.when(F.col("line") % 8 == 4, F.lit("\r\n## Requirement: ignored\n### Scenario: ignored")).otherwise(F.lit("\nplain text"))
     body = heads.select("path", "capability", "line", F.concat(line, noise).alias("text"))
@@ -97,7 +97,7 @@ def heading_scenarios(spark, d):
 
 def frontmatter_related(spark, d):
     p = specs.parsed(specs.placed(_markdown(spark, d)))
-    return p.select("capability", "title", F.array_join("related", "|").alias("related"), F.array_join(F.array_sort(F.map_keys("top")), "|").alias("keys"), F.col("top")["created"].alias("created"))
+    return p.select("capability", "title", F.array_join("related", "|").alias("related"), F.array_join(F.array_sort(F.map_keys("top")), "|").alias("keys"), specs.json_string(F.col("top")["created"]).alias("created"))
 
 
 def document_lines(spark, d):
@@ -289,7 +289,7 @@ def locator_kinds(spark, d):
     """Shapes of locators by their keys, by part size; one in five is unknown."""
     p = table(spark, d, "part")
     k = F.col("p_size") % 5
-    keys = F.when(k == 0, F.array(F.lit("text"))).when(k == 1, F.array(F.lit("page_id"))).when(k == 2, F.array(F.lit("repository"), F.lit("file"), F.lit("symbol"))).when(
+    keys = F.when(k == 0, F.array(F.lit("text"))).when(k == 1, F.array(F.lit("page_id"))).when(k == 2, F.array(F.lit("repository"), F.lit("revision"), F.lit("file"), F.lit("symbol"))).when(
         k == 3, F.array(F.lit("relative_file_path"), F.lit("artifact_type"), F.lit("openspec_identity"))).otherwise(F.array(F.lit("text"), F.lit("page_id")))
     return p.select("p_partkey", F.coalesce(store.locator_kind(keys), F.lit("unknown")).alias("loc_type"))
 

@@ -16,13 +16,19 @@ from tracelake.sources.specs import edge, node, yaml_json
 ROLES = ("requirements", "code", "configuration", "infrastructure", "library", "test", "other")
 DIRTY, REMOTE, VERSION = ("skip", "read-with-warning"), ("allowed", "forbidden"), 1
 SSH = ("git@", "ssh://")
+# What an unset key of a registry stands for.
+STORE_REPOSITORY, TOOL_PATH, OUTPUT_PATH, FRESHNESS = "requirements", ".openlore", ".engineering-kg/ladybugdb", "validate-only"
+
+#: Columns of a repository that must be there, besides id, path, role and address.
+REQUIRED = ("description", "default_branch", "include_by_default", "search_exclusions", "dirty_worktree", "fetch", "pull", "pull_requires_default_branch")
 
 REGISTRY = (
     "version int, workspace struct<id:string,name:string,description:string>, layout struct<root_path:string,openlore_path:string>, "
     "engineering_kg struct<enabled:boolean,store_repository:string,output_path:string,pipeline_stages:array<string>>, "
     "openlore struct<federation_enabled:boolean,freshness_policy:string>, repositories array<struct<id:string,path:string,description:string,"
     "ssh_url:string,default_branch:string,role:string,service:struct<id:string,name:string>,openlore:struct<include_in_federation:boolean,index_location:string>,"
-    "git:struct<dirty_worktree:string,fetch:string,pull:string>>>"
+    "exploration:struct<include_by_default:boolean,search_exclusions:array<string>,notes:string>,"
+    "git:struct<dirty_worktree:string,fetch:string,pull:string,pull_requires_default_branch:boolean,branch_rule:string>>>"
 )
 
 
@@ -33,15 +39,19 @@ def from_yaml(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ws_id = F.coalesce("r.workspace.id", "r.workspace.name")
     workspaces = r.select(
         ws_id.alias("workspace_id"), F.col("r.version").alias("version"), F.col("r.workspace.name").alias("name"), F.coalesce("r.workspace.description", F.lit("")).alias("description"),
-        F.col("r.layout").isNotNull().alias("has_layout"), F.coalesce("r.layout.root_path", F.lit(".")).alias("root_path"), F.coalesce("r.layout.openlore_path", F.lit("")).alias("openlore_path"),
-        F.regexp_replace("path", "/[^/]*$", "").alias("base"), F.coalesce("r.engineering_kg.enabled", F.lit(False)).alias("enabled"), F.col("r.engineering_kg.store_repository").alias("store_repository"),
-        F.col("r.engineering_kg.output_path").alias("output_path"), F.coalesce("r.openlore.federation_enabled", F.lit(False)).alias("federation_enabled"), F.col("r.openlore.freshness_policy").alias("freshness_policy"))
-    flat = r.select(ws_id.alias("workspace_id"), F.regexp_replace("path", "/[^/]*$", "").alias("base"), F.col("r.layout.root_path").alias("root"), F.explode("r.repositories").alias("p"))
+        F.col("r.layout").isNotNull().alias("has_layout"), F.coalesce("r.layout.root_path", F.lit(".")).alias("root_path"), F.coalesce("r.layout.openlore_path", F.lit(TOOL_PATH)).alias("openlore_path"),
+        F.regexp_replace("path", "/[^/]*$", "").alias("base"), F.coalesce("r.engineering_kg.enabled", F.lit(True)).alias("enabled"),
+        F.coalesce("r.engineering_kg.store_repository", F.lit(STORE_REPOSITORY)).alias("store_repository"),
+        F.coalesce("r.engineering_kg.output_path", F.lit(OUTPUT_PATH)).alias("output_path"), F.coalesce("r.openlore.federation_enabled", F.lit(True)).alias("federation_enabled"),
+        F.coalesce("r.openlore.freshness_policy", F.lit(FRESHNESS)).alias("freshness_policy"))
+    flat = r.select(ws_id.alias("workspace_id"), F.regexp_replace("path", "/[^/]*$", "").alias("base"), F.explode("r.repositories").alias("p"))
     repositories = flat.select(
-        "workspace_id", F.col("p.id").alias("id"), F.col("p.path").alias("path"), joined(joined(F.col("base"), F.coalesce("root", F.lit("."))), F.col("p.path")).alias("resolved_path"),
+        "workspace_id", F.col("p.id").alias("id"), F.col("p.path").alias("path"), joined(F.col("base"), F.col("p.path")).alias("resolved_path"),
         F.col("p.description").alias("description"), F.col("p.ssh_url").alias("ssh_url"), F.col("p.default_branch").alias("default_branch"), F.col("p.role").alias("role"),
         F.col("p.service.id").alias("service_id"), F.col("p.service.name").alias("service_name"), F.coalesce("p.openlore.include_in_federation", F.lit(False)).alias("include_in_federation"),
-        F.col("p.openlore.index_location").alias("index_location"), F.col("p.git.dirty_worktree").alias("dirty_worktree"), F.col("p.git.fetch").alias("fetch"), F.col("p.git.pull").alias("pull"))
+        F.col("p.openlore.index_location").alias("index_location"), F.col("p.git.dirty_worktree").alias("dirty_worktree"), F.col("p.git.fetch").alias("fetch"), F.col("p.git.pull").alias("pull"),
+        F.col("p.git.pull_requires_default_branch").alias("pull_requires_default_branch"), F.col("p.exploration.include_by_default").alias("include_by_default"),
+        F.col("p.exploration.search_exclusions").alias("search_exclusions"))
     keys = r.select(ws_id.alias("workspace_id"), F.explode(F.regexp_extract_all("json", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))).alias("path")).withColumn("path", F.concat(F.lit("/"), "path"))
     return workspaces, repositories, keys
 
@@ -89,6 +99,9 @@ def violations(workspaces: DataFrame, repositories: DataFrame, keys: DataFrame |
         out.append(_v(w.where(~F.col("version").eqNullSafe(VERSION)), "version", "workspace_id", "version"))
     out.append(_v(w.where(stripped(F.coalesce("name", F.lit(""))) == ""), "required", "workspace_id", F.lit("name")))
     out.append(_v(r.where((stripped(F.coalesce("id", F.lit(""))) == "") | (stripped(F.coalesce("path", F.lit(""))) == "")), "required", "id", F.lit("id, path")))
+    for c in REQUIRED:  # null also stands for a value of another type
+        if c in r.columns:
+            out.append(_v(r.where(F.col(c).isNull()), "required", "id", F.lit(c)))
     out.append(_v(r.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))), "role", "id", "role"))
     for c, allowed in (("dirty_worktree", DIRTY), ("fetch", REMOTE), ("pull", REMOTE)):
         if c in r.columns:
@@ -110,7 +123,8 @@ def violations(workspaces: DataFrame, repositories: DataFrame, keys: DataFrame |
         outside = made.join(contained(made, root).select("workspace_id"), "workspace_id", "left_anti")
         out.append(_v(outside, "outside_root", "item", "path"))
         every = r.select("workspace_id", F.col("id").alias("owner"), F.col("resolved_path").alias("path"))
-        out.append(_v(contained(made, every), "generated_path", "item", "owner"))
+        stored = laid.select("workspace_id", F.lit("output_path").alias("item"), joined(joined(F.col("base"), F.col("root_path")), F.col("output_path")).alias("path"))
+        out.append(_v(contained(made.unionByName(stored), every), "generated_path", "item", "owner"))
     out.append(_v(r.where(F.col("include_in_federation") & (stripped(F.coalesce("index_location", F.lit(""))) == "")), "index_location", "id", "index_location"))
     if keys is not None:
         out.append(_v(keys.where(holds(F.col("path"), NOT_REGISTERED)), "forbidden", "path", "path"))

@@ -11,8 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a new local one if the master is local
+    (tests), else an error: executors could not see the driver's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tracelake-"))
 
 

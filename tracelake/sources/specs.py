@@ -50,6 +50,55 @@ def yaml_json(blocks: pd.Series) -> pd.Series:
     return blocks.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def yaml_values(blocks: pd.Series) -> pd.Series:
+    """YAML mappings as JSON objects whose values are JSON texts themselves, so that 1 and "1" differ; the items of lists are
+    JSON texts once more; dates become texts after a blank, which tells them from strings.  Anything else, broken YAML too,
+    is an empty mapping."""
+    import datetime
+
+    import yaml
+
+    def text(value) -> str:
+        blank = " " if isinstance(value, datetime.date) else ""
+        return blank + json.dumps(value, default=str, ensure_ascii=False)
+
+    def one(block: str | None) -> str:
+        try:
+            value = yaml.safe_load(block) if block else None
+        except yaml.YAMLError:
+            value = None
+        kept = value.items() if isinstance(value, dict) else ()
+        return text({str(k): text([text(x) for x in v] if isinstance(v, list) else v) for k, v in kept})
+
+    return blocks.map(one)
+
+
+@F.pandas_udf(T.BooleanType())
+def is_yaml(blocks: pd.Series) -> pd.Series:
+    import yaml
+
+    def one(block: str | None) -> bool:
+        try:
+            yaml.safe_load(block or "")
+        except yaml.YAMLError:
+            return False
+        return True
+
+    return blocks.map(one)
+
+
+def bad_frontmatter(files: DataFrame) -> DataFrame:
+    """(path): specification files whose frontmatter is broken YAML; parsed() takes them as files without any."""
+    block = files.select("path", tx.frontmatter(tx.lines(F.col("value")))["block"].alias("block")).where("block is not null")
+    return block.where(~is_yaml("block")).select("path")
+
+
+def json_string(text: Column) -> Column:
+    """The text of a JSON string; null for other JSON."""
+    return F.when(text.startswith('"'), F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0])
+
+
 def placed(files: DataFrame) -> DataFrame:
     """files with scope, change and capability; rows that are no specification file of the layout are dropped."""
     path = F.col("path")
@@ -65,13 +114,15 @@ def placed(files: DataFrame) -> DataFrame:
 
 def parsed(files: DataFrame) -> DataFrame:
     """placed() with title, related titles, frontmatter map and the body lines."""
-    split = files.withColumn("fm", tx.frontmatter(tx.lines(F.col("value")))).withColumn("json", yaml_json("fm.block"))
-    top = F.from_json("json", "map<string,string>")
-    front = split.withColumn("top", top)
-    related = F.when(F.col("top")["related"].startswith("["), F.from_json(F.col("top")["related"], "array<string>")).otherwise(F.array(F.col("top")["related"]))
-    front = front.withColumn("related", tx.related_titles(F.when(F.col("top")["related"].isNotNull(), related)))
-    # a title that is no string counts as none
-    return front.withColumn("title", tx.title_or(F.col("top")["title"], F.col("capability"))).withColumn("top", F.map_filter("top", lambda k, v: k.isin(*tx.FRONTMATTER_KEYS) & v.isNotNull())).withColumn("body", F.col("fm.body")).drop("fm", "json", "value")
+    split = files.withColumn("fm", tx.frontmatter(tx.lines(F.col("value")))).withColumn("json", yaml_values("fm.block"))
+    front = split.withColumn("top", F.from_json("json", "map<string,string>"))
+    related = F.col("top")["related"]
+    items = F.transform(F.from_json(F.when(related.startswith("["), related), "array<string>"), json_string)
+    one = F.array(json_string(related))
+    front = front.withColumn("related", tx.related_titles(F.filter(F.coalesce(items, one), lambda x: x.isNotNull())))
+    front = front.withColumn("title", tx.title_or(json_string(F.col("top")["title"]), F.col("capability")))
+    kept = F.transform_values(F.map_filter("top", lambda k, v: k.isin(*tx.FRONTMATTER_KEYS) & v.isNotNull()), lambda k, v: F.ltrim(v))
+    return front.withColumn("top", kept).withColumn("body", F.col("fm.body")).drop("fm", "json", "value")
 
 
 def headings(bodies: DataFrame) -> DataFrame:
@@ -136,12 +187,11 @@ def evidence_id(path: Column, identity_: Column) -> Column:
 
 def spec_facts(specs: DataFrame, repository_id: str = "requirements") -> Graph:
     """Specifications (path, scope, change, capability, title, related, top) as nodes with evidence; the touch edges of
-    those inside a change."""
+    those inside a change.  The values of top are JSON texts."""
     change = F.coalesce(F.col("change"), F.lit(""))
     base = props(capability=F.col("capability"), change_identity=change, openspec_identity=identity(), repository_id=F.lit(repository_id), scope=F.col("scope"))
     quoted = F.map_filter("top", lambda k, v: k != "related")
-    front = F.transform_values(F.transform_keys(quoted, lambda k, v: F.concat(F.lit("/frontmatter/"), k)), lambda k, v: F.to_json(F.array(v)))
-    front = F.transform_values(front, lambda k, v: F.substring(v, F.lit(2), F.length(v) - 2))
+    front = F.transform_keys(quoted, lambda k, v: F.concat(F.lit("/frontmatter/"), k))
     full = F.map_concat(base, front, F.when(F.map_contains_key("top", "related"), listed("frontmatter__related", F.col("related"))).otherwise(F.create_map().cast("map<string,string>")))
     e = evidence_id(F.col("path"), identity())
     nodes = specs.select(*node(spec_id(), SPEC, F.col("title"), full, e, capability=F.col("capability"), scope=F.col("scope"), change_identity=change, openspec_identity=identity()), _ord(1, F.col("path"), 0))
