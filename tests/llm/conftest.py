@@ -44,7 +44,8 @@ def docs(spark):
 
     df = spark.createDataFrame(rows(), DOCS).repartition(5)
     # names that operators use inside
-    clash = ("n_words", "h", "node", "bucket", "stratum", "row", "gone", "blob", "spans", "component_id", "epoch", "gone lines_", "w", "x", "ord")
+    clash = ("n_words", "h", "node", "bucket", "stratum", "row", "gone", "blob", "spans", "component_id", "epoch", "gone lines_", "w", "x", "ord",
+             "gone lines", "near copy id", "taken id", "meta.url", "key", "lost", "of", "whole", "taken", "quality rules ", "c", "a b,c", "label", "place")
     return df.select("*", *[F.lit(7).alias(c) for c in clash]).cache()
 
 

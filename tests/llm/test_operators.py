@@ -95,6 +95,20 @@ def test_secret_spans_and_ledger(spark, tmp_path):
     assert {tuple(r.scanned) for r in more} == {("hex@2",)} and {s.kind for r in more for s in r.spans} == {"hex"}
 
 
+def test_many_secrets_in_one_text(spark):
+    """The work grows with the findings, not with their square."""
+    import time
+
+    n = 200_000
+    text = " ".join(f"{i:032x}" for i in range(n))
+    rows = spark.createDataFrame([(1, text), (2, "é password=abcdefgh9 " + "0" * 32)], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in secrets.scan_documents(rows).collect()}
+    assert time.time() - begun < 120
+    assert got[1].n_hex == n and got[1].spans.startswith("hex:0:32,hex:33:65,") and got[1].spans.endswith(f"hex:{33 * (n - 1)}:{33 * n - 1}")
+    assert got[2].spans == "assign:2:20,hex:21:53"
+
+
 def test_ngram_join(some):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(some).collect()}
     want = brute.jaccard(pairs(some))

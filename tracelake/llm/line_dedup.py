@@ -72,14 +72,15 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", keep_gone: bool = False) -> DataFrame:
     """docs with the later occurrences of repeated runs deleted from their texts; keep_gone adds the column `gone`."""
-    gone = repeated_lines(docs, id, text).select(F.col("doc").alias("of document"), F.col("gone").alias("gone lines"))
-    joined = docs.join(gone, docs[id] == F.col("of document"), "left")
-    all_lines = lines_of(F.col(text))
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone lines"))
-    new = F.when(F.col("gone lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(
+    gone = repeated_lines(docs, id, text).select(F.col("doc").alias("of"), F.col("gone").alias("lost"))
+    own = docs.select(F.struct("*").alias("row"), F.col(id).alias("key"), F.col(text).alias("whole"))  # no column of docs clashes with those added
+    joined = own.join(gone, F.col("key") == F.col("of"), "left")
+    all_lines = lines_of(F.col("whole"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("lost"))
+    new = F.when(F.col("lost").isNull() | F.col("whole").isNull(), F.col("whole")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n"))
-    out = [new.alias(text) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*out, *([F.coalesce("gone lines", F.array().cast("array<int>")).alias("gone")] if keep_gone else []))
+    out = joined.select(F.col("row").withField(f"`{text}`", new).alias("row"), F.coalesce("lost", F.array().cast("array<int>")).alias("gone"))
+    return out.select("row.*", *(["gone"] if keep_gone else []))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

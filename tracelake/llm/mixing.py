@@ -108,5 +108,6 @@ def select_rows(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 
 def mix_documents(docs: DataFrame, plan: Plan = STAGE_PLAN) -> DataFrame:
     """The rows of docs that the plan takes (once each), with their own columns."""
-    taken = select_rows(docs, plan).select(F.col("doc_id").alias("taken id")).distinct()
-    return docs.join(taken, docs.doc_id.eqNullSafe(F.col("taken id")), "left_semi")
+    taken = select_rows(docs, plan).select(F.col("doc_id").alias("taken")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))  # no column of docs clashes with those added
+    return own.join(taken, F.col("key").eqNullSafe(F.col("taken")), "left_semi").select("row.*")

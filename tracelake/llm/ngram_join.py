@@ -315,5 +315,6 @@ def _hidden(out: DataFrame, classes: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one with the least id.  Rows with a null id stay; rows that
     repeat an id stay or go together."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("near copy id")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("near copy id"), "left_anti")
+    gone = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))  # no column of docs clashes with those added
+    return own.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")

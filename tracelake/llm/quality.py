@@ -122,7 +122,13 @@ def thresholds(features: DataFrame, labels: DataFrame, risk: float = RISK, delta
 def features(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, stratum, counts, shares by rule name, base_failed) of each row."""
     f = docs.select(F.col(id).alias("doc_id"), stratum(F.col(lang)).alias("stratum"), counts(F.col(text)).alias("c"))
-    return f.select("doc_id", "stratum", "c.*").select("*", failed().alias("base_failed"), *[F.expr(e).alias(r) for r, e in RULES.items()])
+    return told(f)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """rows with a struct c of counts as its columns, and the shares and base_failed beside them."""
+    flat = rows.select("*", "c.*").drop("c")
+    return flat.select("*", failed().alias("base_failed"), *[F.expr(e).alias(r) for r, e in RULES.items()])
 
 
 def beyond() -> Column:
@@ -146,9 +152,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    t = thresholds(cut(features(docs)), labels, risk, delta)
-    inner = "quality rules "  # no column of docs is hidden by those added here
-    c = counts(F.col("text"))
-    own = docs.select(F.struct("*").alias("row"), stratum(F.col("lang")).alias("stratum"), c.alias(inner))
-    own = own.select("row", "stratum", f"`{inner}`.*").select("*", failed().alias("base_failed"), *[F.expr(e).alias(r) for r, e in RULES.items()])
-    return own.join(F.broadcast(t), "stratum", "left").where(~F.col("base_failed") & ~beyond()).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), stratum(F.col("lang")).alias("stratum"), counts(F.col("text")).alias("c"))
+    rows = cut(rows)  # counted once; what follows reads the counts
+    t = thresholds(told(rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "c")), labels, risk, delta)
+    judged = told(rows).join(F.broadcast(t), "stratum", "left")  # thresholds() bounds its rows
+    return judged.where(~F.col("base_failed") & ~beyond()).select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.sources.shared import shared_dir
 
@@ -42,24 +42,18 @@ RULES = BASE + ADDED
 SPAN = "struct<start:int,ord:int,end:int,kind:string,version:string>"
 
 
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of a rule in a text, in code points: the pieces between matches and the matches alternate, so their
-    lengths add up to the positions."""
+STEP = "array<struct<ord:int,at:int,gap:int,size:int,long:boolean>>"
+
+
+def steps(text: Column, rule: Rule, order: int) -> Column:
+    """The matches of a rule in a text: each with its number, the code points between the last one and it, its own, and
+    whether it is long enough.  The pieces between matches and the matches alternate, so their lengths add up to places."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    told = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
-    steps = F.zip_with(F.arrays_zip(F.slice(F.transform(F.split(text, rule.pattern), F.length), 1, F.size(found)).alias("gap"), F.transform(found, F.length).alias("size")), told, lambda x, n: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), n.alias("told")))
-    nothing = F.array().cast(f"array<{SPAN}>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(x["told"] >= rule.least, F.concat(a["out"], F.array(F.struct(
-                (a["at"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), (a["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"),
-            )))).otherwise(a["out"]).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(rule.pattern), walked).otherwise(nothing)
+    told = found if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    pieces = F.arrays_zip(F.slice(F.split(text, rule.pattern), 1, F.size(found)).alias("gap"), found.alias("match"), told.alias("told"))
+    walked = F.transform(pieces, lambda x, i: F.struct(
+        F.lit(order).alias("ord"), i.alias("at"), F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), (F.length(x["told"]) >= rule.least).alias("long")))
+    return F.when(text.rlike(rule.pattern), walked.cast(STEP)).otherwise(F.array().cast(STEP))
 
 
 def key(rule: Rule) -> str:
@@ -80,16 +74,22 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, text: str = "text
         blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     else:
         blobs = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", wanted)
-    nothing = F.array().cast(f"array<{SPAN}>")
-    found = [F.when(F.array_contains("todo", key(r)), spans(F.col("text"), r, i)).otherwise(nothing) for i, r in enumerate(rules)]
-    return blobs.select("blob", F.col("todo").alias("scanned"), F.concat(*found).alias("spans"))
+    found = [F.when(F.array_contains("todo", key(r)), steps(F.col("text"), r, i)).otherwise(F.array().cast(STEP)) for i, r in enumerate(rules)]
+    # a blob's matches stay in its partition: places are running sums, so the work grows with the matches, not their square
+    each = blobs.select("blob", F.col("todo").alias("scanned"), F.explode_outer(F.concat(*found)).alias("s")).select("blob", "scanned", "s.*")
+    run = Window.partitionBy("blob", "ord").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run).cast("int"))
+    name = lambda field: F.get(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col("ord"))
+    span = F.when(F.col("long"), F.struct((F.col("end") - F.col("size")).alias("start"), "ord", "end", name("kind").alias("kind"), name("version").alias("version")))
+    return placed.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.collect_list(span).cast(f"array<{SPAN}>").alias("spans"))
 
 
 def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: list[Rule] = RULES, keep: list[str] = ("doc_id",)) -> DataFrame:
     """Each row of versions: its kept columns and the sorted spans of the current rule versions found in its blob."""
     current = [key(r) for r in rules]
     told = ledger.where("size(spans) > 0").groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    told = told.withColumn("spans", F.sort_array(F.array_distinct(F.filter("spans", lambda s: F.concat(s["kind"], F.lit("@"), s["version"]).isin(current)))))
+    told = told.withColumn("spans", F.sort_array(F.filter("spans", lambda s: F.concat(s["kind"], F.lit("@"), s["version"]).isin(current))))
+    told = told.withColumn("spans", F.filter("spans", lambda s, i: (i == 0) | (F.get("spans", i - 1) != s)))  # each once
     rows = versions.select(*[F.col(k) for k in keep], blob_of(F.col(text)).alias("blob"))
     return rows.join(told, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).drop("blob")
 
