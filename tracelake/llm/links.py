@@ -165,7 +165,7 @@ def link_lists(members: DataFrame, texts: DataFrame, percent: int, links: DataFr
     They may differ in h = (|x| + |y|) (100 - percent) / (100 + percent), so c >= (d(x) + d(y) - h) / 2.  If that is not
     positive, both are similar to the leader and linked.  Else, with all differences in one order, x has a common one
     among its first h / 2 + 1, y among its first h + 1; the places bound c again.  The order: what a node has more than the
-    leader, the rarest first, then what it has less."""
+    leader, then what it has less, the rarest first in both."""
     members = cut(members.distinct())
     known = members.join(found, F.col("node") == F.col("v"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
@@ -197,7 +197,10 @@ def apart(nodes: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(own.orderBy("held", "token")) - 1 + F.col("all") - F.count("*").over(own)
     columns = ["leader", "token", "node", "label", "n", "d", F.col("place").cast("long").alias("place")]
     shared = shared.withColumn("place", place).select(*columns)
-    less = left.select("leader", "node", "label", "n", "d", F.size("more").alias("all"), F.posexplode("less").alias("at", "token"))
+    lacking = left.select("leader", F.explode("less").alias("token")).groupBy("leader", "token").agg(F.count("*").alias("held"))
+    order = lacking.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("order"))  # no more than the leader has
+    less = left.join(order.select("leader", F.col("order.token").alias("order")), "leader")
+    less = less.select("leader", "node", "label", "n", "d", F.size("more").alias("all"), F.posexplode(F.array_intersect("order", "less")).alias("at", "token"))
     less = less.withColumn("place", F.col("all") + F.col("at")).select(*columns)
     first = cut(shared.unionByName(less).where(f"place <= {most}"))
     x = first.where(f"place <= {most} div 2").alias("x")
