@@ -343,10 +343,16 @@ def test_licenses(spark, some):
                 best = max(best, len(wanted & {tuple(part[k : k + 5]) for k in range(len(part) - 4)}) / len(wanted))
             if best >= licenses.CONTAINED:
                 want[(i, name)] = best
+    assert set(got) == set(want)
     assert got == pytest.approx(want)
     assert all((7000 + i, name) in got for i, (name, _) in enumerate(licenses.TEMPLATES))
 
 
+def test_licenses_that_cannot_be_matched(spark, some):
+    with pytest.raises(ValueError, match="fewer than"):
+        licenses.scan(some, [("short", "all rights reserved")])
+
+
 def plain_url(url):
     if url is None or "://" not in url:
         return "", ""
@@ -391,6 +397,23 @@ def test_url_model_on_held_out_rows(spark):
     assert ((z > 0) == np.array([r.label == 1 for r in held])).mean() > 0.95
 
 
+def test_url_labels_on_held_out_rows(spark):
+    """Fitted on two thirds of the labelled table, the model tells most of the rest; labelled= is taken instead of it."""
+    rows = url_filter.labels()
+    right = []
+    for k in range(3):
+        fit, held = [r for i, r in enumerate(rows) if i % 3 != k], rows[k::3]
+        w, b = url_filter.fit(*map(list, zip(*fit)))
+        at, places = url_filter.ngrams([h for h, _, _ in held], [p for _, p, _ in held])
+        z = np.bincount(at, w[places], len(held)) / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(held)))) + b
+        right += [(z > 0)[i] == (r[2] == 1) for i, r in enumerate(held)]
+    assert np.mean(right) > 0.85
+    pages = spark.createDataFrame([(1, "http://casino-poker.example/slots"), (2, "http://town-library.example/books/history")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(pages).orderBy("page_id").collect()] == ["block", "allow"]
+    turned = spark.createDataFrame([(h, p, 1 - x) for h, p, x in rows], "host string, path string, label int")
+    assert [r.verdict for r in url_filter.filter_urls(pages, turned).orderBy("page_id").collect()] == ["allow", "block"]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, tmp_path, name):
     empty.write.parquet(f"{tmp_path}/documents.parquet")

@@ -26,7 +26,7 @@ BANDS = 24
 WORDS = 5
 WORD = r"[\p{L}\p{N}]+"
 #: Templates are compared in memory; their number is bounded.
-MOST_TEMPLATES = 2000
+MOST_TEMPLATES, MOST_CHARS = 2000, 4_000_000
 
 # Fixed values: (license, text) of common notices.
 TEMPLATES = [
@@ -40,6 +40,16 @@ TEMPLATES = [
     ("GPL-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("MPL-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("MIT-name", "Licensed under the MIT License."),
+    ("MIT-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License"),
+    ("AGPL", "under the terms of the GNU Affero General Public License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-name", "Licensed under the BSD 3-Clause License."),
 ]
 
 
@@ -66,17 +76,25 @@ def shingles(words: Column) -> Column:
 
 
 def minima(hashes: Column) -> Column:
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, b=b: F.xxhash64(F.lit(b), h))) for b in range(BANDS)])
+    def band(b: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(b), h)))
+
+    return F.array(*[band(b) for b in range(BANDS)])
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows): each license whose template a window of the text holds."""
-    assert len(templates) <= MOST_TEMPLATES
+    if len(templates) > MOST_TEMPLATES or sum(len(t) for _, t in templates) > MOST_CHARS:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates or {MOST_CHARS} characters of them")
     spark = docs.sparkSession
-    rows = [(name, w, len(w)) for name, t in templates if len(w := template_words(t)) >= WORDS]
+    rows = [(name, w, len(w)) for name, t in templates if (w := template_words(t))]
+    if short := [name for name, w, n in rows if n < WORDS] or len(rows) < len(templates):
+        raise ValueError(f"templates of fewer than {WORDS} words can't be matched: {short}")
     known = spark.createDataFrame(rows, "license string, words array<string>, length int")
     known = known.withColumn("wanted", F.array_distinct(shingles(F.col("words")))).drop("words")
-    known = known.select("license", "length", "wanted", F.posexplode(minima(F.transform("wanted", lambda s: F.xxhash64(s)))).alias("band", "least"))
+    wanted = known.select(F.monotonically_increasing_id().alias("template"), "license", "wanted", "length")
+    wanted = spark.createDataFrame(wanted.collect(), wanted.schema)  # as many rows as templates
+    known = wanted.select("template", "length", F.posexplode(minima(F.transform("wanted", lambda s: F.xxhash64(s)))).alias("band", "least"))
     stop = anchors(templates)
     lowered = docs.select(F.col(id).alias("doc_id"), F.lower(F.col(text)).alias("low")).where(F.col("low").rlike("|".join(stop)))
     words = lowered.select("doc_id", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w"))
@@ -93,7 +111,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id: str
     windows = words.select("doc_id", "w", F.explode(F.concat(*[starts(n) for n in lengths])).alias("x")).select(
         "doc_id", F.col("x.start").alias("start"), F.col("x.length").alias("length"), shingles(F.slice(F.col("w"), F.col("x.start") + 1, F.col("x.size"))).alias("grams"))
     banded = windows.where("size(grams) > 0").select("*", F.posexplode(minima(F.transform("grams", lambda s: F.xxhash64(s)))).alias("band", "least"))
-    found = banded.join(F.broadcast(known), ["length", "band", "least"])
+    # of each template 24 short rows are sent for its bands, its shingles once; MOST_CHARS bounds both
+    found = banded.join(F.broadcast(known), ["length", "band", "least"]).join(F.broadcast(wanted.drop("length")), "template")
     held = (F.size(F.array_intersect("wanted", "grams")) / F.size("wanted")).alias("containment")
     sure = found.select("doc_id", "license", "start", held).where(F.col("containment") >= CONTAINED)
     return sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("first_word"), F.countDistinct("start").alias("n_windows"))

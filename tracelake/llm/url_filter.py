@@ -22,6 +22,36 @@ RULES = [
     ("block", "org/es/"),
 ]
 
+# The labelled URL table, host and path; what to block and what to allow.
+BLOCKED = """
+best-casino-bonus.example /play/slots  lucky-casino.example /bonus/free-spins  online-poker-win.example /poker/bonus  slots-jackpot.example /casino/play
+bet-now.example /betting/odds  sports-betting.example /bet/live  free-spins-casino.example /slots/win  royal-poker.example /casino/jackpot
+casino777.example /bonus/slots  jackpot-win.example /play/casino  betting-odds.example /sports/bet  poker-bonus.example /win/free
+cheap-pills.example /buy/viagra  pills-online.example /order/cialis  buy-viagra.example /cheap/pills  pharmacy-discount.example /pills/order
+cheap-cialis.example /buy/online  online-pharmacy.example /viagra/discount  pills-discount.example /buy/cheap  order-pills.example /pharmacy/cheap
+xxx-videos.example /porn/free  free-porn.example /xxx/videos  sex-cams.example /live/girls  porn-tube.example /videos/xxx
+hot-girls.example /sex/live  adult-cams.example /xxx/live  live-sex.example /cams/adult  xxx-tube.example /free/porn
+ads.tracker.example /click/banner  adserver.example /banner/click?  track-clicks.example /ads/pixel  banner-ads.example /adclick/track
+popup-ads.example /click/redirect  adclick.example /track/banner  pixel-tracker.example /ads/click  doubleads.example /banner/popup
+replica-watches.example /cheap/rolex  cheap-rolex.example /replica/buy  replica-bags.example /buy/cheap  fake-watches.example /replica/cheap
+payday-loans.example /apply/fast-cash  fast-cash.example /loans/payday  quick-loans.example /cash/apply  easy-payday.example /fast/loans
+crack-download.example /warez/keygen  keygen-free.example /crack/serial  warez-serials.example /download/crack  free-warez.example /keygen/download
+"""
+ALLOWED = """
+city-library.example /catalogue/books  state-university.example /research/papers  history-museum.example /exhibits/today  daily-news.example /world/article
+science-journal.example /volume/article  public-school.example /lessons/maths  city-council.example /minutes/meeting  health-institute.example /guides/vaccines
+open-encyclopedia.example /wiki/geology  news-herald.example /politics/article  national-archive.example /records/letters  cooking-recipes.example /soup/lentil
+university-press.example /books/history  garden-club.example /plants/roses  weather-service.example /forecast/week  chess-club.example /openings/sicilian
+python-docs.example /tutorial/classes  compiler-notes.example /docs/parser  linux-manual.example /pages/kernel  math-lectures.example /notes/algebra
+bird-watching.example /species/robin  train-timetable.example /stations/lines  music-theory.example /lessons/harmony  language-course.example /grammar/verbs
+law-review.example /articles/contract  economics-department.example /research/papers  physics-lab.example /papers/optics  art-gallery.example /exhibits/prints
+museum-of-history.example /collection/letters  library-archive.example /books/records  evening-news.example /local/article  school-science.example /lessons/physics
+research-institute.example /reports/climate  county-records.example /archive/minutes  poetry-journal.example /volume/poems  travel-guide.example /cities/museums
+national-library.example /catalogue/archive  observatory.example /notes/stars  medical-journal.example /volume/papers  parliament.example /records/debates
+astronomy-club.example /guides/planets  geology-department.example /lectures/rocks  village-school.example /news/term  book-reviews.example /history/article
+botany-notes.example /plants/ferns  river-trust.example /reports/water  teachers-college.example /courses/grammar  film-archive.example /catalogue/records
+"""
+
 #: Weights of the model; n-grams are hashed to so many places.
 DIMENSIONS = 1 << 14
 #: Documented bound of the labelled URL table that the model is fitted on.
@@ -97,8 +127,18 @@ def score_udf(w: np.ndarray, b: float):
     return score
 
 
+def labels() -> list[tuple[str, str, int]]:
+    """(host, path, label) of the labelled table; label 1 is block.  The last part of a host is left out: it tells nothing."""
+    out = []
+    for text, label in ((BLOCKED, 1), (ALLOWED, 0)):
+        parts = text.split()
+        out += [(h.removesuffix(".example"), p, label) for h, p in zip(parts[::2], parts[1::2], strict=True)]
+    return out
+
+
 def labelled_urls(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, bound: int = MAX_LABELLED) -> DataFrame:
-    """The small labelled table: of the distinct URLs that a rule decides, the `bound` least by hash; label 1 is block."""
+    """A labelled table for filter_urls() that follows the rules: of the distinct URLs that a rule decides, the `bound` least by
+    hash; label 1 is block."""
     u = F.col(url)
     host, path = host_path(u)
     return (
@@ -113,9 +153,9 @@ def labelled_urls(pages: DataFrame, url: str = "url", rules: list[tuple[str, str
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, id: str = "page_id", url: str = "url", bound: int = MAX_LABELLED) -> DataFrame:
-    """(id, host, path, rule, verdict, score).  labelled: (host, path, label), cut to `bound` rows; without it, labelled_urls()."""
-    rows = (labelled.limit(bound) if labelled is not None else labelled_urls(pages, url, rules, bound)).collect()
-    w, b = fit([r.host or "" for r in rows], [r.path or "" for r in rows], [r.label for r in rows])
+    """(id, host, path, rule, verdict, score).  labelled: (host, path, label), cut to `bound` rows; without it, labels()."""
+    rows = [tuple(r) for r in labelled.select("host", "path", "label").limit(bound).collect()] if labelled is not None else labels()
+    w, b = fit([h or "" for h, _, _ in rows], [p or "" for _, p, _ in rows], [x for _, _, x in rows])
     host, path = host_path(F.col(url))
     judged = pages.select(F.col(id).alias(id), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("score", score_udf(w, b)("host", "path"))
