@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracelake.llm.shingles import chunks, hashed, utf8
-from tracelake.sources.shared import cut
+from tracelake.sources.shared import cut, drop
 
 PERMUTATIONS = 128
 BANDS = 32
@@ -170,7 +170,9 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     copies = cut(signs.select("node", "digest").join(least, "digest").where("node > a").select("digest", "node", "a").distinct())
     own = signs.join(copies, ["digest", "node"], "left_anti")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
-    return components_of_buckets(bands(own).distinct(), texts, alike, copies.select("a", F.col("node").alias("b")))
+    found = components_of_buckets(bands(own).distinct(), texts, alike, copies.select("a", F.col("node").alias("b")))
+    drop(signs)  # found is written
+    return found
 
 
 def near_duplicates(docs: DataFrame, alike: float = ALIKE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracelake.llm.shingles import sets, utf8
 from tracelake.operators.components import connected_components
-from tracelake.sources.shared import cut
+from tracelake.sources.shared import cut, drop
 
 #: Partners of one document that are compared in one block; more are dealt out with a copy of the document each.
 BLOCK = 256
@@ -220,5 +220,8 @@ def components_of_buckets(members: DataFrame, texts: DataFrame, alike: float, kn
     members = cut(members.select("key", "node"))
     least = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
     met = cut(members.join(least, "key"))
+    drop(members)
     links, found = link(met.select("a", F.col("node").alias("b")), texts, percent, known)
-    return link_lists(met.select("key", "node"), texts, percent, links, found)[1]
+    found = link_lists(met.select("key", "node"), texts, percent, links, found)[1]
+    drop(met)  # found is written
+    return found
