@@ -299,7 +299,7 @@ def test_line_windows_that_do_not_repeat_go_first(spark):
     from conftest import prose
 
     docs = spark.createDataFrame([(i, prose(300 + i, 400)) for i in range(20)], "doc_id long, text string")
-    w = line_dedup.windows(docs)
+    w = line_dedup.fingerprints(docs)
     assert w.count() > 400 and line_dedup.repeated_prints(w).count() == 0
 
 
