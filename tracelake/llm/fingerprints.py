@@ -168,10 +168,11 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     signs = cut(signed(docs))
     least = signs.groupBy("digest").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("digest", "a")
     copies = cut(signs.select("node", "digest").join(least, "digest").where("node > a").select("digest", "node", "a").distinct())
-    own = signs.join(copies, ["digest", "node"], "left_anti")
+    own = cut(signs.join(copies, ["digest", "node"], "left_anti").select("node", "signature"))
+    drop(signs)  # copies and own are written
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
-    found = components_of_buckets(bands(own).distinct(), texts, alike, copies.select("a", F.col("node").alias("b")))
-    drop(signs)  # found is written
+    found = components_of_buckets(bands(own), texts, alike, copies.select("a", F.col("node").alias("b")))
+    drop(own)  # found is written
     return found
 
 

@@ -214,13 +214,13 @@ def apart(nodes: DataFrame, percent: int) -> DataFrame:
 
 def components_of_buckets(members: DataFrame, texts: DataFrame, alike: float, known: DataFrame | None = None) -> DataFrame:
     """Components (v, component) over all similar pairs that share a key of members (key, node), and known links.
+    members is read twice and may repeat rows; it should be cheap to derive from something written.
 
     First each member is compared with the least of its bucket; the buckets that still span components go to link_lists."""
     percent = round(100 * alike)
-    members = cut(members.select("key", "node"))
+    members = members.select("key", "node")
     least = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
     met = cut(members.join(least, "key"))
-    drop(members)
     links, found = link(met.select("a", F.col("node").alias("b")), texts, percent, known)
     found = link_lists(met.select("key", "node"), texts, percent, links, found)[1]
     drop(met)  # found is written
