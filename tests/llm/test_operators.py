@@ -303,6 +303,13 @@ def test_line_windows_that_do_not_repeat_go_first(spark):
     assert w.count() > 400 and line_dedup.repeated_prints(w).count() == 0
 
 
+def test_equal_lines_around_another(spark):
+    wide = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a b\n{wide}\na b"), (2, "c\nd e\nf\nc\nd e\nf"), (3, "f\nd e\nc"), (4, f"{wide}\na b\na b"), (5, "c\nd e\nf\n" * 400)]
+    got = {r.doc: r.gone for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.gone_lines(rows)
+
+
 def domain(source):
     import re
 
