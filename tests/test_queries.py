@@ -9,7 +9,8 @@ from tracelake.plans.registry import ORACLES, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
 SOME = ["stable_ids", "registry_edges", "registry_violations", "path_containment", "store_match", "federation_refs", "heading_requirements", "heading_scenarios", "frontmatter_related", "document_lines", "capability_paths",
-        "change_touches", "related_edges", "related_unresolved", "merge_last_wins", "dup_counts", "dup_conflicts", "services", "sanitized_props", "locator_kinds", "components", "changes"]
+        "change_touches", "related_edges", "related_unresolved", "merge_last_wins", "dup_counts", "dup_conflicts", "services", "sanitized_props", "locator_kinds", "components", "changes", "traceability", "traceability_missing",
+        "registry_rules", "federation_counts", "node_records", "edge_records", "service_records", "derive_diagnostics_ordered", "validation_ordered"]
 
 
 def oracle(sql: str):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.functions.props import NOT_SHOWN, without
 from tracelake.operators.merge import last_wins
 from tracelake.operators.reach import labelled, labels
 from tracelake.schema import CHANGE_HAS_ARTIFACT, CHANGE_TOUCHES_SPEC, CHANGE_TRACES_TO_SPEC, CHANGES, CONTAINS, OWNS, REPOSITORY, REQUIREMENT, SERVICE, SPEC_REQUIREMENT, Graph
+from tracelake.sources.shared import cut
 
 
 class UnknownObject(LookupError):
@@ -96,7 +97,8 @@ def traceability(g: Graph, objects: DataFrame, missing_ok: bool = True) -> DataF
     there = asked.join(known, "object_id", "left_semi")
     ends = g.edges.select(F.col("id").alias("edge_id"), F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("object_id"))
     mine = ends.join(there, "object_id")
-    rows = mine.join(edge_rows(g.edges, g.evidence), "edge_id").withColumn("missing", F.lit(False))
+    near = g.edges.join(mine.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")  # before locators are looked up
+    rows = mine.join(edge_rows(near, g.evidence), "edge_id").withColumn("missing", F.lit(False))
     return rows.unionByName(gone.withColumn("missing", F.lit(True)), allowMissingColumns=True)
 
 
@@ -104,6 +106,17 @@ def in_edge_order(df: DataFrame) -> DataFrame:
     return df.orderBy("edge_id", "kind", "source_id", "target_id")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """A sorted df with each row's place, from 0, as `position`.  Ranges are sorted and counted apart; only their sizes,
+    one row a range, meet in one task."""
+    laid = cut(df.withColumn("position", F.monotonically_increasing_id()))
+    part = F.shiftright("position", 33).alias("part")
+    sizes = laid.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = laid.withColumn("part", part).join(F.broadcast(before), "part")
+    return placed.withColumn("position", F.col("before") + F.col("position").bitwiseAND((1 << 33) - 1)).drop("part", "before")
+
+
 def as_json(df: DataFrame, name: str = "record") -> DataFrame:
     """(id, record): each row as JSON with sorted keys; null fields left out."""
     return df.select(df.columns[0], F.to_json(F.struct(*sorted(df.columns))).alias(name))

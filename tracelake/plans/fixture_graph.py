@@ -98,6 +98,32 @@ def registry_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     return w, r, s
 
 
+def supplier_registries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Workspaces, repositories and leaf keys: suppliers as repositories, ten to a workspace, with faults of all kinds."""
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select(k, F.floor(k / 10).cast("long").alias("w"))
+    w = F.col("w")
+    name = F.concat(F.lit("W"), w.cast("string"))
+    base, first = F.concat(F.lit("/ws"), w.cast("string")), F.concat(F.lit("SUP "), (w * 10 + 1).cast("string"))
+    tool = F.when(w % 3 == 0, ".openlore").when(w % 3 == 1, "../out").otherwise(F.concat(F.lit("repos/r"), (w * 10 + 2).cast("string"), F.lit("/made")))
+    ws = s.select("w").distinct().select(
+        name.alias("workspace_id"), F.when(w % 5 == 4, " \t").otherwise(name).alias("name"), (1 + F.when(w % 4 == 3, 1).otherwise(0)).alias("version"), F.lit("").alias("description"),
+        F.when(w % 7 == 3, "requirements").otherwise(first).alias("store_repository"), (w % 2 == 0).alias("federation_enabled"), (w % 6 != 5).alias("has_layout"),
+        base.alias("base"), F.lit("root").alias("root_path"), tool.alias("openlore_path"),
+        F.when(w % 4 == 2, F.concat(F.lit("repos/r"), (w * 10 + 5).cast("string"))).otherwise("graph").alias("output_path"))
+    at = F.when(k % 10 == 3, F.concat_ws("/", (w * 10 + 1).cast("string"), F.lit("sub"))).otherwise(k.cast("string"))
+    role = F.element_at(F.array(*map(F.lit, ("requirements", "code", "library", "unknown-role"))), (k % 4 + 1).cast("int"))
+    policy = lambda by, good: F.when(k % by == 0, "perhaps").when(k % by == 1, F.lit(None)).otherwise(good)
+    repos = s.select(
+        name.alias("workspace_id"), F.concat(F.lit("SUP "), F.when(k % 10 == 9, k - 1).otherwise(k).cast("string")).alias("id"), F.when(k % 13 == 5, " ").otherwise("p").alias("path"),
+        F.concat(base, F.lit("/root/repos/r"), at).alias("resolved_path"), role.alias("role"), F.when(k % 5 == 0, "https://host/x").otherwise("ssh://host/x").alias("ssh_url"),
+        (k % 3 == 0).alias("include_in_federation"), F.when(k % 6 == 0, "  ").otherwise("index/kg").alias("index_location"),
+        F.concat(F.lit("svc-"), (k % 7).cast("string")).alias("service_id"), F.lit(None).cast("string").alias("service_name"),
+        policy(7, "skip").alias("dirty_worktree"), policy(8, "allowed").alias("fetch"), policy(9, "forbidden").alias("pull"), F.when(k % 11 == 4, F.lit(None)).otherwise("main").alias("default_branch"))
+    leaf = F.when(k % 6 == 2, "jira_data/issues").when(k % 6 == 4, "jira_data_kept").otherwise("description")
+    return ws, repos, s.select(name.alias("workspace_id"), F.concat(F.lit("/repositories/["), k.cast("string"), F.lit("]/"), leaf).alias("path"))
+
+
 def graph(spark: SparkSession, d: str, with_implements: bool = False) -> Graph:
     """The whole graph; evidence of requirements of every fiftieth part is left out."""
     heads = part_headings(spark, d).unionByName(scoped_headings(spark, d))

@@ -30,13 +30,22 @@ _NO_END = "'Cannot derive OpenSpec traceability because the change-to-spec edge
 _RULE = "'openspec-change-to-durable-spec'"
 
 _DIAG = f"""diag AS (
-  SELECT 'error' AS severity, 'edge-source-exists' AS rule_id FROM edges WHERE source_id NOT IN (SELECT id FROM nodes)
-  UNION ALL SELECT 'error', 'evidence-reference-exists' FROM nodes WHERE eid IS NOT NULL AND eid NOT IN (SELECT id FROM evs)
-  UNION ALL SELECT 'error', 'evidence-reference-exists' FROM edges WHERE eid IS NOT NULL AND eid NOT IN (SELECT id FROM evs)
-  UNION ALL SELECT 'warning', 'unresolved-non-confident-related-spec' FROM rel WHERE matches <> 1)"""
+  SELECT 'error' AS severity, 'edge-source-exists' AS rule_id, id AS affected_object_id, 'Edge source node does not exist: ' || source_id AS message
+  FROM edges WHERE source_id NOT IN (SELECT id FROM nodes)
+  UNION ALL SELECT 'error', 'evidence-reference-exists', id, 'Evidence reference does not exist: ' || eid FROM nodes WHERE eid IS NOT NULL AND eid NOT IN (SELECT id FROM evs)
+  UNION ALL SELECT 'error', 'evidence-reference-exists', id, 'Evidence reference does not exist: ' || eid FROM edges WHERE eid IS NOT NULL AND eid NOT IN (SELECT id FROM evs)
+  UNION ALL SELECT 'warning', 'unresolved-non-confident-related-spec', id, 'Non-confident related spec reference is unresolved: ' || related_title FROM rel WHERE matches <> 1)"""
 
 _FIRST_REQ = "(SELECT min(eid) FROM req WHERE scope = 'durable')"
 
+_SUPPLIER_REGISTRIES = """k AS (SELECT s_suppkey AS k, s_suppkey // 10 AS w FROM supplier),
+      w AS (SELECT DISTINCT w, 'W' || w AS workspace_id, CASE WHEN w % 7 = 3 THEN 'requirements' ELSE 'SUP ' || (w * 10 + 1) END AS store_repository, w % 6 <> 5 AS has_layout FROM k),
+      r AS (SELECT k, 'W' || w AS workspace_id, 'SUP ' || CASE WHEN k % 10 = 9 THEN k - 1 ELSE k END AS id, 'svc-' || (k % 7) AS service_id,
+        CASE k % 4 WHEN 0 THEN 'requirements' WHEN 1 THEN 'code' WHEN 2 THEN 'library' ELSE 'unknown-role' END AS role,
+        'root/repos/r' || CASE WHEN k % 10 = 3 THEN (w * 10 + 1) || '/sub' ELSE CAST(k AS VARCHAR) END AS at FROM k),
+      made AS (SELECT workspace_id, 'openlore_path' AS item, 'root/repos/r' || (w * 10 + 2) || '/made' AS at FROM w WHERE has_layout AND w % 3 = 2
+        UNION ALL SELECT workspace_id, 'output_path', 'root/repos/r' || (w * 10 + 5) FROM w WHERE has_layout AND w % 4 = 2)"""
+
 ORACLES = {
     "stable_ids": f"""SELECT p_partkey, {sid('node', 'p_brand', 'p_name')} AS id FROM part UNION ALL SELECT -s_suppkey, {sid('service', "'  ' || upper(s_name) || chr(9) || ' x'")} FROM supplier""",
     "registry_nodes": f"{needs('ws', 'repo', 'svc')} SELECT id, 'workspace' AS kind, workspace_id AS name FROM ws UNION ALL SELECT id, 'repository', name FROM repo UNION ALL SELECT id, 'service', name FROM svc",
@@ -68,6 +77,44 @@ ORACLES = {
     "issue_tokens": f"{needs('ch')} SELECT change, array_to_string(regexp_extract_all(change, '\\b[A-Z][A-Z0-9]+-\\d+\\b'), '|') AS tokens FROM ch WHERE known",
     "change_artifacts": f"{needs('edges')} SELECT id, source_id, target_id, eid AS evidence_id FROM edges WHERE kind = 'openspec-change-has-artifact'",
     "change_touches": f"{needs('touch')} SELECT id, source_id, target_id, eid AS evidence_id FROM touch",
+    "registry_rules": f"""WITH {_SUPPLIER_REGISTRIES}
+      SELECT workspace_id, 'version' AS rule, workspace_id AS object, '2' AS detail FROM w WHERE w % 4 = 3
+      UNION ALL SELECT workspace_id, 'required', workspace_id, 'name' FROM w WHERE w % 5 = 4
+      UNION ALL SELECT workspace_id, 'required', id, 'id, path' FROM r WHERE k % 13 = 5
+      UNION ALL SELECT workspace_id, 'required', id, 'default_branch' FROM r WHERE k % 11 = 4
+      UNION ALL SELECT workspace_id, 'required', id, 'dirty_worktree' FROM r WHERE k % 7 = 1
+      UNION ALL SELECT workspace_id, 'required', id, 'fetch' FROM r WHERE k % 8 = 1
+      UNION ALL SELECT workspace_id, 'required', id, 'pull' FROM r WHERE k % 9 = 1
+      UNION ALL SELECT workspace_id, 'dirty_worktree', id, 'perhaps' FROM r WHERE k % 7 = 0
+      UNION ALL SELECT workspace_id, 'fetch', id, 'perhaps' FROM r WHERE k % 8 = 0
+      UNION ALL SELECT workspace_id, 'pull', id, 'perhaps' FROM r WHERE k % 9 = 0
+      UNION ALL SELECT workspace_id, 'role', id, role FROM r WHERE role = 'unknown-role'
+      UNION ALL SELECT workspace_id, 'ssh_url', id, 'https://host/x' FROM r WHERE k % 5 = 0
+      UNION ALL SELECT workspace_id, 'unique_id', id, CAST(count(*) AS VARCHAR) FROM r GROUP BY workspace_id, id HAVING count(*) > 1
+      UNION ALL SELECT w.workspace_id, 'store_repository', store_repository, coalesce(role, 'unknown') FROM w
+        LEFT JOIN (SELECT DISTINCT workspace_id, id, role FROM r) r ON r.workspace_id = w.workspace_id AND id = store_repository WHERE role IS DISTINCT FROM 'requirements'
+      UNION ALL SELECT workspace_id, 'service_topology', service_id, CAST(count(DISTINCT id) AS VARCHAR) FROM r GROUP BY workspace_id, service_id HAVING count(DISTINCT id) > 1
+      UNION ALL SELECT r.workspace_id, 'inside_store', r.id, o.id FROM r JOIN w USING (workspace_id) JOIN r o ON o.workspace_id = r.workspace_id AND o.id = w.store_repository
+        WHERE has_layout AND r.role IN ('code', 'library') AND r.id <> o.id AND starts_with(r.at || '/', o.at || '/')
+      UNION ALL SELECT workspace_id, 'outside_root', 'openlore_path', '/ws' || w || '/out' FROM w WHERE has_layout AND w % 3 = 1
+      UNION ALL SELECT workspace_id, 'generated_path', item, id FROM made JOIN r USING (workspace_id) WHERE starts_with(made.at || '/', r.at || '/')
+      UNION ALL SELECT workspace_id, 'index_location', id, '  ' FROM r WHERE k % 6 = 0
+      UNION ALL SELECT workspace_id, 'forbidden', p, p FROM (SELECT workspace_id, '/repositories/[' || k || ']/jira_data/issues' AS p FROM r WHERE k % 6 = 2)""",
+    "federation_counts": f"""WITH {_SUPPLIER_REGISTRIES} SELECT workspace_id, CAST(count(id) FILTER (w % 2 = 0 AND k % 3 = 0) AS BIGINT) AS repository_count FROM w JOIN r USING (workspace_id) GROUP BY workspace_id""",
+    "node_records": f"""{needs('svc', 'ch', 'art', 'evs')}, n AS (SELECT DISTINCT id, 'service' AS kind, name, '' AS evidence FROM svc
+        UNION ALL SELECT DISTINCT id, 'openspec-' || scope, change, eid FROM ch WHERE known UNION ALL SELECT DISTINCT id, 'openspec-artifact', artifact, eid FROM art)
+      SELECT *, CASE WHEN evidence IN (SELECT id FROM evs) THEN evidence ELSE '' END AS known_evidence, row_number() OVER (ORDER BY id, kind, name) - 1 AS position FROM n""",
+    "edge_records": f"""{needs('derived', 'rel', 'edges', 'evs')}, e AS (
+        SELECT id AS edge_id, 'openspec-change-traces-to-spec' AS kind, source_id, target_id, eid AS evidence, '-' AS confidence, '/capability="' || capability || '"|/derived=true|/rule_id="openspec-change-to-durable-spec"|/source_scope="'
+          || scope || '"|/target_scope="durable"|/via_spec_id="' || via_spec_id || '"' AS props FROM derived
+        UNION ALL SELECT e.id, kind, source_id, e.target_id, '', 'non-confident', '/related_title="' || related_title || '"' FROM edges e JOIN rel ON rel.id = e.source_id WHERE kind = 'openspec-related-spec')
+      SELECT *, CASE WHEN evidence IN (SELECT id FROM evs) THEN evidence ELSE '' END AS known_evidence, row_number() OVER (ORDER BY edge_id, kind, source_id, target_id) - 1 AS position FROM e""",
+    "service_records": f"""{needs('svc')} SELECT id, '{{"id":"' || id || '","kind":"service","name":"' || name || '","props":"/repository_id=\\"' || 'NATION ' || s_nationkey || '\\"","repositories":"' || repo_id || '"}}' AS record
+      FROM svc JOIN supplier ON s_name = name""",
+    "derive_diagnostics_ordered": f"""{needs('touch', 'tin')}, x AS (SELECT 'warning' AS severity, {_RULE} AS rule_id, id AS affected_object_id, {_NO_END} AS message FROM touch WHERE NOT known
+      UNION ALL SELECT 'info', {_RULE}, target_id, 'No durable OpenSpec spec exists for capability: ' || capability FROM tin WHERE durable_id IS NULL)
+      SELECT *, row_number() OVER (ORDER BY severity, rule_id, affected_object_id, message) - 1 AS position FROM x""",
+    "validation_ordered": f"""{needs('nodes', 'edges', 'evs', 'rel', 'derived')}, {_DIAG} SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule_id, affected_object_id, message) - 1 AS position FROM diag""",
     "related_edges": f"{needs('edges')} SELECT id, source_id, target_id, 'non-confident' AS confidence FROM edges WHERE kind = 'openspec-related-spec'",
     "related_unresolved": f"{needs('rel')} SELECT capability, CASE WHEN matches = 0 THEN 'missing' ELSE 'ambiguous' END AS reason, related_title FROM rel WHERE matches <> 1",
     "graph_counts": f"{needs('nodes', 'edges', 'evs')} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM evs) AS evidence_count",
@@ -105,10 +152,10 @@ ORACLES = {
       u AS (SELECT source_id, string_agg(target_id, '|' ORDER BY target_id) AS x FROM edges e WHERE kind = 'openspec-change-touches-spec' AND target_id NOT IN (SELECT via_spec_id FROM derived) GROUP BY 1)
       SELECT c.id, c.kind, c.name, coalesce(a.x, '') AS artifact_ids, coalesce(t.x, '') AS touched_spec_ids, coalesce(r.x, '') AS traceability_spec_ids, coalesce(t.x, '') AS missing_durable_spec_links, coalesce(u.x, '') AS untraced_spec_ids
       FROM c LEFT JOIN a ON a.source_id = c.id LEFT JOIN t ON t.source_id = c.id LEFT JOIN r ON r.source_id = c.id LEFT JOIN u ON u.source_id = c.id""",
-    "traceability": f"""{needs('nodes', 'edges', 'derived', 'evs', 'ch')}, o AS (SELECT id AS object_id FROM ch WHERE known AND o_orderkey % 50 = 0),
+    "traceability": f"""{needs('nodes', 'edges', 'derived', 'evs', 'ch')}, o AS (SELECT id AS object_id FROM ch WHERE known),
       every AS (SELECT id, kind, source_id, target_id, eid FROM edges UNION ALL SELECT id, 'openspec-change-traces-to-spec', source_id, target_id, eid FROM derived)
       SELECT object_id, every.id AS edge_id, kind, source_id, target_id, CASE WHEN eid IN (SELECT id FROM evs) THEN eid ELSE '' END AS evidence FROM o JOIN every ON object_id = source_id OR object_id = target_id""",
-    "traceability_missing": f"{needs('ch')} SELECT id AS object_id, true AS missing FROM ch WHERE NOT known AND o_orderkey % 50 = 0",
+    "traceability_missing": f"{needs('ch')} SELECT id AS object_id, true AS missing FROM ch WHERE NOT known",
     "sanitized_props": """SELECT p_partkey AS id, '/brand' AS path, '"' || p_brand || '"' AS value FROM part UNION ALL SELECT p_partkey, '/tokens_used', CAST(p_size AS VARCHAR) FROM part
       UNION ALL SELECT p_partkey, '/nested/note/[0]', '"' || p_name || '"' FROM part WHERE p_size % 3 = 2""",
     "forbidden_props": "SELECT p_partkey AS id FROM part WHERE p_size % 3 = 0",

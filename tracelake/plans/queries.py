@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelake.functions import text as tx
 from tracelake.functions.ids import stable_id
@@ -17,7 +17,7 @@ from tracelake.sources.shared import cut, shared_dir
 from tracelake.sources.tables import table
 
 #: Objects that the question queries ask about, as values of the tables.
-CAPABILITY, SERVICE, NTH = "Brand#13", "Supplier#000000001", 50
+CAPABILITY, SERVICE = "Brand#13", "Supplier#000000001"
 
 
 def full(spark: SparkSession, d: str, **kw) -> Graph:
@@ -71,6 +71,17 @@ def federation_refs(spark, d):
     return registry.federation(w, r.withColumn("index_location", F.trim("index_location")))
 
 
+def registry_rules(spark, d):
+    """Every rule over registries of one workspace for ten suppliers, with layouts, policies, leaf keys and repeated ids."""
+    w, r, keys = fg.supplier_registries(spark, d)
+    return registry.violations(w, r, keys)
+
+
+def federation_counts(spark, d):
+    w, r, _ = fg.supplier_registries(spark, d)
+    return registry.federation_counts(w, r)
+
+
 def _markdown(spark, d) -> DataFrame:
     """(path, value): the text of each durable specification, put together from its parts."""
     heads = fg.part_headings(spark, d)
@@ -251,8 +262,8 @@ def changes(spark, d):
 
 
 def _asked(spark, d) -> DataFrame:
-    """Changes of every fiftieth order, known or not."""
-    c = fg.changes(spark, d).where(F.col("o_orderkey") % NTH == 0)
+    """All changes, known or not."""
+    c = fg.changes(spark, d)
     return c.select(specs.change_id().alias("object_id"))
 
 
@@ -265,6 +276,47 @@ def traceability_missing(spark, d):
     return ask.traceability(full(spark, d), _asked(spark, d)).where("missing").select("object_id", "missing")
 
 
+def _joined_ids(locators: str) -> Column:
+    return F.coalesce(F.array_join(F.transform(locators, lambda x: x["evidence_id"]), "|"), F.lit(""))
+
+
+def _shown(props: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(props)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "|")
+
+
+def node_records(spark, d):
+    """Whole records of change, specification and service nodes in node order, with their places."""
+    g = fg.graph(spark, d)
+    nodes = merge.last_wins(g.nodes.where(F.col("kind").isin("service", "openspec-active-change", "openspec-archived-change", "openspec-artifact")))
+    rows = ask.node_rows(nodes, g.evidence).select("id", "kind", "name", F.array_join("evidence_ids", "|").alias("evidence"), _joined_ids("locators").alias("known_evidence"))
+    return ask.numbered(ask.in_node_order(rows))
+
+
+def edge_records(spark, d):
+    """Whole records of derived and related edges in edge order, with their places."""
+    g = fg.graph(spark, d)
+    g = Graph(*(cut(x) for x in g))
+    edges = merge.last_wins(derive.derived_edges(g)).unionByName(g.edges.where("kind = 'openspec-related-spec'"))
+    rows = ask.edge_rows(edges, g.evidence).select(
+        "edge_id", "kind", "source_id", "target_id", F.array_join("evidence_ids", "|").alias("evidence"), _joined_ids("locators").alias("known_evidence"),
+        _shown("props").alias("props"), F.coalesce("confidence", F.lit("-")).alias("confidence"))
+    return ask.numbered(ask.in_edge_order(rows))
+
+
+def service_records(spark, d):
+    """Services as JSON records with sorted keys."""
+    s = ask.services(registry_graph(spark, d)).select("id", "kind", "name", F.array_join("repository_ids", "|").alias("repositories"), _shown("props").alias("props"), F.lit(None).cast("string").alias("locators"))
+    return ask.as_json(s)
+
+
+def derive_diagnostics_ordered(spark, d):
+    return ask.numbered(derive.ordered(derive.diagnostics(Graph(*(cut(x) for x in fg.graph(spark, d))))))
+
+
+def validation_ordered(spark, d):
+    return ask.numbered(validate.ordered(validate.diagnostics(full(spark, d))))
+
+
 def _tagged(spark, d) -> DataFrame:
     """(id, props): parts with nested properties, some under names that may not be stored or shown."""
     p = table(spark, d, "part")
@@ -327,4 +379,5 @@ QUERIES = {f.__name__: f for f in (
     capability_paths, issue_tokens, change_artifacts, change_touches, related_edges, related_unresolved, graph_counts, merge_last_wins, derive_edges, derive_diagnostics, derive_metadata, dup_counts,
     dup_conflicts, broken_edges, missing_evidence, documents_without_label, trace_shape, related_warnings, validation_summary, gated_read, components, requirements_by_capability, requirements_by_service,
     requirements_by_change, requirements_by_evidence, services, changes, traceability, traceability_missing, sanitized_props, forbidden_props, locator_kinds, store_roundtrip, build_job, extraction_counts,
+    registry_rules, federation_counts, node_records, edge_records, service_records, derive_diagnostics_ordered, validation_ordered,
 )}

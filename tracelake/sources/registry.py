@@ -138,6 +138,12 @@ def federation(workspaces: DataFrame, repositories: DataFrame) -> DataFrame:
     return r.select("workspace_id", "id", joined(F.col("resolved_path"), F.col("index_location")).alias("index_path"))
 
 
+def federation_counts(workspaces: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(workspace_id, repository_count) of each workspace; 0 where the federation is off or empty."""
+    n = federation(workspaces, repositories).groupBy("workspace_id").agg(F.count("*").alias("n"))
+    return workspaces.select("workspace_id").join(n, "workspace_id", "left").select("workspace_id", F.coalesce("n", F.lit(0)).alias("repository_count"))
+
+
 def known_stores(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Store records under any of their alias columns as (store_id, path), and those without one of the two."""
     pick = lambda names: F.coalesce(*[F.nullif(stripped(F.col(n)), F.lit("")) for n in names if n in entries.columns], F.lit(None).cast("string"))
