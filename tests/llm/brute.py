@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,3 +149,68 @@ def mixed(rows, plan, domain_of):
                 break
             epoch += 1
     return out
+
+
+def one_edit(word, letters):
+    """All strings that differ from word by one inserted, deleted or replaced letter."""
+    out = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    out |= {word[:i] + c + word[i + k :] for i in range(len(word) + 1) for c in letters for k in (0, 1) if i + k <= len(word)}
+    return out - {word}
+
+
+def variants(rows):
+    """Rows (word, form, root, n, n_near, form_n); rows: (doc_id, text)."""
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    n = Counter()
+    for i, t in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", t or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'null' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+    letters = {c for w in n for c in w}
+    form, near = {}, {}
+    for w, k in n.items():
+        others = [x for x in one_edit(w, letters) if x in n]
+        near[w] = len(others)
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        if best is not None and n[best] >= 2 * k:
+            form[w] = best
+    out = set()
+    for w in n:
+        r = w
+        while r in form:
+            r = form[r]
+        out.add((w, form.get(w), r, n[w], near[w], n[form[w]] if w in form else None))
+    return out
+
+
+def trie(rows):
+    """Rows of the trie of rebuilt conversations; rows: (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[c].append((turn is not None, turn or 0, digest, role, text))
+    own = {c: [x[3:] for x in sorted(v)] for c, v in own.items()}
+    full = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        full[c] = (own.get(c - c % 20, [])[:h] + v[h:])
+    members = defaultdict(list)
+    for c in sorted(full):
+        for d in range(len(full[c]) + 1):
+            members[tuple(full[c][:d])].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p in sorted(members, key=len, reverse=True):
+        saved[p] += (len(members[p]) - 1) * len(words(p[-1][1])) if p else 0
+        leaves[p] += not children[p]
+        if p:
+            saved[p[:-1]] += saved[p]
+            leaves[p[:-1]] += leaves[p]
+    sha = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return {(m[0], len(p), members[p[:-1]][0] if p else None, len(m), children[p], leaves[p], saved[p], sha([c for c in m if len(full[c]) == len(p)])) for p, m in members.items()}
