@@ -28,12 +28,22 @@ def test_variants(some):
 
 def test_letters_that_lose_one_and_long_runs(spark):
     r = random.Random(4)
-    base = ["straße", "Ñandú", "colour", "color", "colours", "aaaaaa", "aaaaaaa", "×÷×÷×", "grün", "abcdefgh" * 3000, "abcdefgh" * 2999 + "abcdefg"]
+    base = ["straße", "Ñandú", "colour", "color", "colours", "aaaaaa", "aaaaaaa", "×÷×÷×", "grün", "abcdefgh" * 40, "abcdefgh" * 39 + "abcdefg"]
     rows = [(i if i % 7 else None, " ".join(r.choice(base) + r.choice(["", "!", "1", "Ā"]) for _ in range(60))) for i in range(80)]
     df = spark.createDataFrame(rows + rows[:3] + [(900, None), (901, "")], "doc_id long, text string")
     assert {tuple(x) for x in spelling.variants(spelling.vocabulary(df)).collect()} == brute.variants(pairs(df))
 
 
+def test_very_long_runs(spark):
+    a = "abcdefgh" * 3000
+    df = spark.createDataFrame([(k, f"{x} {x}") for k, x in enumerate((a, a, a[:-1], a[:-1], a[:9000] + "x" + a[9001:]))], "doc_id long, text string")
+    vocab = spelling.vocabulary(df, occurs=2)
+    got = {(r.word, r.other) for r in spelling.near_words(vocab).collect()}
+    words = [r.word for r in vocab.collect()]
+    near = lambda x, y: len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1 or len(y) == len(x) + 1 and any(y[:i] + y[i + 1 :] == x for i in (0, 9000, len(x)))
+    assert got == {(x, y) for x in words for y in words if near(x, y) or near(y, x)} and got
+
+
 @pytest.mark.parametrize("slice_", [1 << 14, 3])
 def test_near_words(spark, monkeypatch, slice_):
     monkeypatch.setattr(spelling, "SLICE", slice_)

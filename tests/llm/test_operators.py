@@ -296,11 +296,20 @@ def test_line_dedup(some):
 
 
 def test_line_windows_that_do_not_repeat_go_first(spark):
+    """One fingerprint a selected line: of windows of three lines about 2 lines in 3 + 1, so half of all lines."""
     from conftest import prose
 
     docs = spark.createDataFrame([(i, prose(300 + i, 400)) for i in range(20)], "doc_id long, text string")
     w = line_dedup.fingerprints(docs)
-    assert w.count() > 400 and line_dedup.repeated_prints(w).count() == 0
+    hashed = docs.select("doc_id", F.transform(F.split("text", "\n"), F.xxhash64).alias("h")).collect()
+    want = set()
+    for doc, h in hashed:
+        for i in range(len(h) - 2):
+            want.add((doc, min(range(i, i + 3), key=lambda k: (h[k], k))))
+    lines = sum(len(h) for _, h in hashed)
+    got = [(r.doc, r.at) for r in w.collect()]
+    assert sorted(got) == sorted(want) and 0.45 * lines < len(got) < 0.55 * lines
+    assert line_dedup.repeated_prints(w).count() == 0
 
 
 def test_equal_lines_around_another(spark):
@@ -427,3 +436,19 @@ def test_empty_tables(spark, empty, tmp_path, name):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_warc_of_one_page_id_with_several_payloads(spark, tmp_path, order):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (5, "C"), (7, "C"), (5, "B"), (None, "A"), (None, "D"), (3, None), (5, "")][::order]
+    pages = spark.createDataFrame([(i, f"u{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = warc.read(warc.write(pages, str(tmp_path / "w")), str(tmp_path / "w")).collect()
+    last = {}
+    for i, h in rows:
+        if i is not None:
+            last[h or ""] = max(i, last.get(h or "", i))
+    digest = lambda h: warc.base32_sha1((h or "").encode())
+    want = [(i, digest(h), "revisit", last[h or ""]) if (h or "") in last and (i is None or i < last[h or ""]) else (i, digest(h), "response", None) for i, h in rows]
+    assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+    whole = {(r.page_id, r.payload_digest) for r in got if r.record_type == "response"}
+    assert all(r.intact for r in got) and all((r.refers_to, r.payload_digest) in whole for r in got if r.record_type == "revisit")

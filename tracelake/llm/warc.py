@@ -8,9 +8,9 @@ Reading: a task scans a byte range of a file for the record magic and emits, for
 where the record that would start there ends; a header of any length is read to its end.  Pointer jumping from offset 0 of each file (the reach doubles every
 round) keeps the hits that are reachable; magic inside payloads is not, and is dropped.  A file with another number of reachable records than its manifest says is an error.
 
-Defined results: a null html is an empty payload, and equal to other empty ones; rows that repeat a page keep one
-record each; of equal page ids with equal payloads all are responses; a null page id is written as "null" and ranks
-below all others; an empty table gives an empty archive; columns other than id and html are ignored.
+Defined results: a null html is an empty payload, and equal to other empty ones; each row has one record, also where a
+page id comes with several payloads, each of which is a response or a revisit by itself; of equal page ids with equal
+payloads all are responses; a null page id is written as "null" and ranks below all others; an empty table gives an empty archive; columns other than id and html are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from tracelake.llm.links import small
-from tracelake.sources.shared import cut, shared_dir
+from tracelake.sources.shared import cut, drop, shared_dir
 
 MAGIC, FIELD = b"WARC/1.1\r\n", b"\r\nContent-Length: "
 #: A file is closed when it is this large; a task reads ranges of this many bytes.
@@ -89,16 +89,17 @@ def _ends(f: pa.NativeFile, begin: int, stop: int, length: int) -> Iterator[tupl
 
 
 def _marked(pages: DataFrame, id: str, url: str, html: str, least_bytes: int) -> DataFrame:
-    """(page_id, url, html, refers_to): only revisits get a refers_to; texts are moved only if revisits are many."""
+    """(page_id, url, html, refers_to): only revisits get a refers_to; texts are moved only if revisits are many.  A revisit
+    is told by its page id and its payload's digest, as one page id may come with several payloads."""
     body = F.coalesce(F.col(html), F.lit("")).alias("html")
-    rows = pages.select(F.col(id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body)
-    sums = cut(rows.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least_bytes))
+    rows = pages.select(F.col(id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body).withColumn("digest", F.unhex(F.sha1("html")))
+    sums = cut(rows.where(F.octet_length("html") >= least_bytes).select("page_id", "digest"))
     last = cut(sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    again = cut(sums.join(last, "digest").where(F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("refers_to").isNotNull())).select(F.col("page_id").alias("again"), "refers_to").distinct())
-    if least_bytes > 0:
-        again = again.withColumn("big", F.lit(True))
-        return rows.join(small(again), rows.page_id.eqNullSafe(F.col("again")) & (F.octet_length("html") >= least_bytes), "left").select("page_id", "url", "html", "refers_to")
-    return rows.join(small(again), rows.page_id.eqNullSafe(F.col("again")), "left").select("page_id", "url", "html", "refers_to")
+    below = F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("refers_to").isNotNull())
+    again = cut(sums.join(last, "digest").where(below).select(F.col("page_id").alias("again"), F.col("digest").alias("payload"), "refers_to").distinct())
+    drop(sums, last)  # again is written
+    same = rows.page_id.eqNullSafe(F.col("again")) & (rows.digest == F.col("payload"))
+    return rows.join(small(again), same, "left").select("page_id", "url", "html", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
