@@ -301,7 +301,7 @@ def test_line_windows_that_do_not_repeat_go_first(spark):
 
     docs = spark.createDataFrame([(i, prose(300 + i, 400)) for i in range(20)], "doc_id long, text string")
     w = line_dedup.fingerprints(docs)
-    hashed = docs.select("doc_id", F.transform(F.split("text", "\n"), F.xxhash64).alias("h")).collect()
+    hashed = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h")).collect()
     want = set()
     for doc, h in hashed:
         for i in range(len(h) - 2):
