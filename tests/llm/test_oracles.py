@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     c = duckdb.connect(config={"temp_directory": ""})
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     r = c.execute(ORACLES[name])
     names = [d[0] for d in r.description]

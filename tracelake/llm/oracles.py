@@ -3,7 +3,7 @@ their tests hold them against plain versions."""
 
 from __future__ import annotations
 
-from tracelake.llm import line_dedup, mixing, quality, secrets
+from tracelake.llm import line_dedup, mixing, quality, secrets, spelling, turn_trie
 from tracelake.llm.url_filter import LOWER, UPPER
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -111,6 +111,43 @@ def _mixing(plan: mixing.Plan = mixing.PLAN) -> str:
       UNION ALL SELECT doc_id, {cols}, n_tokens, CAST(whole + 1 AS INT) FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY {cols} ORDER BY h, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM x WHERE whole < {plan.epochs}) WHERE run <= tokens - whole * supply"""
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes: bit by bit, with the reversed polynomial."""
+    hexed = f"hex(encode({text}))"
+    digits = f"list_transform(generate_series(1, length({hexed}), 2), lambda i: CAST('0x' || substr({hexed}, CAST(i AS INT), 2) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: {step}), 4294967295)"
+
+
+_TRIE = rf"""WITH o AS MATERIALIZED (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+  k AS MATERIALIZED (SELECT c, c - ((c % {turn_trie.FAMILY}) + {turn_trie.FAMILY}) % {turn_trie.FAMILY} AS base, {_crc32('CAST(c AS VARCHAR)')} % {turn_trie.HEADS} AS h FROM (SELECT DISTINCT c FROM o)),
+  r AS (SELECT k.c, o.p, role, text FROM k JOIN o ON o.c = base WHERE o.p < h UNION ALL SELECT k.c, o.p + {turn_trie.HEADS}, role, text FROM k JOIN o ON o.c = k.c WHERE o.p >= h),
+  t AS MATERIALIZED (SELECT c, row_number() OVER w AS depth, text, string_agg(md5(strlen(role) || ':' || role || text), '') OVER w AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY p)),
+  m AS MATERIALIZED (SELECT c, depth, md5(path) AS path, len(regexp_extract_all(text, {_WORD})) AS words FROM t UNION ALL SELECT c, 0, 'root', 0 FROM k),
+  up AS MATERIALIZED (SELECT x.c, x.depth, x.path, x.words, y.path AS above FROM m x LEFT JOIN m y ON y.c = x.c AND y.depth = x.depth - 1),
+  n AS MATERIALIZED (SELECT path, depth, min(above) AS above, min(c) AS conv, count(*) AS n, max(words) AS words FROM up GROUP BY path, depth),
+  kids AS (SELECT above AS path, count(*) AS kids FROM n WHERE depth > 0 GROUP BY above),
+  whole AS MATERIALIZED (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (path)),
+  below AS (SELECT m.path, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * whole.words) AS saved FROM whole JOIN m ON m.c = whole.conv AND m.depth <= whole.depth GROUP BY m.path),
+  e AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max_by(path, depth) AS path FROM m GROUP BY c) GROUP BY path)
+  SELECT whole.conv AS conv_id, whole.depth, p.conv AS parent_conv_id, whole.n AS n_convs, whole.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+  FROM whole JOIN below USING (path) LEFT JOIN e USING (path) LEFT JOIN n p ON p.path = whole.above"""
+
+
+def _spelling() -> str:
+    run = f"regexp_extract_all(text, '{spelling.RUN}{{{spelling.LETTERS},}}')"
+    return f"""WITH r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, translate(unnest({run}), '{UPPER}', '{LOWER}') AS run FROM documents),
+      u AS MATERIALIZED (SELECT k, run, count(*) AS times FROM r GROUP BY ALL), h AS MATERIALIZED (SELECT *, {_crc32("(k || ':' || run)")} AS h FROM u),
+      w AS (SELECT times, CASE WHEN h % {spelling.ONE_IN} = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM h),
+      v AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= {spelling.LETTERS} GROUP BY word HAVING sum(times) >= {spelling.OCCURS}),
+      d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, CAST(unnest(generate_series(1, length(word))) AS INT) AS i FROM v)),
+      p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+      b AS (SELECT p.word, count(*) AS n_near, max(v.n) AS best, min(other) FILTER (v.n = m) AS form FROM (SELECT p.word, other, max(v.n) OVER (PARTITION BY p.word) AS m FROM p JOIN v ON v.word = other) p JOIN v ON v.word = other GROUP BY p.word),
+      f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= {spelling.TIMES} * v.n THEN form END AS form, CASE WHEN best >= {spelling.TIMES} * v.n THEN best END AS form_n FROM v LEFT JOIN b USING (word)),
+      c AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+      SELECT f.word, form, (SELECT max_by(root, step) FROM c WHERE c.word = f.word) AS root, n, n_near, form_n FROM f""".replace("WITH r AS", "WITH RECURSIVE r AS", 1)
+
+
 ORACLES: dict[str, str] = {
-    "op2_secret_scans": _secrets(), "op3_ngram_jaccard_join": _JACCARD, "op4_warc": _WARC, "op5_quality_rules": _quality(), "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(),
+    "op2_secret_scans": _secrets(), "op3_ngram_jaccard_join": _JACCARD, "op4_warc": _WARC, "op5_quality_rules": _quality(), "op7_line_dedup": _LINES, "op8_source_mixing": _mixing(), "op11_spelling_variants": _spelling(), "op13_prefix_trie": _TRIE,
 }
