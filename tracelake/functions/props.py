@@ -38,6 +38,7 @@ def listed(prefix: str, values: Column) -> Column:
 
 
 def holds(key: Column, names: tuple[str, ...]) -> Column:
+    """Whether a part of the path is one of the names; `/` inside a name is written ~1, so parts are whole names."""
     return F.exists(F.split(key, "/"), lambda part: part.isin(*names))
 
 

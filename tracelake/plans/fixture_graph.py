@@ -17,16 +17,17 @@ from tracelake.sources.tables import table
 
 
 def _top(title, related):
-    return F.create_map(F.lit("title"), json_text(title), F.lit("related"), F.to_json(F.transform(related, json_text)))
+    """Frontmatter leaves of a title and one related title."""
+    return F.create_map(F.lit("title"), json_text(title), F.lit("related/[0]"), json_text(related))
 
 
 def durable(spark: SparkSession, d: str) -> DataFrame:
     """Durable specifications, one a brand whose number isn't a multiple of 4."""
     b = table(spark, d, "part").select("p_brand").distinct().withColumn("n", F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")).where("n % 4 <> 0")
-    related = F.array(F.concat(F.lit("Title "), ((F.col("n") + 1) % 16).cast("string")))
+    related = F.concat(F.lit("Title "), ((F.col("n") + 1) % 16).cast("string"))
     title = F.concat(F.lit("Title "), (F.col("n") % 16).cast("string"))
     return b.select(F.concat(F.lit("openspec/specs/"), "p_brand", F.lit("/spec.md")).alias("path"), F.lit(DURABLE).alias("scope"), F.lit(None).cast("string").alias("change"),
-                    F.col("p_brand").alias("capability"), title.alias("title"), related.alias("related"), _top(title, related).alias("top"))
+                    F.col("p_brand").alias("capability"), title.alias("title"), F.array(related).alias("related"), _top(title, related).alias("top"))
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:

@@ -108,7 +108,7 @@ def heading_scenarios(spark, d):
 
 def frontmatter_related(spark, d):
     p = specs.parsed(specs.placed(_markdown(spark, d)))
-    return p.select("capability", "title", F.array_join("related", "|").alias("related"), F.array_join(F.array_sort(F.map_keys("top")), "|").alias("keys"), specs.json_string(F.col("top")["created"]).alias("created"))
+    return p.select("capability", "title", F.array_join("related", "|").alias("related"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.map_keys("top"), specs.top_name))), "|").alias("keys"), specs.json_string(F.col("top")["created"]).alias("created"))
 
 
 def document_lines(spark, d):

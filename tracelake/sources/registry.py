@@ -10,7 +10,9 @@ from tracelake.functions.ids import stable_id
 from tracelake.functions.props import NOT_REGISTERED, holds, props
 from tracelake.functions.text import joined, prefixes, stripped
 from tracelake.schema import CONTAINS, OWNS, REPOSITORY, SERVICE, WORKSPACE, Graph
-from tracelake.sources.specs import edge, node, yaml_json
+from tracelake.sources.shared import cut
+from tracelake.sources.specs import edge, node
+from tracelake.sources.trees import tree
 
 # Allowed roles and policies, the required version, and the prefixes of SSH addresses.
 ROLES = ("requirements", "code", "configuration", "infrastructure", "library", "test", "other")
@@ -33,10 +35,11 @@ REGISTRY = (
 
 
 def from_yaml(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(path, value) of registry files as workspaces, repositories, and (workspace_id, path) of all their leaves."""
-    text = files.select("path", yaml_json("value").alias("json"))
-    r = text.select("path", "json", F.from_json("json", REGISTRY).alias("r"))
-    ws_id = F.coalesce("r.workspace.id", "r.workspace.name")
+    """(path, value) of registry files as workspaces, repositories, and (workspace_id, path) of all their leaves, whole
+    paths.  Files that are no registry give no rows; unreadable() names them.  A registry without workspace is known by its file."""
+    text = cut(files.select("path", tree(F.col("value")).alias("tree")))  # parsed once
+    r = text.where("tree.ok and tree.is_mapping").select("path", "tree.leaves", F.from_json("tree.json", REGISTRY).alias("r"))
+    ws_id = F.coalesce("r.workspace.id", "r.workspace.name", "path")
     workspaces = r.select(
         ws_id.alias("workspace_id"), F.col("r.version").alias("version"), F.col("r.workspace.name").alias("name"), F.coalesce("r.workspace.description", F.lit("")).alias("description"),
         F.col("r.layout").isNotNull().alias("has_layout"), F.coalesce("r.layout.root_path", F.lit(".")).alias("root_path"), F.coalesce("r.layout.openlore_path", F.lit(TOOL_PATH)).alias("openlore_path"),
@@ -52,10 +55,17 @@ def from_yaml(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("p.openlore.index_location").alias("index_location"), F.col("p.git.dirty_worktree").alias("dirty_worktree"), F.col("p.git.fetch").alias("fetch"), F.col("p.git.pull").alias("pull"),
         F.col("p.git.pull_requires_default_branch").alias("pull_requires_default_branch"), F.col("p.exploration.include_by_default").alias("include_by_default"),
         F.col("p.exploration.search_exclusions").alias("search_exclusions"))
-    keys = r.select(ws_id.alias("workspace_id"), F.explode(F.regexp_extract_all("json", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))).alias("path")).withColumn("path", F.concat(F.lit("/"), "path"))
+    keys = r.select(ws_id.alias("workspace_id"), F.explode("leaves.path").alias("path"))
     return workspaces, repositories, keys
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """Diagnostics of (path, value): one error for each file that is no YAML, or holds something else than a mapping."""
+    told = files.select("path", tree(F.col("value")).alias("tree")).where("not (tree.ok and tree.is_mapping)")
+    message = F.when(F.col("tree.ok"), "Workspace registry must be a mapping").otherwise("Workspace registry is not valid YAML")
+    return told.select(F.lit("error").alias("severity"), F.lit("registry-readable").alias("rule_id"), F.col("path").alias("affected_object_id"), message.alias("message"))
+
+
 def _ord(phase: int, *path: Column) -> Column:
     return F.struct(F.lit(0).alias("batch"), F.lit(phase).alias("phase"), F.array(*path).alias("path"), F.lit(0).alias("seq")).alias("ord")
 

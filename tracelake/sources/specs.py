@@ -7,10 +7,7 @@ openspec/specs/<capability...>/spec.md, openspec/changes/<change>/..., openspec/
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelake.functions import text as tx
 from tracelake.functions.ids import stable_id
@@ -20,78 +17,32 @@ from tracelake.schema import (
     ACTIVE_CHANGE, ACTIVE_SCOPE, ARCHIVED_CHANGE, ARCHIVED_SCOPE, ARTIFACT, CHANGE_HAS_ARTIFACT, CHANGE_TOUCHES_SPEC, DURABLE, EVIDENCE_SCHEMA, RELATED_SPEC,
     REQUIREMENT_HAS_SCENARIO, SCENARIO, SPEC, SPEC_HAS_REQUIREMENT, SPEC_REQUIREMENT, Graph,
 )
+from tracelake.sources import store_tree
+from tracelake.sources.shared import cut
+from tracelake.sources.trees import tree
 
 SPECS, CHANGES_DIR = "openspec/specs", "openspec/changes"
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, value) of all spec.md below root, decoded as UTF-8; Spark's readers pass over names that begin with . or _."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "spec.md").load(root)
-    base = F.length(F.lit(root.rstrip("/"))) + 2
-    plain = F.regexp_replace("path", r"^file:/+", "/") if root.startswith("/") else F.col("path")
-    return files.select(F.substring(plain, base, F.lit(1 << 30)).alias("path"), F.decode("content", "UTF-8").alias("value"))
-
-
-def bad_bytes(spark: SparkSession, root: str) -> DataFrame:
-    """(path): specification files that aren't valid UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "spec.md").load(root)
-    return files.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path")
-
-
-@F.pandas_udf(T.StringType())
-def yaml_json(blocks: pd.Series) -> pd.Series:
-    """YAML mappings as JSON text; anything else is an empty mapping; dates become text."""
-    import yaml
-
-    def one(block: str | None) -> str:
-        value = yaml.safe_load(block) if block else None
-        return json.dumps(value if isinstance(value, dict) else {}, default=str, ensure_ascii=False)
-
-    return blocks.map(one)
-
-
-@F.pandas_udf(T.StringType())
-def yaml_values(blocks: pd.Series) -> pd.Series:
-    """YAML mappings as JSON objects whose values are JSON texts themselves, so that 1 and "1" differ; the items of lists are
-    JSON texts once more; dates become texts after a blank, which tells them from strings.  Anything else, broken YAML too,
-    is an empty mapping."""
-    import datetime
-
-    import yaml
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path, is_dir, bytes, content) of all below a store, hidden names and empty folders included; content of spec.md files."""
+    return store_tree.tree(spark, root, "spec.md")
 
-    def text(value) -> str:
-        blank = " " if isinstance(value, datetime.date) else ""
-        return blank + json.dumps(value, default=str, ensure_ascii=False)
 
-    def one(block: str | None) -> str:
-        try:
-            value = yaml.safe_load(block) if block else None
-        except yaml.YAMLError:
-            value = None
-        kept = value.items() if isinstance(value, dict) else ()
-        return text({str(k): text([text(x) for x in v] if isinstance(v, list) else v) for k, v in kept})
+def read_files(listed: DataFrame) -> DataFrame:
+    """(path, value) of the spec.md files of manifest(), decoded as UTF-8; bad_bytes() names those that aren't."""
+    return listed.where("content is not null").select("path", F.decode("content", "UTF-8").alias("value"))
 
-    return blocks.map(one)
 
-
-@F.pandas_udf(T.BooleanType())
-def is_yaml(blocks: pd.Series) -> pd.Series:
-    import yaml
-
-    def one(block: str | None) -> bool:
-        try:
-            yaml.safe_load(block or "")
-        except yaml.YAMLError:
-            return False
-        return True
-
-    return blocks.map(one)
+def bad_bytes(listed: DataFrame) -> DataFrame:
+    """(path): specification files that aren't valid UTF-8."""
+    return listed.where("content is not null").where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path")
 
 
 def bad_frontmatter(files: DataFrame) -> DataFrame:
     """(path): specification files whose frontmatter is broken YAML; parsed() takes them as files without any."""
     block = files.select("path", tx.frontmatter(tx.lines(F.col("value")))["block"].alias("block")).where("block is not null")
-    return block.where(~is_yaml("block")).select("path")
+    return block.where(~tree(F.col("block"))["ok"]).select("path")
 
 
 def json_string(text: Column) -> Column:
@@ -99,6 +50,11 @@ def json_string(text: Column) -> Column:
     return F.when(text.startswith('"'), F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0])
 
 
+def top_name(path: Column) -> Column:
+    """The first name of a path of leaves, which begins with no slash."""
+    return F.substring_index(path, "/", 1)
+
+
 def placed(files: DataFrame) -> DataFrame:
     """files with scope, change and capability; rows that are no specification file of the layout are dropped."""
     path = F.col("path")
@@ -113,16 +69,15 @@ def placed(files: DataFrame) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """placed() with title, related titles, frontmatter map and the body lines."""
-    split = files.withColumn("fm", tx.frontmatter(tx.lines(F.col("value")))).withColumn("json", yaml_values("fm.block"))
-    front = split.withColumn("top", F.from_json("json", "map<string,string>"))
-    related = F.col("top")["related"]
-    items = F.transform(F.from_json(F.when(related.startswith("["), related), "array<string>"), json_string)
-    one = F.array(json_string(related))
-    front = front.withColumn("related", tx.related_titles(F.filter(F.coalesce(items, one), lambda x: x.isNotNull())))
-    front = front.withColumn("title", tx.title_or(json_string(F.col("top")["title"]), F.col("capability")))
-    kept = F.transform_values(F.map_filter("top", lambda k, v: k.isin(*tx.FRONTMATTER_KEYS) & v.isNotNull()), lambda k, v: F.ltrim(v))
-    return front.withColumn("top", kept).withColumn("body", F.col("fm.body")).drop("fm", "json", "value")
+    """placed() with title, related titles, frontmatter leaves (path without its first slash -> JSON text) and the body lines."""
+    split = files.withColumn("fm", tx.frontmatter(tx.lines(F.col("value")))).withColumn("leaves", tree(F.col("fm.block"))["leaves"])
+    texts = F.filter("leaves", lambda x: x["text"])
+    said = lambda name: F.transform(F.filter(texts, lambda x: x["path"].rlike(rf"^/{name}$")), lambda x: json_string(x["value"]))
+    front = split.withColumn("related", tx.related_titles(said(r"related(/\[[0-9]+\])?")))
+    front = front.withColumn("title", tx.title_or(F.get(said("title"), 0), F.col("capability")))
+    named = F.transform("leaves", lambda x: F.struct(F.substring(x["path"], F.lit(2), F.length(x["path"])).alias("key"), x["value"].alias("value")))
+    kept = F.filter(named, lambda x: top_name(x["key"]).isin(*tx.FRONTMATTER_KEYS) & ~(x["key"].isin(*tx.FRONTMATTER_KEYS) & (x["value"] == "null")))
+    return front.withColumn("top", F.map_from_entries(kept)).withColumn("body", F.col("fm.body")).drop("fm", "leaves", "value")
 
 
 def headings(bodies: DataFrame) -> DataFrame:
@@ -187,12 +142,10 @@ def evidence_id(path: Column, identity_: Column) -> Column:
 
 def spec_facts(specs: DataFrame, repository_id: str = "requirements") -> Graph:
     """Specifications (path, scope, change, capability, title, related, top) as nodes with evidence; the touch edges of
-    those inside a change.  The values of top are JSON texts."""
+    those inside a change.  top holds leaves of frontmatter: path -> JSON text."""
     change = F.coalesce(F.col("change"), F.lit(""))
     base = props(capability=F.col("capability"), change_identity=change, openspec_identity=identity(), repository_id=F.lit(repository_id), scope=F.col("scope"))
-    quoted = F.map_filter("top", lambda k, v: k != "related")
-    front = F.transform_keys(quoted, lambda k, v: F.concat(F.lit("/frontmatter/"), k))
-    full = F.map_concat(base, front, F.when(F.map_contains_key("top", "related"), listed("frontmatter__related", F.col("related"))).otherwise(F.create_map().cast("map<string,string>")))
+    full = F.map_concat(base, F.transform_keys("top", lambda k, v: F.concat(F.lit("/frontmatter/"), k)))
     e = evidence_id(F.col("path"), identity())
     nodes = specs.select(*node(spec_id(), SPEC, F.col("title"), full, e, capability=F.col("capability"), scope=F.col("scope"), change_identity=change, openspec_identity=identity()), _ord(1, F.col("path"), 0))
     proof = specs.select(*evidence(e, F.col("path"), "openspec-spec", identity()), _ord(1, F.col("path"), 0))
@@ -286,6 +239,20 @@ def missing_layout(manifest: DataFrame) -> DataFrame:
     return needed.join(manifest.where("is_dir").select("path").distinct(), "path", "left_anti")
 
 
+class StoreLayoutError(ValueError):
+    """A store without the folders that it must have, or with files that can't be read."""
+
+
+def extract_store(spark: SparkSession, root: str, repository_id: str = "requirements") -> tuple[Graph, DataFrame, DataFrame]:
+    """extract() from the path of a store alone.  Missing folders and files that are no UTF-8 are errors."""
+    listed = cut(manifest(spark, root))
+    if (x := missing_layout(listed).orderBy("path").first()) is not None:
+        raise StoreLayoutError(f"{root} has no folder {x.path}")
+    if (x := bad_bytes(listed).first()) is not None:
+        raise StoreLayoutError(f"{x.path} is not UTF-8")
+    return extract(read_files(listed), listed, repository_id)
+
+
 def extract(files: DataFrame, manifest: DataFrame, repository_id: str = "requirements") -> tuple[Graph, DataFrame, DataFrame]:
     """The graph of a store (one record an id, the last wins), unresolved related titles, and the extraction counts."""
     specs = parsed(placed(files))
