@@ -6,7 +6,6 @@ from tracelake.plans.sql import needs, sid
 
 _LINE = r"regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1)"
 _PATHS = f"""p AS (SELECT page_id, '/' || array_to_string(list_filter(string_split({_LINE}, '/'), lambda x: x NOT IN ('', '.')), '/') AS path FROM pages WHERE {_LINE} <> '')"""
-_PARTS = "part JOIN durable ON p_brand = capability WHERE true"
 
 
 def _reach(start: str, tables: tuple[str, ...] = (), more: str = "") -> str:
@@ -65,11 +64,6 @@ ORACLES = {
       FROM repo LEFT JOIN s ON path = resolved_path WHERE role = 'requirements' GROUP BY workspace_id, name""",
     "federation_refs": f"""{needs('ws', 'repo')} SELECT workspace_id, name AS id, resolved_path || CASE WHEN n % 6 = 0 THEN '' ELSE '/index/kg' END AS index_path
       FROM repo JOIN (SELECT workspace_id FROM ws WHERE federation_enabled) USING (workspace_id) WHERE include_in_federation""",
-    "heading_requirements": f"""{needs('durable')}, l AS (SELECT path, p_partkey, 0 AS s, p_name || ' ' || p_partkey AS requirement, 2 * p_partkey AS pos FROM {_PARTS}
-        UNION ALL SELECT path, p_partkey, 1, p_name || ' ' || p_partkey, 2 * p_partkey + 1 FROM {_PARTS} AND p_size > 25)
-      SELECT path, CAST(line AS INT) AS line, requirement FROM (SELECT path, requirement, s, 2 + sum(CASE WHEN pos % 8 = 4 THEN 3 ELSE 2 END) OVER (PARTITION BY path ORDER BY pos) - CASE WHEN pos % 8 = 4 THEN 3 ELSE 2 END AS line FROM l) WHERE s = 0""",
-    "heading_scenarios": f"{needs('durable')} SELECT path, p_name || ' ' || p_partkey AS requirement, p_type AS scenario FROM {_PARTS} AND p_size > 25",
-    "frontmatter_related": f"{needs('durable')} SELECT DISTINCT capability, title, related, 'created|related|title' AS keys, '2026-08-01' AS created FROM {_PARTS}",
     "document_lines": """WITH l AS (SELECT doc_id, unnest(list_slice(x, 1, CASE WHEN x[len(x)] = '' THEN len(x) - 1 ELSE len(x) END)) AS line, generate_subscripts(list_slice(x, 1, CASE WHEN x[len(x)] = '' THEN len(x) - 1 ELSE len(x) END), 1) AS pos
         FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS x FROM documents))
       SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '^[A-E]')) AS n_keyed, coalesce(max(pos) - min(pos) FILTER (regexp_matches(line, '^[A-E]')), 0) AS n_below FROM l GROUP BY doc_id""",
@@ -163,7 +157,5 @@ ORACLES = {
     "store_roundtrip": f"{needs('ws', 'repo', 'svc')} SELECT id, 'workspace' AS kind, workspace_id AS name FROM ws UNION ALL SELECT id, 'repository', 'new ' || name FROM repo UNION ALL SELECT id, 'service', name FROM svc",
     "build_job": f"""{needs('nodes', 'edges', 'evs', 'derived')} SELECT n AS stored_node_count, e AS stored_edge_count, v AS stored_evidence_count, n AS node_count, e + (SELECT count(*) FROM derived) AS edge_count, v AS evidence_count
       FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e, (SELECT count(*) FROM evs) AS v)""",
-    "extraction_counts": f"""{needs('durable', 'ch', 'art')} SELECT (SELECT count(DISTINCT capability) FROM {_PARTS}) AS durable_specs, (SELECT count(*) FROM ch WHERE known AND scope = 'active-change') AS active_changes,
-      (SELECT count(*) FROM ch WHERE known AND scope = 'archived-change') AS archived_changes, (SELECT count(*) FROM {_PARTS}) AS requirements, (SELECT count(*) FROM {_PARTS} AND p_size > 25) AS scenarios, (SELECT count(*) FROM art) AS artifacts""",
     "components": _components(24),
 }

@@ -82,35 +82,6 @@ def federation_counts(spark, d):
     return registry.federation_counts(w, r)
 
 
-def _markdown(spark, d) -> DataFrame:
-    """(path, value): the text of each durable specification, put together from its parts."""
-    heads = fg.part_headings(spark, d)
-    line = F.when(F.col("scenario").isNull(), F.concat(F.lit("### Requirement:  "), "requirement", F.lit(" "))).otherwise(F.concat(F.lit("#### Scenario: "), "scenario"))
-    noise = F.when(F.col("line") % 8 == 4, F.lit("\r\n## Requirement: ignored\n### Scenario: ignored")).otherwise(F.lit("\nplain text"))
-    body = heads.select("path", "capability", "line", F.concat(line, noise).alias("text"))
-    made = body.groupBy("path", "capability").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("body"))
-    n = F.regexp_extract("capability", "([0-9]+)$", 1).cast("int")
-    front = F.concat(F.lit("---\ntitle: Title "), (n % 16).cast("string"), F.lit("\ncreated: 2026-08-01\nowner: dropped\nrelated:\n  - Title "), ((n + 1) % 16).cast("string"), F.lit("\n  - ''\n---\n#### Scenario: before any requirement\n"))
-    return made.select("path", F.concat(front, "body").alias("value"))  # a specification's own parts
-
-
-def heading_requirements(spark, d):
-    p = specs.parsed(specs.placed(_markdown(spark, d)))
-    h = specs.headings(p.select("path", "body"))
-    return h.where("scenario is null").select("path", "line", "requirement")
-
-
-def heading_scenarios(spark, d):
-    p = specs.parsed(specs.placed(_markdown(spark, d)))
-    h = specs.headings(p.select("path", "body"))
-    return h.where("scenario is not null").select("path", "requirement", "scenario")
-
-
-def frontmatter_related(spark, d):
-    p = specs.parsed(specs.placed(_markdown(spark, d)))
-    return p.select("capability", "title", F.array_join("related", "|").alias("related"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.map_keys("top"), specs.top_name))), "|").alias("keys"), specs.json_string(F.col("top")["created"]).alias("created"))
-
-
 def document_lines(spark, d):
     """Lines of documents, those that open with a capital A to E, and those below the first such line."""
     t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -366,18 +337,10 @@ def build_job(spark, d):
     return merge.counts(done.graph).select(*[F.lit(n).alias(f"stored_{c}") for c, n in stored.items()], *stored)
 
 
-def extraction_counts(spark, d):
-    """Counts of the facts read from the assembled specification files and the folders of changes."""
-    spec = _markdown(spark, d)
-    a = fg.artifacts(spark, d).select("path", F.lit(False).alias("is_dir"))
-    dirs = fg.changes(spark, d).where("known").select("path", F.lit(True).alias("is_dir"))
-    return specs.extract(spec, dirs.unionByName(a))[2]
-
-
 QUERIES = {f.__name__: f for f in (
-    stable_ids, registry_nodes, registry_edges, registry_violations, path_containment, store_match, federation_refs, heading_requirements, heading_scenarios, frontmatter_related, document_lines,
+    stable_ids, registry_nodes, registry_edges, registry_violations, path_containment, store_match, federation_refs, document_lines,
     capability_paths, issue_tokens, change_artifacts, change_touches, related_edges, related_unresolved, graph_counts, merge_last_wins, derive_edges, derive_diagnostics, derive_metadata, dup_counts,
     dup_conflicts, broken_edges, missing_evidence, documents_without_label, trace_shape, related_warnings, validation_summary, gated_read, components, requirements_by_capability, requirements_by_service,
-    requirements_by_change, requirements_by_evidence, services, changes, traceability, traceability_missing, sanitized_props, forbidden_props, locator_kinds, store_roundtrip, build_job, extraction_counts,
+    requirements_by_change, requirements_by_evidence, services, changes, traceability, traceability_missing, sanitized_props, forbidden_props, locator_kinds, store_roundtrip, build_job,
     registry_rules, federation_counts, node_records, edge_records, service_records, derive_diagnostics_ordered, validation_ordered,
 )}

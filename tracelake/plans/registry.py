@@ -1,6 +1,6 @@
 """All queries on the reference's operators and their SQL."""
 
-from tracelake.plans.oracles import ORACLES
-from tracelake.plans.queries import QUERIES
+from tracelake.plans import files, oracles, queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | files.QUERIES
+ORACLES = oracles.ORACLES | files.ORACLES
