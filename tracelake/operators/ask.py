@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.functions.props import NOT_SHOWN, without
 from tracelake.operators.merge import last_wins
-from tracelake.operators.reach import labelled, labels
+from tracelake.operators.reach import labelled, reached
 from tracelake.schema import CHANGE_HAS_ARTIFACT, CHANGE_TOUCHES_SPEC, CHANGE_TRACES_TO_SPEC, CHANGES, CONTAINS, OWNS, REPOSITORY, REQUIREMENT, SERVICE, SPEC_REQUIREMENT, Graph
 from tracelake.sources.shared import cut
 
@@ -32,23 +32,29 @@ def in_node_order(df: DataFrame) -> DataFrame:
     return df.orderBy("id", "kind", "name")
 
 
-def _components_of(nodes: DataFrame, wanted: Column) -> DataFrame:
-    return nodes.where(wanted).select("component").distinct()
-
-
-def requirements(g: Graph, capability: str | None = None, service: str | None = None, change: str | None = None, evidence_ref: str | None = None, found: DataFrame | None = None) -> DataFrame:
+def requirements(g: Graph, capability: str | None = None, service: str | None = None, change: str | None = None, evidence_ref: str | None = None, found: DataFrame | None = None, merged: bool = False) -> DataFrame:
     """Requirements that meet all given filters.  A capability, a service or a change counts when a node of the same
-    component has it.  found: component labels of this graph, if they are at hand."""
-    nodes = last_wins(g.nodes)
-    if capability or service or change:
-        nodes = labelled(nodes, found if found is not None else labels(g))
-    out = nodes.where(F.col("kind").isin(REQUIREMENT, SPEC_REQUIREMENT))
+    component has it: each is a search from the nodes that have it.  found: component labels of this graph, if they are
+    at hand, instead of searches.  merged: whether ids are known to be single."""
+    nodes = g.nodes if merged else cut(last_wins(g.nodes)) if capability or service or change else last_wins(g.nodes)
+    kind = F.col("kind")
+    out = nodes.where(kind.isin(REQUIREMENT, SPEC_REQUIREMENT))
+    wanted = []
     if capability:
-        out = out.join(_components_of(nodes, F.col("capability") == capability), "component", "left_semi")
+        wanted.append(F.col("capability") == capability)
     if service:
-        out = out.join(_components_of(nodes, (F.col("kind") == SERVICE) & ((F.col("id") == service) | (F.col("name") == service))), "component", "left_semi")
+        wanted.append((kind == SERVICE) & ((F.col("id") == service) | (F.col("name") == service)))
     if change:
-        out = out.join(_components_of(nodes, F.col("kind").isin(*CHANGES) & ((F.col("id") == change) | (F.col("name") == change))), "component", "left_semi")
+        wanted.append(kind.isin(*CHANGES) & ((F.col("id") == change) | (F.col("name") == change)))
+    if wanted and found is not None:
+        known = labelled(nodes, found)
+        out = known.where(kind.isin(REQUIREMENT, SPEC_REQUIREMENT))
+        for w in wanted:
+            out = out.join(known.where(w).select("component").distinct(), "component", "left_semi")
+        out = out.drop("component")
+    else:
+        for w in wanted:
+            out = out.join(reached(Graph(nodes, g.edges, g.evidence), nodes.where(w).select("id")), "id", "left_semi")
     if evidence_ref:
         e = g.edges.where(F.array_contains("evidence_ids", evidence_ref))
         touched = e.select(F.col("source_id").alias("id")).unionByName(e.select(F.col("target_id").alias("id"))).distinct().withColumn("touched", F.lit(True))
@@ -56,18 +62,18 @@ def requirements(g: Graph, capability: str | None = None, service: str | None =
     return node_rows(out, g.evidence)
 
 
-def services(g: Graph) -> DataFrame:
+def services(g: Graph, merged: bool = False) -> DataFrame:
     """Services with repository_ids, sorted, repeats kept; null where there are none."""
-    nodes = last_wins(g.nodes)
+    nodes = g.nodes if merged else last_wins(g.nodes)
     repos = nodes.where(F.col("kind") == REPOSITORY).select(F.col("id").alias("target_id"))
     of = g.edges.where(F.col("kind").isin(OWNS, CONTAINS)).join(repos, "target_id").groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list("target_id")).alias("repository_ids"))
     return node_rows(nodes.where(F.col("kind") == SERVICE).join(of, "id", "left"), g.evidence)
 
 
-def changes(g: Graph) -> DataFrame:
+def changes(g: Graph, merged: bool = False) -> DataFrame:
     """Changes with the ids of their artifacts, touched and traced specifications, those touched but not among the
     traced (by id, as stored), and those touched that no trace goes through."""
-    nodes = last_wins(g.nodes)
+    nodes = g.nodes if merged else last_wins(g.nodes)
     kind = F.col("kind")
     pick = lambda k: F.array_sort(F.collect_list(F.when(kind == k, F.col("target_id"))))
     via = F.from_json(F.concat(F.lit('{"v":'), F.col("props")["/via_spec_id"], F.lit("}")), "v string")["v"]
@@ -109,16 +115,13 @@ def in_edge_order(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """A sorted df with each row's place, from 0, as `position`.  Ranges are sorted and counted apart; only their sizes,
     one row a range, meet in one task."""
-    laid = cut(df.withColumn("position", F.monotonically_increasing_id()))
-    part = F.shiftright("position", 33).alias("part")
-    sizes = laid.groupBy(part).agg(F.count("*").alias("n"))
+    laid = cut(df.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))  # places rise within a range
+    sizes = laid.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = laid.withColumn("part", part).join(F.broadcast(before), "part")
-    return placed.withColumn("position", F.col("before") + F.col("position").bitwiseAND((1 << 33) - 1)).drop("part", "before")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+    return laid.withColumn("within", within).join(F.broadcast(before), "part").withColumn("position", (F.col("before") + F.col("within")).cast("long")).drop("part", "place", "within", "before")
 
 
 def as_json(df: DataFrame, name: str = "record") -> DataFrame:
     """(id, record): each row as JSON with sorted keys; null fields left out."""
     return df.select(df.columns[0], F.to_json(F.struct(*sorted(df.columns))).alias(name))
-
-

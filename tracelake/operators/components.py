@@ -43,3 +43,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return e.select(F.col("a").alias("v"), F.col("a").alias("component"))
     drop(e)
     return label.select("v", F.col("p").alias("component"))
+
+
+def extended(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(v, component) of the vertices whose label changes when edges are added to a graph with labels (v, component), new
+    vertices included.  The new edges are lifted to the labels of their ends and only these are contracted, so the work is that of the new
+    edges and of the components that they join.  relabelled() puts the result into the labels."""
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    ends = cut(e.select(F.col("a").alias("v")).unionByName(e.select(F.col("b").alias("v"))).distinct().join(labels, "v", "left"))
+    top = lambda end: ends.select(F.col("v").alias(end), F.coalesce("component", "v").alias(f"top_{end}"))
+    moved = cut(connected_components(e.join(top("a"), "a").join(top("b"), "b"), "top_a", "top_b").where("v <> component"))
+    old = labels.join(moved.select(F.col("v").alias("component"), F.col("component").alias("now")), "component").select("v", F.col("now").alias("component"))
+    new = ends.where("component is null").select("v").join(moved, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+    return old.unionByName(new)
+
+
+def relabelled(labels: DataFrame, changed: DataFrame) -> DataFrame:
+    """labels with those of changed in their places."""
+    return labels.join(changed.select("v"), "v", "left_anti").unionByName(changed.select("v", "component"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tracelake.functions.ids import stable_id
 from tracelake.functions.props import props
-from tracelake.operators.merge import last_wins, merge
+from tracelake.operators.merge import last_wins, late, merge
 from tracelake.schema import CHANGE_TOUCHES_SPEC, CHANGE_TRACES_TO_SPEC, DERIVE_RULE, DURABLE, SPEC, Graph
+from tracelake.sources.shared import cut
 
 MISSING_END = "Cannot derive OpenSpec traceability because the change-to-spec edge has a missing endpoint."
 NO_DURABLE = "No durable OpenSpec spec exists for capability: "
@@ -30,20 +33,22 @@ def touches(g: Graph) -> DataFrame:
     return edges.join(source, "source_id", "left").join(target, "target_id", "left")
 
 
-def inputs(g: Graph) -> DataFrame:
-    """Touch edges with both ends, the first by edge id for each change, specification and capability, with the durable
-    specification of the capability, if any."""
-    both = touches(g).where("has_source and has_target")
+def _inputs(touched: DataFrame, nodes: DataFrame) -> DataFrame:
+    both = touched.where("has_source and has_target")
     first = both.groupBy("source_id", "target_id", "capability").agg(F.min_by(F.struct("edge_id", "evidence_ids", "scope", "ord"), "edge_id").alias("e"))
-    durable = durable_specs(g.nodes)
+    durable = durable_specs(nodes)
     side = F.broadcast(durable) if durable.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else durable
     return first.select("source_id", "target_id", "capability", "e.*").join(side, "capability", "left")
 
 
-def derived_edges(g: Graph) -> DataFrame:
-    """Derived edges before they are merged by id, in the order of their inputs."""
-    found = inputs(g).where("durable_id is not null")
-    return found.select(
+def inputs(g: Graph) -> DataFrame:
+    """Touch edges with both ends, the first by edge id for each change, specification and capability, with the durable
+    specification of the capability, if any."""
+    return _inputs(touches(g), g.nodes)
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.where("durable_id is not null").select(
         stable_id("edge", CHANGE_TRACES_TO_SPEC, DERIVE_RULE, F.col("source_id"), F.col("durable_id"), F.col("capability")).alias("id"),
         F.lit(CHANGE_TRACES_TO_SPEC).alias("kind"), "source_id", F.col("durable_id").alias("target_id"),
         props(capability=F.col("capability"), derived=F.lit(True), rule_id=F.lit(DERIVE_RULE), source_scope=F.col("scope"),
@@ -53,27 +58,56 @@ def derived_edges(g: Graph) -> DataFrame:
     )
 
 
-def diagnostics(g: Graph) -> DataFrame:
-    """Touch edges that gave nothing: a missing end (one row an edge), or no durable specification (one an input)."""
-    broken = touches(g).where("has_source is null or has_target is null").select(
+def _missed(touched: DataFrame, found: DataFrame) -> DataFrame:
+    broken = touched.where("has_source is null or has_target is null").select(
         F.lit("warning").alias("severity"), F.lit(DERIVE_RULE).alias("rule_id"), F.col("edge_id").alias("affected_object_id"), F.lit(MISSING_END).alias("message"))
-    without = inputs(g).where("durable_id is null").select(
+    without = found.where("durable_id is null").select(
         F.lit("info").alias("severity"), F.lit(DERIVE_RULE).alias("rule_id"), F.col("target_id").alias("affected_object_id"), F.concat(F.lit(NO_DURABLE), "capability").alias("message"))
     return broken.unionByName(without)
 
 
+class Derived(NamedTuple):
+    """Derived edges before they are merged by id, in the order of their inputs; diagnostics; and their counts."""
+
+    edges: DataFrame
+    diagnostics: DataFrame
+    derived_edge_count: int
+    skipped_input_count: int
+
+
+def run(g: Graph) -> Derived:
+    """The whole derivation in one evaluation: touch edges with their ends and the inputs are written, and counted as they are."""
+    broken, made = Observation(), Observation()
+    gone = F.col("has_source").isNull() | F.col("has_target").isNull()
+    touched = cut(touches(g).observe(broken, F.count_if(gone).alias("n")))
+    found = cut(_inputs(touched, g.nodes).observe(made, F.count("durable_id").alias("made"), F.count_if(F.col("durable_id").isNull()).alias("missed")))
+    return Derived(_edges(found), _missed(touched, found), made.get["made"], made.get["missed"] + broken.get["n"])
+
+
+def derived_edges(g: Graph) -> DataFrame:
+    """Derived edges before they are merged by id, in the order of their inputs."""
+    return _edges(inputs(g))
+
+
+def diagnostics(g: Graph) -> DataFrame:
+    """Touch edges that gave nothing: a missing end (one row an edge), or no durable specification (one an input)."""
+    touched = cut(touches(g))
+    return _missed(touched, _inputs(touched, g.nodes))
+
+
 def ordered(found: DataFrame) -> DataFrame:
     """Diagnostics by severity as text, rule, object and message."""
     return found.orderBy("severity", "rule_id", "affected_object_id", "message")
 
 
-def derive(g: Graph) -> Graph:
-    new = last_wins(derived_edges(g))
-    return merge(g, Graph(g.nodes.limit(0), new, g.evidence.limit(0)))
+def derive(g: Graph, merged: bool = False) -> Graph:
+    """g with its derived edges.  merged: whether ids are known to be single; then only edges are merged."""
+    new = Graph(g.nodes.limit(0), last_wins(derived_edges(g)), g.evidence.limit(0))
+    return Graph(g.nodes, last_wins(g.edges.unionByName(late(new.edges))), g.evidence) if merged else merge(g, new)
 
 
 def metadata(g: Graph) -> DataFrame:
     """One row: edges derived (before they merge by id), and inputs skipped and unresolved."""
-    both = derived_edges(g).select(F.lit("made").alias("what")).unionAll(diagnostics(g).select(F.lit("missed").alias("what")))
-    n = both.agg(F.count_if(F.col("what") == "made").alias("derived_edge_count"), F.count_if(F.col("what") == "missed").alias("skipped_input_count"))
-    return n.withColumn("unresolved_input_count", F.col("skipped_input_count"))
+    done = run(g)
+    return g.nodes.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in (
+        ("derived_edge_count", done.derived_edge_count), ("skipped_input_count", done.skipped_input_count), ("unresolved_input_count", done.skipped_input_count))])

@@ -19,13 +19,15 @@ def last_wins(records: DataFrame) -> DataFrame:
     return merged.select(*[F.col("id") if c == "id" else F.col("first").alias("ord") if c == "ord" else F.col(f"row.{c}").alias(c) for c in records.columns])
 
 
+def late(df: DataFrame, batch: int = LAST_BATCH) -> DataFrame:
+    """Records as ones of batch number `batch`."""
+    return df.withColumn("ord", F.col("ord").withField("batch", F.lit(batch)))
+
+
 def merge(left: Graph, right: Graph, batch: int = LAST_BATCH) -> Graph:
     """left and right as one graph; records of right replace those of left with the same id in their places, new ones
     follow, as batch number `batch`."""
-    def late(df: DataFrame) -> DataFrame:
-        return df.withColumn("ord", F.col("ord").withField("batch", F.lit(batch)))
-
-    return Graph(*(last_wins(a.unionByName(late(b))) for a, b in zip(left, right, strict=True)))
+    return Graph(*(last_wins(a.unionByName(late(b, batch))) for a, b in zip(left, right, strict=True)))
 
 
 def concatenated(*graphs: Graph) -> Graph:

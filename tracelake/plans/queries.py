@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracelake.functions import text as tx
 from tracelake.functions.ids import stable_id
 from tracelake.functions.props import NOT_SHOWN, NOT_STORED, has_any, json_text, without
-from tracelake.operators import ask, derive, merge, reach, validate
+from tracelake.operators import ask, components as comp, derive, merge, reach, validate
 from tracelake.plans import fixture_graph as fg
 from tracelake.schema import CHANGE_HAS_ARTIFACT, CHANGE_TOUCHES_SPEC, CHANGE_TRACES_TO_SPEC, Graph
 from tracelake.sources import registry, specs, store
@@ -21,8 +21,15 @@ CAPABILITY, SERVICE = "Brand#13", "Supplier#000000001"
 
 
 def full(spark: SparkSession, d: str, **kw) -> Graph:
-    """The graph with its derived edges, written once."""
-    return derive.derive(fg.graph(spark, d, **kw).map(cut)).map(cut)
+    """The graph with its derived edges, merged by id and written once."""
+    g = fg.graph(spark, d, **kw).map(merge.last_wins).map(cut)
+    return Graph(g.nodes, cut(derive.derive(g, merged=True).edges), g.evidence)
+
+
+def linked(spark: SparkSession, d: str) -> Graph:
+    """What derivation reads of the graph as it is made, written once: columns of nodes, and touch edges."""
+    g = fg.graph(spark, d)
+    return Graph(cut(g.nodes.select("id", "kind", "capability", "scope")), cut(g.edges.where(F.col("kind") == CHANGE_TOUCHES_SPEC)), g.evidence)
 
 
 def stable_ids(spark, d):
@@ -133,15 +140,15 @@ def merge_last_wins(spark, d):
 
 
 def derive_edges(spark, d):
-    return derive.derived_edges(fg.graph(spark, d)).select("id", "source_id", "target_id", F.get_json_object(F.to_json("props"), "$['/capability']").alias("capability_json"), F.col("props")["/via_spec_id"].alias("via_json"), F.element_at("evidence_ids", 1).alias("evidence_id"))
+    return derive.derived_edges(linked(spark, d)).select("id", "source_id", "target_id", F.get_json_object(F.to_json("props"), "$['/capability']").alias("capability_json"), F.col("props")["/via_spec_id"].alias("via_json"), F.element_at("evidence_ids", 1).alias("evidence_id"))
 
 
 def derive_diagnostics(spark, d):
-    return derive.diagnostics(fg.graph(spark, d))
+    return derive.diagnostics(linked(spark, d))
 
 
 def derive_metadata(spark, d):
-    return derive.metadata(fg.graph(spark, d))
+    return derive.metadata(linked(spark, d))
 
 
 def dup_counts(spark, d):
@@ -196,30 +203,62 @@ def components(spark, d):
     return reach.labels(full(spark, d))
 
 
+def components_extended(spark, d):
+    """Labels of the graph without its derived edges, brought up to date when these arrive."""
+    g = full(spark, d)
+    derived = F.col("kind") == CHANGE_TRACES_TO_SPEC
+    first = cut(reach.labels(Graph(g.nodes, g.edges.where(~derived), g.evidence)).withColumnRenamed("id", "v"))
+    more = reach.open_edges(Graph(g.nodes, g.edges.where(derived), g.evidence))
+    return comp.relabelled(first, cut(comp.extended(first, more))).withColumnRenamed("v", "id")
+
+
+def requirements_by_capability_and_change(spark, d):
+    """Two filters that must both hold."""
+    g = full(spark, d)
+    name = g.nodes.where("kind = 'openspec-active-change'").agg(F.min("name")).first()[0]
+    return _ids(ask.requirements(g, capability=CAPABILITY, change=name, merged=True))
+
+
+def store_export(spark, d):
+    """Services and edges of a stored registry graph as whole JSON records with sorted keys."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = store.export(store.write(registry_graph(spark, d), folder))
+    return rows.where("table = 'edges' or get_json_object(record, '$.kind') = 'service'")
+
+
+def store_match_named(spark, d):
+    """Stores named for each requirements repository: used, at another path, or unknown."""
+    _, r, _ = fg.supplier_registries(spark, d)
+    s = table(spark, d, "supplier").select(F.concat(F.lit("store-"), F.col("s_suppkey").cast("string")).alias("store_id"), F.concat(F.lit("/ws"), F.floor(F.col("s_suppkey") / 10).cast("string"), F.lit("/root/repos/r"), F.col("s_suppkey").cast("string")).alias("path"))
+    asked = table(spark, d, "supplier").select(F.concat(F.lit("W"), F.floor(F.col("s_suppkey") / 10).cast("string")).alias("workspace_id"), F.concat(F.lit("store-"), (F.col("s_suppkey") * 2).cast("string")).alias("store_id"))
+    m = registry.matched_stores(r, s, asked)
+    return m.select("workspace_id", "id", "matches", "store_id", "state")
+
+
 def _ids(df: DataFrame) -> DataFrame:
     return df.select("id", "kind", "name")
 
 
 def requirements_by_capability(spark, d):
-    return _ids(ask.requirements(full(spark, d), capability=CAPABILITY))
+    return _ids(ask.requirements(full(spark, d), capability=CAPABILITY, merged=True))
 
 
 def requirements_by_service(spark, d):
     """With repositories that implement requirements; the service is one of the suppliers."""
-    return _ids(ask.requirements(full(spark, d, with_implements=True), service=SERVICE))
+    return _ids(ask.requirements(full(spark, d, with_implements=True), service=SERVICE, merged=True))
 
 
 def requirements_by_change(spark, d):
     g = full(spark, d)
     name = g.nodes.where("kind = 'openspec-active-change'").agg(F.min("name")).first()[0]
-    return _ids(ask.requirements(g, change=name))
+    return _ids(ask.requirements(g, change=name, merged=True))
 
 
 def requirements_by_evidence(spark, d):
     """The evidence of the first durable requirement, found on the requirement and on its edges."""
     g = full(spark, d)
     ref = g.nodes.where("kind = 'openspec-requirement' and scope = 'durable'").agg(F.min(F.element_at("evidence_ids", 1))).first()[0]
-    return _ids(ask.requirements(g, evidence_ref=ref))
+    return _ids(ask.requirements(g, evidence_ref=ref, merged=True))
 
 
 def services(spark, d):
@@ -227,7 +266,7 @@ def services(spark, d):
 
 
 def changes(spark, d):
-    c = ask.changes(full(spark, d))
+    c = ask.changes(full(spark, d), merged=True)
     lists = ("artifact_ids", "touched_spec_ids", "traceability_spec_ids", "missing_durable_spec_links", "untraced_spec_ids")
     return c.select("id", "kind", "name", *[F.array_join(x, "|").alias(x) for x in lists])
 
@@ -281,7 +320,7 @@ def service_records(spark, d):
 
 
 def derive_diagnostics_ordered(spark, d):
-    return ask.numbered(derive.ordered(derive.diagnostics(Graph(*(cut(x) for x in fg.graph(spark, d))))))
+    return ask.numbered(derive.ordered(derive.diagnostics(linked(spark, d))))
 
 
 def validation_ordered(spark, d):
@@ -343,4 +382,5 @@ QUERIES = {f.__name__: f for f in (
     dup_conflicts, broken_edges, missing_evidence, documents_without_label, trace_shape, related_warnings, validation_summary, gated_read, components, requirements_by_capability, requirements_by_service,
     requirements_by_change, requirements_by_evidence, services, changes, traceability, traceability_missing, sanitized_props, forbidden_props, locator_kinds, store_roundtrip, build_job,
     registry_rules, federation_counts, node_records, edge_records, service_records, derive_diagnostics_ordered, validation_ordered,
+    components_extended, requirements_by_capability_and_change, store_export, store_match_named,
 )}
