@@ -96,10 +96,11 @@ def test_a_bad_write_is_not_seen(spark, tmp_path):
 def test_an_unknown_shape_is_an_error_when_read(spark, tmp_path):
     folder = str(tmp_path / "s")
     g = empty_graph(spark)
-    store.write(g, folder)
-    odd = spark.createDataFrame([("v", "s", {"text": "t", "page_id": "p"}, {}, None)], EVIDENCE_SCHEMA)
-    odd.write.mode("append").parquet(f"{store.current(spark, folder)}/evidence")
-    assert store.read(spark, folder).evidence.select("id").count() == 1
+    store.write(Graph(g.nodes, g.edges, spark.createDataFrame([("v", "s", {"text": "t"}, {}, (0, 0, ["a"], 0))], EVIDENCE_SCHEMA)), folder)
+    (_, part), name = next(iter(store.current(spark, folder)[1].items()))
+    odd = spark.createDataFrame([("w", "s", {"text": "t", "page_id": "p"}, {}, None)], EVIDENCE_SCHEMA)
+    odd.write.mode("append").parquet(f"{folder}/data/{name}/evidence/part={part}")
+    assert store.read(spark, folder).evidence.select("id").count() == 2
     with pytest.raises(Exception, match="Unsupported evidence locator shape: text, page_id"):
         store.read(spark, folder).evidence.select("locator").collect()
 
@@ -127,3 +128,22 @@ def test_places_in_order(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(9)
     got = sorted(map(tuple, ask.numbered(df.orderBy("k")).select("k", "position").collect()))
     assert [p for _, p in got] == list(range(5000))
+
+
+def _bytes(folder):
+    return {os.path.join(at, n): os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(f"{folder}/data") for n in names if n.endswith(".parquet")}
+
+
+def test_a_small_batch_rewrites_the_parts_it_touches(spark, tmp_path):
+    folder, none = str(tmp_path / "s"), empty_graph(spark)
+    rows = [(f"n{i}", "service", f"name {i}", None, None, None, None, {"/x": str(i)}, [], (0, 0, [str(i)], 0)) for i in range(4000)]
+    store.write(Graph(spark.createDataFrame(rows, NODE), none.edges, none.evidence), folder)
+    first = _bytes(folder)
+    late = [("n7", "service", "new", None, None, None, None, {}, [], (0, 0, ["z"], 0)), ("other", "service", "o", None, None, None, None, {}, [], (0, 0, ["y"], 0))]
+    store.write(Graph(spark.createDataFrame(late, NODE), none.edges, none.evidence), folder)
+    added = {p: n for p, n in _bytes(folder).items() if p not in first}
+    assert set(first) <= set(_bytes(folder)) and sum(added.values()) < sum(first.values()) / 16
+    got = {r.id: (r.name, r.ord.batch, r.ord.path) for r in store.read(spark, folder).nodes.collect()}
+    assert len(got) == 4001 and got["n7"] == ("new", 0, ["7"]) and got["other"] == ("o", 1, ["y"]) and got["n8"][0] == "name 8"
+    store.write(none, folder)
+    assert store.current(spark, folder)[0] == 2 and store.read(spark, folder).nodes.count() == 4001 and not set(_bytes(folder)) - set(first) - set(added)
