@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelake.functions.props import NOT_SHOWN, without
 from tracelake.functions.text import ARTIFACTS
+from tracelake.operators import ask
 from tracelake.plans.sql import IDENT, REQ_ID, REQ_IDENT, SCE_ID, SCE_IDENT, SPEC_ID, edge, evidence, sid
 from tracelake.sources import registry, specs, store
 from tracelake.sources.shared import cut, shared_dir
@@ -134,6 +135,25 @@ def tree_evidence(spark, d):
     return _graph(spark, d).evidence.select("id", F.to_json("locator").alias("locator"))
 
 
+def tree_in_order(spark, d):
+    """The store's files and folders in the order of their path parts, with their places."""
+    return ask.numbered(specs.manifest(spark, written(spark, d)).select("path", "is_dir").orderBy(F.split("path", "/")))
+
+
+def tree_locators(spark, d):
+    """The locators that are shown of each node, by evidence id."""
+    g = _graph(spark, d)
+    return ask.locators(g.nodes, g.evidence).select("id", F.explode("locators").alias("l")).select("id", "l.evidence_id", "l.source", "l.locator")
+
+
+def layout_missing(spark, d):
+    """Folders that stores lack, by store; suppliers are stores."""
+    key = F.col("s_suppkey")
+    has = F.array(F.when(key % 2 == 0, F.lit("openspec")), F.when(key % 3 != 0, F.lit("openspec/specs")), F.when(key % 5 != 0, F.lit("openspec/changes")), F.lit("readme"))
+    rows = table(spark, d, "supplier").select(F.col("s_name").alias("store"), F.explode(F.array_compact(has)).alias("path"))
+    return specs.missing_layout(rows.withColumn("is_dir", F.lit(True)), by="store")
+
+
 def nested_texts(spark: SparkSession, d: str) -> DataFrame:
     """(path, value): a specification for each part, with nested frontmatter; the names in it depend on the part's size."""
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
@@ -222,6 +242,8 @@ ORACLES = {
       UNION ALL SELECT eid, {_locator('path', "'openspec-scenario'", 'ident', 'scenario', 'line')} FROM sce
       UNION ALL SELECT eid, {_locator('path', "'openspec-' || scope", 'change')} FROM ch
       UNION ALL SELECT eid, {_locator('path', "'openspec-artifact'", "scope || ':' || change || ':artifact:' || artifact")} FROM art""",
+    "layout_missing": """SELECT s_name AS store, p AS path FROM supplier, (SELECT unnest(['openspec', 'openspec/specs', 'openspec/changes']) AS p)
+      WHERE (p = 'openspec' AND s_suppkey % 2 <> 0) OR (p = 'openspec/specs' AND s_suppkey % 3 = 0) OR (p = 'openspec/changes' AND s_suppkey % 5 = 0)""",
     "forbidden_nested": """SELECT 'p' || p_partkey AS capability, '/frontmatter/repo/a/[1]/token/k/[0]' AS path FROM part WHERE p_size % 4 = 0 UNION ALL SELECT 'p' || p_partkey, '/frontmatter/related/[0]/url' FROM part WHERE p_size % 3 = 0""",
     "sanitized_nested": """WITH p AS (SELECT 'p' || p_partkey AS capability, p_size AS s, p_partkey AS k, p_brand FROM part)
       SELECT capability, '/frontmatter/repo/z/at' AS path, '"2026-08-01"' AS value FROM p UNION ALL SELECT capability, '/frontmatter/repo/z/n', CAST(s AS VARCHAR) FROM p UNION ALL SELECT capability, '/frontmatter/repo/a/[0]', '"' || p_brand || '"' FROM p
@@ -230,4 +252,6 @@ ORACLES = {
     "registry_readable": """SELECT 'error' AS severity, 'registry-readable' AS rule_id, '/w' || s_suppkey || '/repo-index.yaml' AS affected_object_id, CASE s_suppkey % 6 WHEN 0 THEN 'Workspace registry is not valid YAML' ELSE 'Workspace registry must be a mapping' END AS message FROM supplier WHERE s_suppkey % 3 = 0
       UNION ALL SELECT 'info', 'registry-read', 'w' || s_suppkey, '' FROM supplier WHERE s_suppkey % 3 <> 0""",
 }
-QUERIES = {f.__name__: f for f in (heading_requirements, heading_scenarios, frontmatter_related, extraction_counts, tree_manifest, tree_nodes, tree_edges, tree_evidence, forbidden_nested, sanitized_nested, registry_readable)}
+ORACLES["tree_in_order"] = f"SELECT path, is_dir, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS position FROM ({ORACLES['tree_manifest']})"
+ORACLES["tree_locators"] = f"SELECT n.id, evidence_id, 'openspec' AS source, locator FROM ({ORACLES['tree_nodes']}) n JOIN ({ORACLES['tree_evidence']}) e ON e.id = n.evidence_id"
+QUERIES = {f.__name__: f for f in (heading_requirements, heading_scenarios, frontmatter_related, extraction_counts, tree_manifest, tree_nodes, tree_edges, tree_evidence, tree_in_order, tree_locators, layout_missing, forbidden_nested, sanitized_nested, registry_readable)}

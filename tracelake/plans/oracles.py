@@ -162,6 +162,8 @@ ORACLES = {
     "requirements_by_capability_and_change": f"""SELECT id, kind, name FROM ({_reach("capability = 'Brand#13'")}) WHERE id IN (SELECT id FROM ({_reach("kind = 'openspec-active-change' AND name = (SELECT min(name) FROM nodes WHERE kind = 'openspec-active-change')")}))""",
     "store_export": f"""{needs('edges', 'svc')} SELECT 'edges' AS "table", id, '{{"evidence_ids":[],"id":"' || id || '","kind":"' || kind || '","props":{{}},"source_id":"' || source_id || '","target_id":"' || target_id || '"}}' AS record FROM edges WHERE kind IN ('contains', 'owns')
       UNION ALL SELECT 'nodes', svc.id, '{{"evidence_ids":[],"id":"' || svc.id || '","kind":"service","name":"' || name || '","props":{{"/repository_id":"\\"NATION ' || s_nationkey || '\\""}}}}' FROM svc JOIN supplier ON s_name = name""",
+    "federation_ordered": f"""WITH {_SUPPLIER_REGISTRIES} SELECT *, row_number() OVER (ORDER BY workspace_id, id, index_path) - 1 AS position FROM (
+      SELECT workspace_id, id, '/ws' || (k // 10) || '/' || r.at || CASE WHEN k % 6 = 0 THEN '/  ' ELSE '/index/kg' END AS index_path FROM r WHERE k % 3 = 0 AND (k // 10) % 2 = 0)""",
     "store_match_named": """WITH k AS (SELECT s_suppkey AS k, s_suppkey // 10 AS w FROM supplier), r AS (SELECT k, w FROM k WHERE k % 4 = 0)
       SELECT 'W' || r.w AS workspace_id, 'SUP ' || r.k AS id, CAST(s.k IS NOT NULL AS BIGINT) AS matches, 'store-' || (a.k * 2) AS store_id, CASE WHEN s.k IS NULL THEN 'unknown' WHEN s.k = r.k THEN 'used' ELSE 'path_mismatch' END AS state
       FROM r JOIN k a ON a.w = r.w LEFT JOIN k s ON s.k = a.k * 2""",

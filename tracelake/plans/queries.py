@@ -219,6 +219,12 @@ def requirements_by_capability_and_change(spark, d):
     return _ids(ask.requirements(g, capability=CAPABILITY, change=name, merged=True))
 
 
+def federation_ordered(spark, d):
+    """Repositories of federations by workspace, id and path, with their places."""
+    w, r, _ = fg.supplier_registries(spark, d)
+    return ask.numbered(registry.federation(w, r).orderBy("workspace_id", "id", "index_path"))
+
+
 def store_export(spark, d):
     """Services and edges of a stored registry graph as whole JSON records with sorted keys."""
     folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
@@ -382,5 +388,5 @@ QUERIES = {f.__name__: f for f in (
     dup_conflicts, broken_edges, missing_evidence, documents_without_label, trace_shape, related_warnings, validation_summary, gated_read, components, requirements_by_capability, requirements_by_service,
     requirements_by_change, requirements_by_evidence, services, changes, traceability, traceability_missing, sanitized_props, forbidden_props, locator_kinds, store_roundtrip, build_job,
     registry_rules, federation_counts, node_records, edge_records, service_records, derive_diagnostics_ordered, validation_ordered,
-    components_extended, requirements_by_capability_and_change, store_export, store_match_named,
+    components_extended, requirements_by_capability_and_change, store_export, store_match_named, federation_ordered,
 )}

@@ -232,11 +232,12 @@ def artifact_files(manifest: DataFrame) -> DataFrame:
     return files.withColumn("dir", F.expr("substring(path, 1, length(path) - length(artifact) - 1)")).join(dirs, "dir").drop("dir")
 
 
-def missing_layout(manifest: DataFrame) -> DataFrame:
-    """(path): folders that a store must have and the manifest lacks."""
-    spark = manifest.sparkSession
-    needed = spark.createDataFrame([("openspec",), (SPECS,), (CHANGES_DIR,)], "path string")
-    return needed.join(manifest.where("is_dir").select("path").distinct(), "path", "left_anti")
+def missing_layout(manifest: DataFrame, by: str | None = None) -> DataFrame:
+    """(path): folders that a store must have and the manifest lacks; with `by`, for each store of that column with any rows."""
+    needed = F.explode(F.array(*map(F.lit, ("openspec", SPECS, CHANGES_DIR)))).alias("path")
+    stores = manifest.sparkSession.range(1).select(needed) if by is None else manifest.select(by).distinct().select(by, needed)
+    keys = ["path"] if by is None else [by, "path"]
+    return stores.join(manifest.where("is_dir").select(*keys).distinct(), keys, "left_anti")
 
 
 class StoreLayoutError(ValueError):
