@@ -1,12 +1,18 @@
 """URL filters: a small rule list, and a logistic regression on hashed character n-grams for all other URLs.
 
-Defined results: a null URL or one without "://" has an empty host and path; it then falls to the model, like any
+The model is fitted on a small labelled table, two lists of hosts and what a rule makes of their words; its cutoff keeps
+to a stated rate of false blocks on labelled rows that it has not seen.  Below the cutoff a URL is allowed.
+
+Defined results: of rules of equal length that fit, the last in code-point order decides, of the same rule twice the later one; a null URL or one without "://" has an empty host and path; it then falls to the model, like any
 URL that no rule fits.  Repeated rows are judged alike, an empty table gives no rows, other columns are ignored.
 Without labelled rows the model is all zero and allows everything.
 """
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,6 +41,7 @@ ads.tracker.example /click/banner  adserver.example /banner/click?  track-clicks
 popup-ads.example /click/redirect  adclick.example /track/banner  pixel-tracker.example /ads/click  doubleads.example /banner/popup
 replica-watches.example /cheap/rolex  cheap-rolex.example /replica/buy  replica-bags.example /buy/cheap  fake-watches.example /replica/cheap
 payday-loans.example /apply/fast-cash  fast-cash.example /loans/payday  quick-loans.example /cash/apply  easy-payday.example /fast/loans
+spam-farm.example /spam/links  link-farm.example /farm/spam  mass-spam.example /links/farm
 crack-download.example /warez/keygen  keygen-free.example /crack/serial  warez-serials.example /download/crack  free-warez.example /keygen/download
 """
 ALLOWED = """
@@ -56,6 +63,13 @@ botany-notes.example /plants/ferns  river-trust.example /reports/water  teachers
 DIMENSIONS = 1 << 14
 #: Documented bound of the labelled URL table that the model is fitted on.
 MAX_LABELLED = 4000
+#: Of the URLs to allow, the share that the model may block, as measured on labelled rows that it wasn't fitted on.
+FALSE_BLOCKS = 0.005
+
+# Parts of the made hosts and paths, the same for both labels.
+SUBDOMAINS, ENDS, LANGS = ("", "", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org"), ("en", "de", "fr", "es")
+ONSETS = ("", "b", "c", "ch", "d", "f", "g", "h", "k", "l", "m", "n", "p", "pr", "r", "s", "sh", "st", "t", "th", "tr", "v", "w", "z")
+CODAS = ("", "", "n", "nd", "ng", "nt", "r", "l", "s", "st", "t", "th", "m", "on", "er")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -114,28 +128,66 @@ def fit(hosts: list[str], paths: list[str], labels: list[int], steps: int = 600,
     return w, b
 
 
+def scores(w: np.ndarray, b: float, hosts: list[str], paths: list[str]) -> np.ndarray:
+    rows, places = ngrams(hosts, paths)
+    n = np.maximum(1, np.bincount(rows, minlength=len(hosts)))
+    z = np.bincount(rows, w[places], len(hosts)) / np.sqrt(n) + b
+    return 1 / (1 + np.exp(-z))
+
+
 def score_udf(w: np.ndarray, b: float):
     small = w.astype(np.float32)
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        rows, places = ngrams(host.tolist(), path.tolist())
-        n = np.maximum(1, np.bincount(rows, minlength=len(host)))
-        z = np.bincount(rows, small[places], len(host)) / np.sqrt(n) + b
-        return pd.Series(1 / (1 + np.exp(-z)))
+        return pd.Series(scores(small, b, host.tolist(), path.tolist()))
 
     return score
 
 
-def labels() -> list[tuple[str, str, int]]:
-    """(host, path, label) of the labelled table; label 1 is block.  The last part of a host is left out: it tells nothing."""
-    out = []
+def word_lists() -> tuple[list[str], list[str]]:
+    """The words of the hosts of what is to block and to allow; words in both tell nothing and are left out."""
+    bad, good = (set(re.findall("[a-z]{3,}", " ".join(t.split()[::2]).replace(".example", ""))) for t in (BLOCKED, ALLOWED))
+    return sorted(bad - good), sorted(good - bad)
+
+
+def labels(seed: int = 1, each: int = 500) -> list[tuple[str, str, int]]:
+    """(host, path, label) of the labelled table; label 1 is block.  The two lists above, and hosts made of their words by rule:
+    `each` of either label, and twice as many names that are no words, to allow, as most hosts are.  All have the same
+    kinds of subdomains, ends and article paths, so that only the names tell; one path in four is one of the lists'."""
+    out = [("", "", 0)]
+    words, paths = word_lists(), []
     for text, label in ((BLOCKED, 1), (ALLOWED, 0)):
         parts = text.split()
         out += [(h.removesuffix(".example"), p, label) for h, p in zip(parts[::2], parts[1::2], strict=True)]
+        paths.append(parts[1::2])
+    r = random.Random(seed)
+
+    def row(name: str, label: int) -> tuple[str, str, int]:
+        article = f"/{r.choice(LANGS)}/{r.randrange(10_000)}{r.choice(('', '', '/', '.html'))}"
+        return r.choice(SUBDOMAINS) + name + r.choice(ENDS), article if r.random() < 0.75 else r.choice(paths[1 - label]), label
+
+    for label in (1, 0):
+        for _ in range(each):
+            x, y = r.sample(words[1 - label], 2)
+            out.append(row(r.choice((f"{x}-{y}", f"{x}{y}", f"{x}-{y}-{r.randrange(100)}", f"{x}{r.randrange(100)}", x)), label))
+    syllable = lambda: r.choice(ONSETS) + r.choice("aeiouy") + r.choice(CODAS)
+    out += [row(r.choice(("", "", "", "the", "my")) + "".join(syllable() for _ in range(r.randint(2, 3))), 0) for _ in range(2 * each)]
     return out
 
 
+def learned(rows: list[tuple[str, str, int]], rate: float = FALSE_BLOCKS) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and cutoff.  Two thirds of the rows are fitted on; the cutoff is the least one, from 0.5 on, above which at most `rate`
+    of the rows to allow among the rest score.  With too few of these to tell, all rows are fitted on and it is 0.5."""
+    held = [x for i, x in enumerate(rows) if i % 3 == 2]
+    good = [(h, p) for h, p, x in held if x == 0]
+    if len(good) * rate < 1:
+        return *fit(*(list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])), 0.5
+    w, b = fit(*(list(c) for c in zip(*[x for i, x in enumerate(rows) if i % 3 != 2], strict=True)))
+    s = np.sort(scores(w, b, [h for h, _ in good], [p for _, p in good]))
+    return w, b, max(0.5, float(s[len(s) - 1 - int(len(s) * rate)]))
+
+
 def labelled_urls(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, bound: int = MAX_LABELLED) -> DataFrame:
     """A labelled table for filter_urls() that follows the rules: of the distinct URLs that a rule decides, the `bound` least by
     hash; label 1 is block."""
@@ -152,15 +204,16 @@ def labelled_urls(pages: DataFrame, url: str = "url", rules: list[tuple[str, str
     )
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, id: str = "page_id", url: str = "url", bound: int = MAX_LABELLED) -> DataFrame:
-    """(id, host, path, rule, verdict, score).  labelled: (host, path, label), cut to `bound` rows; without it, labels()."""
-    rows = [tuple(r) for r in labelled.select("host", "path", "label").limit(bound).collect()] if labelled is not None else labels()
-    w, b = fit([h or "" for h, _, _ in rows], [p or "" for _, p, _ in rows], [x for _, _, x in rows])
+def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, id: str = "page_id", url: str = "url", bound: int = MAX_LABELLED, rate: float = FALSE_BLOCKS) -> DataFrame:
+    """(id, host, path, rule, verdict, score).  labelled: (host, path, label), cut to `bound` rows; without it, labels().
+    What no rule decides is blocked where its score is above the cutoff of learned(), and allowed otherwise."""
+    rows = [(r.host or "", r.path or "", r.label) for r in labelled.select("host", "path", "label").limit(bound).collect()] if labelled is not None else labels()
+    w, b, cutoff = learned(rows, rate)
     host, path = host_path(F.col(url))
     judged = pages.select(F.col(id).alias(id), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("score", score_udf(w, b)("host", "path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return judged.select(
         id, "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score",
+        F.coalesce(verdict, F.when(F.col("score") > cutoff, "block").otherwise("allow")).alias("verdict"), "score",
     )
