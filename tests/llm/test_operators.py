@@ -338,6 +338,20 @@ def test_mixing_stage(docs):
     assert got.columns == docs.columns and 0 < got.count() <= docs.count()
 
 
+def test_licenses_of_very_long_texts(spark):
+    """A text of anchor words takes time in proportion to its length, and what stands at its end or between pieces is found."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        rows = [(1, "license xy " * n + "Licensed under the MIT License."), (2, "x " * (licenses.PIECE - 3) + "Released under the MIT License. " + "y " * (5 * n))]
+        begun = time.time()
+        got = {(r.doc_id, r.license): r.first_word for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        took.append(time.time() - begun)
+        assert 2 * n - 9 <= got[1, "MIT-name"] <= 2 * n and licenses.PIECE - 6 <= got[2, "MIT"] <= licenses.PIECE - 3
+    assert took[1] < 8 * took[0]
+
+
 def test_licenses(spark, some):
     from conftest import prose
 

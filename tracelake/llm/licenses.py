@@ -11,8 +11,8 @@ Windows without any anchor word are passed over: anchors are chosen so that more
 template have one, so a window without anchors cannot hold CONTAINED of them.
 
 Defined results: null, empty or short texts match nothing; a template that occurs more than once in a text gives one
-row, with the best containment and the first place; repeated rows count as one document; a null id is kept as null; an
-empty table gives no rows; columns other than id and text are ignored.
+row, with the best containment and the first place; repeated rows count as one document; a null id is kept as null; a very
+long text is cut into pieces of PIECE words, each with what its windows reach beyond it; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ CONTAINED = 0.75
 BANDS = 24
 WORDS = 5
 WORD = r"[\p{L}\p{N}]+"
+#: Words of a text whose windows are made from one row.
+PIECE = 256
 #: Templates are compared in memory; their number is bounded.
 MOST_TEMPLATES, MOST_CHARS = 2000, 4_000_000
 
@@ -97,19 +99,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id: str
     known = wanted.select("template", "length", F.posexplode(minima(F.transform("wanted", lambda s: F.xxhash64(s)))).alias("band", "least"))
     stop = anchors(templates)
     lowered = docs.select(F.col(id).alias("doc_id"), F.lower(F.col(text)).alias("low")).where(F.col("low").rlike("|".join(stop)))
-    words = lowered.select("doc_id", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w"))
-    words = words.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(*stop), i)), lambda i: i.isNotNull())).where("size(at) > 0")
+    lengths = sorted({n for _, _, n in rows})
+    step_of = {n: max(1, (n - WORDS + 1) // 4) for n in lengths}
+    longest = max(n + step for n, step in step_of.items())
+    # a window belongs to the piece in which it starts, so a long text costs its length, not that times its windows
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PIECE).cast("int")), lambda k: F.struct((k * PIECE).alias("base"), F.slice("w", k * PIECE + 1, F.lit(PIECE + longest)).alias("w")))
+    words = lowered.select("doc_id", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w")).where("size(w) > 0")
+    words = words.select("doc_id", F.explode(pieces).alias("piece")).select("doc_id", "piece.base", "piece.w")
+    words = words.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(*stop), F.col("base") + i)), lambda i: i.isNotNull())).where("size(at) > 0")
 
     def starts(length: int) -> Column:
         """Starts of the windows of a length that hold an anchor."""
-        step = max(1, (length - WORDS + 1) // 4)
+        step = step_of[length]
         size = length + step
         near = F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - size + 1) / step).cast("int")), F.floor(p / step).cast("int"))))
-        return F.transform(F.array_distinct(near), lambda k: F.struct((k * step).alias("start"), F.lit(size).alias("size"), F.lit(length).alias("length")))
+        mine = F.filter(F.array_distinct(near), lambda k: (k * step >= F.col("base")) & (k * step < F.col("base") + PIECE))
+        return F.transform(mine, lambda k: F.struct((k * step).alias("start"), F.lit(size).alias("size"), F.lit(length).alias("length")))
 
-    lengths = sorted({n for _, _, n in rows})
-    windows = words.select("doc_id", "w", F.explode(F.concat(*[starts(n) for n in lengths])).alias("x")).select(
-        "doc_id", F.col("x.start").alias("start"), F.col("x.length").alias("length"), shingles(F.slice(F.col("w"), F.col("x.start") + 1, F.col("x.size"))).alias("grams"))
+    windows = words.select("doc_id", "base", "w", F.explode(F.concat(*[starts(n) for n in lengths])).alias("x")).select(
+        "doc_id", F.col("x.start").alias("start"), F.col("x.length").alias("length"), shingles(F.slice(F.col("w"), F.col("x.start") - F.col("base") + 1, F.col("x.size"))).alias("grams"))
     banded = windows.where("size(grams) > 0").select("*", F.posexplode(minima(F.transform("grams", lambda s: F.xxhash64(s)))).alias("band", "least"))
     # of each template 24 short rows are sent for its bands, its shingles once; MOST_CHARS bounds both
     found = banded.join(F.broadcast(known), ["length", "band", "least"]).join(F.broadcast(wanted.drop("length")), "template")
