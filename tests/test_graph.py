@@ -232,8 +232,11 @@ def test_components(spark):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "a string, b string").repartition(7)
-    assert {x.v: x.component for x in connected_components(df).collect()} == {v: root(v) for v in up}
-    assert connected_components(df.limit(0)).count() == 0
+    for finish in (0, 40, 10**6):
+        assert {x.v: x.component for x in connected_components(df, finish=finish).collect()} == {v: root(v) for v in up}
+        assert connected_components(df.limit(0), finish=finish).count() == 0
+    numbers = spark.createDataFrame([(5, 3), (3, 9), (7, 8)], "a long, b long")
+    assert sorted(map(tuple, connected_components(numbers, finish=9).collect())) == [(3, 3), (5, 3), (7, 7), (8, 7), (9, 3)]
 
 
 YAML = """version: 1

@@ -8,51 +8,82 @@ than its edges: neighbours are only ever reduced with min(), which combines befo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracelake.sources.shared import cut, drop
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _finished(e: DataFrame) -> DataFrame:
+    """(v, p): the least vertex that each end of the edges reaches, by union-find in one task."""
+    kind = e.schema["a"].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+        columns = [pa.array(c, f.type) for c, f in zip((list(up), [root(v) for v in list(up)]), batch.schema, strict=True)] if up else []
+        yield from [pa.RecordBatch.from_arrays(columns, ["v", "p"])] if up else []
+
+    return e.select("a", "b").coalesce(1).mapInArrow(of, f"v {kind}, p {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: int = 0) -> DataFrame:
     """(v, component) for every vertex of edges; component is the smallest vertex reachable.
 
-    Null ends and self-loops are dropped; repeated edges count once; no edges give no rows."""
+    Null ends and self-loops are dropped; repeated edges count once; no edges give no rows.  Once no more than `finish` edges
+    are left, counted on what is written, one task does the rest in the same way as further rounds would."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     label = None
     while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).withColumn("p", F.least("v", "p")))
-        parent = near
-        for _ in range(2):
-            up = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-        parent = cut(parent)
-        to = lambda end: parent.select(F.col("v").alias(end), F.col("p").alias(f"p{end}"))  # noqa: E731, B023
-        left = e.join(to("a"), "a").join(to("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        left = cut(left.distinct())
-        drop(e, near)
-        e = left
+        if finish and e.count() <= finish:
+            parent, left, near = cut(_finished(e)), None, None
+        else:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            near = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).withColumn("p", F.least("v", "p")))
+            parent = near
+            for _ in range(2):
+                up = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+                parent = parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
+            parent = cut(parent)
+            to = lambda end: parent.select(F.col("v").alias(end), F.col("p").alias(f"p{end}"))  # noqa: E731, B023
+            left = e.join(to("a"), "a").join(to("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+            left = cut(left.distinct())
         if label is None:
             label = parent
-            continue
-        moved = cut(label.withColumnRenamed("p", "q").join(parent.select(F.col("v").alias("q"), "p"), "q", "left").select("v", F.coalesce("p", "q").alias("p")))
-        drop(label, parent)
-        label = moved
+        else:
+            moved = cut(label.withColumnRenamed("p", "q").join(parent.select(F.col("v").alias("q"), "p"), "q", "left").select("v", F.coalesce("p", "q").alias("p")))
+            drop(label, parent)
+            label = moved
+        drop(e, *([near] if near is not None else []))
+        if left is None:
+            return label.select("v", F.col("p").alias("component"))
+        e = left
     if label is None:
         return e.select(F.col("a").alias("v"), F.col("a").alias("component"))
     drop(e)
     return label.select("v", F.col("p").alias("component"))
 
 
-def extended(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def extended(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b", finish: int = 0) -> DataFrame:
     """(v, component) of the vertices whose label changes when edges are added to a graph with labels (v, component), new
     vertices included.  The new edges are lifted to the labels of their ends and only these are contracted, so the work is that of the new
     edges and of the components that they join.  relabelled() puts the result into the labels."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     ends = cut(e.select(F.col("a").alias("v")).unionByName(e.select(F.col("b").alias("v"))).distinct().join(labels, "v", "left"))
     top = lambda end: ends.select(F.col("v").alias(end), F.coalesce("component", "v").alias(f"top_{end}"))
-    moved = cut(connected_components(e.join(top("a"), "a").join(top("b"), "b"), "top_a", "top_b").where("v <> component"))
+    moved = cut(connected_components(e.join(top("a"), "a").join(top("b"), "b"), "top_a", "top_b", finish).where("v <> component"))
     old = labels.join(moved.select(F.col("v").alias("component"), F.col("component").alias("now")), "component").select("v", F.col("now").alias("component"))
     new = ends.where("component is null").select("v").join(moved, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
     return old.unionByName(new)

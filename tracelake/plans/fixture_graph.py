@@ -22,8 +22,8 @@ def _top(title, related):
 
 
 def durable(spark: SparkSession, d: str) -> DataFrame:
-    """Durable specifications, one a brand whose number isn't a multiple of 4."""
-    b = table(spark, d, "part").select("p_brand").distinct().withColumn("n", F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")).where("n % 4 <> 0")
+    """Durable specifications, one a brand."""
+    b = table(spark, d, "part").select("p_brand").distinct().withColumn("n", F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int"))
     related = F.concat(F.lit("Title "), ((F.col("n") + 1) % 16).cast("string"))
     title = F.concat(F.lit("Title "), (F.col("n") % 16).cast("string"))
     return b.select(F.concat(F.lit("openspec/specs/"), "p_brand", F.lit("/spec.md")).alias("path"), F.lit(DURABLE).alias("scope"), F.lit(None).cast("string").alias("change"),
@@ -40,24 +40,29 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """(path, scope, change, artifact): lines 1 to 4 of an order are its planning files."""
-    lines = table(spark, d, "lineitem").where("l_linenumber between 1 and 4").select("l_orderkey", "l_linenumber").distinct()
-    name = F.element_at(F.array(*map(F.lit, ARTIFACTS)), F.col("l_linenumber").cast("int"))
+    """(path, scope, change, artifact): the lines of an order are its planning files, the four names in turn."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", ((F.col("l_linenumber") - 1) % 4 + 1).cast("int").alias("turn")).distinct()
+    name = F.element_at(F.array(*map(F.lit, ARTIFACTS)), F.col("turn"))
     c = changes(spark, d).where("known")
     return lines.join(c, lines.l_orderkey == c.o_orderkey).select(F.concat_ws("/", "path", name).alias("path"), "scope", "change", name.alias("artifact"))
 
 
-def first_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(l_partkey, p_name, p_brand, path, scope, change): parts on first lines, once for each order."""
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey").distinct()
-    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+def ordered_parts(spark: SparkSession, d: str) -> DataFrame:
+    """(l_partkey, p_name, capability, path, scope, change): parts of orders, once for each order.  Parts of sizes over 45
+    belong to a capability that no durable specification has."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    parts = table(spark, d, "part").select("p_partkey", "p_name", F.concat("p_brand", F.when(F.col("p_size") > 45, "/rare").otherwise("")).alias("capability"))
     c = changes(spark, d)
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).join(c, lines.l_orderkey == c.o_orderkey).select("l_partkey", "p_name", "p_brand", "path", "scope", "change")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).join(c, lines.l_orderkey == c.o_orderkey).select("l_partkey", "p_name", "capability", "path", "scope", "change")
+
+
+def _inside(capability: str = "capability"):
+    return F.concat("path", F.lit("/specs/"), capability, F.lit("/spec.md")).alias("path")
 
 
 def scoped(spark: SparkSession, d: str) -> DataFrame:
-    """Specifications inside changes, one for each order and brand on its first line."""
-    rows = first_lines(spark, d).select(F.concat("path", F.lit("/specs/"), "p_brand", F.lit("/spec.md")).alias("path"), "scope", "change", F.col("p_brand").alias("capability")).distinct()
+    """Specifications inside changes, one for each order and capability of its parts."""
+    rows = ordered_parts(spark, d).select(_inside(), "scope", "change", "capability").distinct()
     return rows.select("*", F.col("capability").alias("title"), F.array().cast("array<string>").alias("related"), F.create_map().cast("map<string,string>").alias("top"))
 
 
@@ -77,8 +82,8 @@ def part_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoped_headings(spark: SparkSession, d: str) -> DataFrame:
-    f = first_lines(spark, d)
-    return f.select(F.col("l_partkey").alias("p_partkey"), F.concat("path", F.lit("/specs/"), "p_brand", F.lit("/spec.md")).alias("path"), "scope", "change", F.col("p_brand").alias("capability"),
+    f = ordered_parts(spark, d)
+    return f.select(F.col("l_partkey").alias("p_partkey"), _inside(), "scope", "change", "capability",
                     F.col("l_partkey").cast("int").alias("line"), F.concat_ws(" ", "p_name", F.col("l_partkey").cast("string")).alias("requirement"), F.lit(None).cast("string").alias("scenario"))
 
 

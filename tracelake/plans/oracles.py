@@ -95,13 +95,13 @@ ORACLES = {
       UNION ALL SELECT workspace_id, 'index_location', id, '  ' FROM r WHERE k % 6 = 0
       UNION ALL SELECT workspace_id, 'forbidden', p, p FROM (SELECT workspace_id, '/repositories/[' || k || ']/jira_data/issues' AS p FROM r WHERE k % 6 = 2)""",
     "federation_counts": f"""WITH {_SUPPLIER_REGISTRIES} SELECT workspace_id, CAST(count(id) FILTER (w % 2 = 0 AND k % 3 = 0) AS BIGINT) AS repository_count FROM w JOIN r USING (workspace_id) GROUP BY workspace_id""",
-    "node_records": f"""{needs('svc', 'ch', 'art', 'evs')}, n AS (SELECT DISTINCT id, 'service' AS kind, name, '' AS evidence FROM svc
-        UNION ALL SELECT DISTINCT id, 'openspec-' || scope, change, eid FROM ch WHERE known UNION ALL SELECT DISTINCT id, 'openspec-artifact', artifact, eid FROM art)
+    "node_records": f"""{needs('nodes', 'evs')}, n AS (SELECT DISTINCT id, kind, name, coalesce(eid, '') AS evidence FROM nodes)
       SELECT *, CASE WHEN evidence IN (SELECT id FROM evs) THEN evidence ELSE '' END AS known_evidence, row_number() OVER (ORDER BY id, kind, name) - 1 AS position FROM n""",
     "edge_records": f"""{needs('derived', 'rel', 'edges', 'evs')}, e AS (
         SELECT id AS edge_id, 'openspec-change-traces-to-spec' AS kind, source_id, target_id, eid AS evidence, '-' AS confidence, '/capability="' || capability || '"|/derived=true|/rule_id="openspec-change-to-durable-spec"|/source_scope="'
           || scope || '"|/target_scope="durable"|/via_spec_id="' || via_spec_id || '"' AS props FROM derived
-        UNION ALL SELECT e.id, kind, source_id, e.target_id, '', 'non-confident', '/related_title="' || related_title || '"' FROM edges e JOIN rel ON rel.id = e.source_id WHERE kind = 'openspec-related-spec')
+        UNION ALL SELECT e.id, kind, source_id, e.target_id, '', 'non-confident', '/related_title="' || related_title || '"' FROM edges e JOIN rel ON rel.id = e.source_id WHERE kind = 'openspec-related-spec'
+        UNION ALL SELECT DISTINCT id, kind, source_id, target_id, coalesce(eid, ''), '-', '' FROM edges WHERE kind <> 'openspec-related-spec')
       SELECT *, CASE WHEN evidence IN (SELECT id FROM evs) THEN evidence ELSE '' END AS known_evidence, row_number() OVER (ORDER BY edge_id, kind, source_id, target_id) - 1 AS position FROM e""",
     "service_records": f"""{needs('svc')} SELECT id, '{{"id":"' || id || '","kind":"service","name":"' || name || '","props":"/repository_id=\\"' || 'NATION ' || s_nationkey || '\\"","repositories":"' || repo_id || '"}}' AS record
       FROM svc JOIN supplier ON s_name = name""",

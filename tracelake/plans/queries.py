@@ -209,7 +209,7 @@ def components_extended(spark, d):
     derived = F.col("kind") == CHANGE_TRACES_TO_SPEC
     first = cut(reach.labels(Graph(g.nodes, g.edges.where(~derived), g.evidence)).withColumnRenamed("id", "v"))
     more = reach.open_edges(Graph(g.nodes, g.edges.where(derived), g.evidence))
-    return comp.relabelled(first, cut(comp.extended(first, more))).withColumnRenamed("v", "id")
+    return comp.relabelled(first, cut(comp.extended(first, more, finish=reach.FINISH))).withColumnRenamed("v", "id")
 
 
 def requirements_by_capability_and_change(spark, d):
@@ -301,19 +301,16 @@ def _shown(props: str) -> Column:
 
 
 def node_records(spark, d):
-    """Whole records of change, specification and service nodes in node order, with their places."""
+    """Whole records of all nodes in node order, with their places."""
     g = fg.graph(spark, d)
-    nodes = merge.last_wins(g.nodes.where(F.col("kind").isin("service", "openspec-active-change", "openspec-archived-change", "openspec-artifact")))
-    rows = ask.node_rows(nodes, g.evidence).select("id", "kind", "name", F.array_join("evidence_ids", "|").alias("evidence"), _joined_ids("locators").alias("known_evidence"))
+    rows = ask.node_rows(cut(merge.last_wins(g.nodes)), cut(merge.last_wins(g.evidence))).select("id", "kind", "name", F.array_join("evidence_ids", "|").alias("evidence"), _joined_ids("locators").alias("known_evidence"))
     return ask.numbered(ask.in_node_order(rows))
 
 
 def edge_records(spark, d):
-    """Whole records of derived and related edges in edge order, with their places."""
-    g = fg.graph(spark, d)
-    g = Graph(*(cut(x) for x in g))
-    edges = merge.last_wins(derive.derived_edges(g)).unionByName(g.edges.where("kind = 'openspec-related-spec'"))
-    rows = ask.edge_rows(edges, g.evidence).select(
+    """Whole records of all edges, derived ones too, in edge order, with their places."""
+    g = full(spark, d)
+    rows = ask.edge_rows(g.edges, g.evidence).select(
         "edge_id", "kind", "source_id", "target_id", F.array_join("evidence_ids", "|").alias("evidence"), _joined_ids("locators").alias("known_evidence"),
         _shown("props").alias("props"), F.coalesce("confidence", F.lit("-")).alias("confidence"))
     return ask.numbered(ask.in_edge_order(rows))
