@@ -230,11 +230,12 @@ def test_quality(spark, some):
 
 
 def test_quality_cutoffs_are_certified(spark):
+    from decimal import Decimal
     from math import comb
 
-    for n, k, p in ((10, 0, 0.2), (50, 3, 0.1), (300, 1, 0.01), (2000, 10, 0.01), (40, 7, 0.2)):
+    for n, k, p in ((10, 0, 0.2), (50, 3, 0.1), (300, 1, 0.01), (2000, 10, 0.01), (40, 7, 0.2), (21, 1, 0.1), (9000, 400, 0.05)):
         got = spark.range(1).select(quality.at_most(F.lit(n).cast("long"), F.lit(k).cast("long"), p).alias("p")).first().p
-        assert got == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
+        assert got == pytest.approx(float(sum(comb(n, i) * Decimal(p) ** i * (1 - Decimal(p)) ** (n - i) for i in range(k + 1))), rel=1e-9)
     rows = [(i, " ".join(f"w{i}a{k}" for k in range(60)) + (" ###" * 30 if i % 10 == 0 else ""), "en", "s", 1) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1, 0) for i in range(6000)] + [(None, 1, 0), (1, None, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
@@ -243,6 +244,56 @@ def test_quality_cutoffs_are_certified(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns and quality.keep_good(docs, labels).count() == 5400
     # on good documents the same symbols are not rejected, but for the share that is allowed
     assert quality.judge(docs, labels.withColumn("quality", F.lit(1))).where("kept").count() >= 6000 * (1 - quality.RISK)
+    # nor where as many good documents as bad ones have them: one in twenty is more than may be rejected for sure;
+    # the ten of the shortest words have a larger share of symbols, beyond a cutoff that is certified
+    mixed = labels.withColumn("quality", F.when(F.col("doc_id") % 20 == 0, 0).otherwise(1))
+    assert {r.doc_id for r in quality.judge(docs, mixed).where("not kept").collect()} == set(range(0, 100, 10))
+
+
+def test_quality_needs_enough_good_documents(spark):
+    """Without a good document beyond the cutoff, (1 - risk)^n reaches a path's part of delta at n = 122."""
+    shares = dict.fromkeys(quality.RULES, 0.0)
+    for n, certified in ((121, 0), (122, 1)):
+        assert ((1 - quality.RISK) ** n <= quality.part()) == bool(certified)
+        rows = [(i, "en", *{**shares, "marks": 0.3 if i == 0 else 0.0}.values(), i == n + 1) for i in range(n + 2)]
+        f = spark.createDataFrame(rows, ["doc_id", "stratum", *quality.RULES, "base_failed"])
+        labels = spark.createDataFrame([(i, int(i > 0)) for i in range(n + 2)], "doc_id long, quality int")
+        got = quality.thresholds(f, labels).collect()
+        assert len(got) == certified
+    # the loosest cutoff that rejects the bad document, and no other rule
+    assert got[0].asDict() == {"stratum": "en", "cut_symbols": None, "cut_marks": 0.2, "cut_capitals": None, "cut_repeats": None, "cut_lines": None}
+
+
+def test_quality_settings_are_those_of_a_plain_search(spark):
+    """Shares in all rules, good and bad apart by a little: the setting, and the union it rejects, by brute force."""
+    import random
+    from math import comb
+
+    rnd, rows, marks = random.Random(5), [], []
+    for i in range(900):
+        bad = i % 7 == 0
+        rows.append((i, ("en", "de", "other")[i % 3 if i % 5 else 0], *[round(rnd.random() ** (2 if bad else 8) * 0.6, 3) for _ in quality.RULES], False))
+        marks.append((i, int(not bad)))
+    f = spark.createDataFrame(rows, ["doc_id", "stratum", *quality.RULES, "base_failed"])
+    got = {r.stratum: tuple(r)[1:] for r in quality.thresholds(f, spark.createDataFrame(marks, "doc_id long, quality int"), risk=0.4).collect()}
+    names, cuts, good = list(quality.RULES), sorted(quality.CUTOFFS, reverse=True), dict(marks)
+    want = {}
+    for s in ("en", "de", "other"):
+        held, found = [r for r in rows if r[1] == s], []
+        for path in range(len(names)):
+            for step in range(len(names) * len(cuts)):
+                on = [None] * len(names)
+                for x in range(len(names)):
+                    if step >= x * len(cuts):
+                        on[(path + x) % len(names)] = cuts[min(step - x * len(cuts), len(cuts) - 1)]
+                hit = [good[r[0]] for r in held if any(c is not None and v > c for v, c in zip(r[2:], on))]
+                n, k = sum(good[r[0]] for r in held), sum(hit)
+                if k >= n * 0.4 or sum(comb(n, i) * 0.4**i * 0.6 ** (n - i) for i in range(k + 1)) > quality.part():
+                    break
+                found.append((len(hit) - k, -k, -step, -path, tuple(on)))
+        if max(found)[0]:
+            want[s] = max(found)[4]
+    assert got == want and len(want) == 3
 
 
 def test_bpe(some):

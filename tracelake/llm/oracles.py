@@ -53,14 +53,23 @@ _WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(ht
 
 
 def _quality() -> str:
-    share = quality.RISK / len(quality.RULES)
-    tests = (len(quality.STRATA) + 1) * len(quality.RULES) * len(quality.CUTOFFS)
+    rules, size = list(quality.RULES), len(quality.CUTOFFS)
+    loosest_first = sorted(quality.CUTOFFS, reverse=True)
     strata = ", ".join(f"'{s}'" for s in quality.STRATA)
     shares = ", ".join(f"{e} AS {r}" for r, e in quality.RULES.items())
-    cut = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM held GROUP BY stratum" for r in quality.RULES for c in quality.CUTOFFS)
-    tail = f"(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))) FROM (SELECT unnest(generate_series(0, k)) AS i))"
+    # every setting of every path as one row: the union of its rules' conditions is counted directly
+    settings = []
+    for path in range(len(rules)):
+        for step in range(len(rules) * size):
+            on = {rules[(path + x) % len(rules)]: loosest_first[min(step - x * size, size - 1)] for x in range(len(rules)) if step >= x * size}
+            hit = " OR ".join(f"{r} > {c}" for r, c in on.items())
+            cuts = ", ".join(f"CAST({on.get(r, 'NULL')} AS DOUBLE) AS cut_{r}" for r in rules)
+            settings.append(f"SELECT stratum, {path} AS path, {step} AS step, {cuts}, count(*) FILTER (good) AS n, count(*) FILTER (good AND ({hit})) AS k, count(*) FILTER (NOT good AND ({hit})) AS bad FROM held GROUP BY stratum")
+    cut = " UNION ALL ".join(settings)
+    p = quality.RISK
+    tail = f"(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM (SELECT unnest(generate_series(0, k)) AS i))"
     beyond = " OR ".join(f"coalesce({r} > cut_{r}, false)" for r in quality.RULES)
-    cuts_of = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in quality.RULES)
+    cuts_of = ", ".join(f"cut_{r}" for r in rules)
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum FROM documents),
       w AS MATERIALIZED (SELECT *, regexp_extract_all(t, {_WORD}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_HAS_WORD})) AS lines FROM d),
       x AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
@@ -70,10 +79,10 @@ def _quality() -> str:
       q AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals FROM w LEFT JOIN r USING (doc_id)),
       v AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {shares} FROM q),
-      good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1), held AS (SELECT v.* FROM v SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
-      cuts AS MATERIALIZED ({cut}), sure AS MATERIALIZED (SELECT * FROM cuts WHERE k < n * {share} AND {tail} <= {quality.DELTA / tests}),
-      t AS (SELECT stratum, {cuts_of} FROM sure GROUP BY stratum)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept, v.stratum FROM v LEFT JOIN t ON t.stratum = v.stratum"""
+      told AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id), held AS MATERIALIZED (SELECT v.*, good FROM v JOIN told USING (doc_id) WHERE NOT base_failed),
+      cuts AS MATERIALIZED ({cut}), sure AS MATERIALIZED (SELECT * FROM cuts WHERE bad > 0 AND k < n * {p} AND {tail} <= {quality.part()}),
+      t AS (SELECT * FROM sure QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, k, step, path) = 1)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept, v.stratum, {cuts_of} FROM v LEFT JOIN t ON t.stratum = v.stratum"""
 
 
 _LINES = rf"""WITH l AS MATERIALIZED (SELECT doc_id, p, x[p + 1] AS line, len(regexp_extract_all(x[p + 1], {_WORD})) AS n FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) - 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),

@@ -1,10 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Word counts, symbol counts and repeats come from each whole text.  A cutoff of a rule is used in a stratum
-(language) only if the exact binomial bound on a labelled holdout certifies it: with k of n good documents beyond
-the cutoff, P(Binomial(n, risk) <= k) must not exceed delta divided by the number of tests (Bonferroni over strata,
-rules and cutoffs).  The risk of a stratum is shared out among the rules, so that the union of all rules rejects
-at most `risk` of its good documents, with probability 1 - delta over all strata at once.
+Word counts, symbol counts and repeats come from each whole text.  Cutoffs are used in a stratum (language) only if
+the exact binomial bound on a labelled holdout certifies them.  A setting is one cutoff or none for each rule, and
+what counts is the union of the rules: with k of n good documents rejected by the setting, P(Binomial(n, risk) <= k)
+must not exceed the setting's part of delta.  Settings lie on paths fixed beforehand: path p tightens rule p from its
+loosest cutoff to its strictest, then rule p + 1, and so on round.  Along a path the settings are nested, so they are
+tested as a fixed sequence, each at the path's full part, up to the first that fails; paths and strata share delta by
+Bonferroni.  So with probability 1 - delta no certified setting of any stratum rejects more than `risk` of its good
+documents, and any of them may be chosen: the one that rejects most labelled bad documents, then fewest good ones,
+then lies nearest the start of its path, so that no rule is tightened for nothing; then the first path.  Where none rejects a bad document, none is used.
 
 Defined results: null text counts as empty; an empty text has zero words and fails the base rule.  Labels that
 contradict each other count as good.  Null quality is no label.  Languages beyond the listed strata, and null, share
@@ -13,15 +17,17 @@ the stratum "other".  Repeated rows are judged alike; an empty table gives no ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from math import log, pi
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.sources.shared import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 STRATA = ("en", "de", "fr", "es")
-#: Share of good documents of a stratum that all rules together may reject, and the chance of breaking that.
+#: Share of good documents of a stratum that all rules together may reject, and the chance of breaking that anywhere.
 RISK, DELTA = 0.05, 0.05
-#: (name, share that is large in bad documents); each is rejected beyond a certified cutoff.
+#: (name, share that is large in bad documents); each is rejected beyond the cutoff of the chosen setting.
 RULES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "marks": "n_marks / greatest(word_chars, 1)",
@@ -82,12 +88,22 @@ def stratum(lang: Column, strata=STRATA) -> Column:
     return F.when(lang.isin(*strata), lang).otherwise("other")
 
 
+def log_factorial(m: Column) -> Column:
+    """ln(m!): exact up to 20, then by Stirling's series, whose first term left out is below 1e-12 there."""
+    x = m.cast("double")
+    series = (x + 0.5) * F.log(x) - x + F.lit(0.5 * log(2 * pi)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(m <= 20, F.log(F.factorial(F.least(m, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def at_most(n: Column, k: Column, p: float) -> Column:
-    """P(Binomial(n, p) <= k), summed exactly from the k-th term down; only right (and only used) where k < n * p."""
-    top = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.log((n - i + 1) / i))
-    top = top + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
+    """P(Binomial(n, p) <= k), summed from the k-th term down; only right (and only used) where k < n * p.
+
+    Terms fall faster than those of a normal tail, so 40 standard deviations below k they are below a double's last
+    place; the sum stops there, and one row holds at most 40 * sqrt(n * p) + 40 terms."""
+    top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
+    last = F.greatest(F.lit(1).cast("long"), k - F.ceil(40 * F.sqrt(n * F.lit(p))) - 40)
     down = F.aggregate(
-        F.when(k > 0, F.sequence(k, F.lit(1).cast("long"), F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")),
+        F.when(k > 0, F.sequence(k, last, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")),
         F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
         lambda a, i: F.struct(
             (a["sum"] + a["term"] * i / (n - i + 1) * F.lit((1 - p) / p)).alias("sum"),
@@ -97,26 +113,48 @@ def at_most(n: Column, k: Column, p: float) -> Column:
     return F.exp(top) * down
 
 
+def part(delta: float = DELTA, strata=STRATA) -> float:
+    """What each path of each stratum may spend of delta."""
+    return delta / ((len(strata) + 1) * len(RULES))
+
+
+def _turn(path: int, rule: int) -> int:
+    """How many settings of the path come before those that tighten the rule."""
+    return (rule - path) % len(RULES) * len(CUTOFFS)
+
+
+def rejected_at(path: int) -> Column:
+    """The first setting of the path that rejects a row; null if none does."""
+    def step(r: str) -> Column:
+        return sum((F.col(r) <= c).cast("int") for c in CUTOFFS)
+
+    return F.least(*[F.when(F.col(r) > min(CUTOFFS), F.lit(_turn(path, i)) + step(r)) for i, r in enumerate(RULES)])
+
+
 def thresholds(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, strata=STRATA) -> DataFrame:
-    """One row a stratum: its name, and for each rule the lowest certified cutoff (null: none).
+    """One row for each stratum with a chosen setting: its name and the cutoff of each rule (null: none).
 
     features: (doc_id, stratum, shares by rule name, base_failed); labels: (doc_id, quality).  At most one row for
     each listed stratum and one for "other", whatever the input."""
-    good = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = features.where("not base_failed").join(good, "doc_id", "left_semi")
-    tested = held.groupBy("stratum").agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)],
-    )
-    tests = (len(strata) + 1) * len(RULES) * len(CUTOFFS)
-    share = risk / len(RULES)
-    tests_of = F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k"))
-        for r in RULES for i, c in enumerate(CUTOFFS)
-    ])
-    rows = tested.select("stratum", "n", F.inline(tests_of))
-    sure = rows.where(F.col("k") < F.col("n") * share).where(at_most(F.col("n"), F.col("k"), share) <= delta / tests)
-    return sure.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    verdicts = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    held = features.where("not base_failed").join(verdicts, "doc_id")
+    paths = F.array(*[F.struct(F.lit(p).alias("path"), rejected_at(p).alias("step")) for p in range(len(RULES))])
+    counted = held.select("stratum", "good", F.inline(paths)).groupBy("stratum", "path", "step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    # at most one row for each step of each path of each stratum from here on
+    whole = Window.partitionBy("stratum", "path")
+    so_far = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    never = F.col("step").isNull()
+    settings = counted.select(
+        "stratum", "path", "step", F.sum("good").over(whole).alias("n"),
+        F.sum(F.when(never, 0).otherwise(F.col("good"))).over(so_far).alias("k"), F.sum(F.when(never, 0).otherwise(F.col("bad"))).over(so_far).alias("bad"),
+    ).where(~never)
+    sure = settings.where(F.col("k") < F.col("n") * risk).where(at_most(F.col("n"), F.col("k"), risk) <= part(delta, strata)).where("bad > 0")
+    best = F.struct(F.col("bad"), -F.col("k"), -F.col("step"), -F.col("path"))
+    chosen = sure.groupBy("stratum").agg(F.max_by(F.struct("path", "step"), best).alias("s")).select("stratum", "s.*")
+    # a rule has its loosest cutoff from its turn on, and its strictest from the next rule's turn on
+    loosest_first = F.array(*map(F.lit, sorted(CUTOFFS, reverse=True)))
+    past = [F.col("step") - F.pmod(F.lit(i) - F.col("path"), F.lit(len(RULES))) * len(CUTOFFS) for i in range(len(RULES))]
+    return chosen.select("stratum", *[F.when(x >= 0, F.get(loosest_first, F.least(x, F.lit(len(CUTOFFS) - 1)))).alias(f"cut_{r}") for r, x in zip(RULES, past)])
 
 
 def features(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -140,13 +178,15 @@ def beyond() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum) of each row."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum) of each row,
+    and the cutoff of each rule that holds in its stratum."""
     f = cut(features(docs))
     t = thresholds(f, labels, risk, delta)
     judged = f.join(F.broadcast(t), "stratum", "left")  # thresholds() bounds its rows
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~beyond()).alias("kept"), "stratum",
+        *[f"cut_{r}" for r in RULES],
     )
 
 
