@@ -12,7 +12,7 @@ SOME = ["stable_ids", "registry_edges", "registry_violations", "path_containment
         "change_touches", "related_edges", "related_unresolved", "merge_last_wins", "dup_counts", "dup_conflicts", "services", "sanitized_props", "locator_kinds", "components", "changes", "traceability", "traceability_missing",
         "registry_rules", "federation_counts", "node_records", "edge_records", "service_records", "derive_diagnostics_ordered", "validation_ordered",
         "extraction_counts", "tree_manifest", "tree_nodes", "tree_edges", "tree_evidence", "tree_in_order", "tree_locators", "layout_missing", "forbidden_nested", "sanitized_nested", "registry_readable",
-        "federation_ordered", "store_export", "store_match_named", "components_extended", "requirements_by_capability_and_change"]
+        "federation_ordered", "store_export", "store_match_named", "components_extended", "requirements_by_capability_and_change", "change_links"]
 
 
 def oracle(sql: str):

@@ -149,6 +149,9 @@ ORACLES = {
     "traceability": f"""{needs('nodes', 'edges', 'derived', 'evs', 'ch')}, o AS (SELECT id AS object_id FROM ch WHERE known),
       every AS (SELECT id, kind, source_id, target_id, eid FROM edges UNION ALL SELECT id, 'openspec-change-traces-to-spec', source_id, target_id, eid FROM derived)
       SELECT object_id, every.id AS edge_id, kind, source_id, target_id, CASE WHEN eid IN (SELECT id FROM evs) THEN eid ELSE '' END AS evidence FROM o JOIN every ON object_id = source_id OR object_id = target_id""",
+    "change_links": f"""{needs('nodes', 'edges', 'derived', 'ch')}, o AS (SELECT id AS object_id FROM ch),
+      every AS (SELECT id, kind, source_id, target_id FROM edges UNION ALL SELECT id, 'openspec-change-traces-to-spec', source_id, target_id FROM derived)
+      SELECT object_id, CASE WHEN object_id = source_id THEN target_id ELSE source_id END AS other_id, object_id = source_id AS out, every.id AS edge_id, kind FROM o JOIN every ON object_id = source_id OR object_id = target_id""",
     "traceability_missing": f"{needs('ch')} SELECT id AS object_id, true AS missing FROM ch WHERE NOT known",
     "sanitized_props": """SELECT p_partkey AS id, '/brand' AS path, '"' || p_brand || '"' AS value FROM part UNION ALL SELECT p_partkey, '/tokens_used', CAST(p_size AS VARCHAR) FROM part
       UNION ALL SELECT p_partkey, '/nested/note/[0]', '"' || p_name || '"' FROM part WHERE p_size % 3 = 2""",

@@ -12,7 +12,7 @@ from tracelake.functions.props import NOT_SHOWN, NOT_STORED, has_any, json_text,
 from tracelake.operators import ask, components as comp, derive, merge, reach, validate
 from tracelake.plans import fixture_graph as fg
 from tracelake.schema import CHANGE_HAS_ARTIFACT, CHANGE_TOUCHES_SPEC, CHANGE_TRACES_TO_SPEC, Graph
-from tracelake.sources import registry, specs, store
+from tracelake.sources import adjacency, registry, specs, store
 from tracelake.sources.shared import cut, shared_dir
 from tracelake.sources.tables import table
 
@@ -288,6 +288,12 @@ def traceability(spark, d):
     return t.select("object_id", "edge_id", "kind", "source_id", "target_id", F.coalesce(F.array_join(F.transform("locators", lambda x: x["evidence_id"]), "|"), F.lit("")).alias("evidence"))
 
 
+def change_links(spark, d):
+    """Links of all changes in both directions, from edges stored by their ends."""
+    index = adjacency.write(full(spark, d).edges, f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}")
+    return index.links(_asked(spark, d)).select("object_id", "other_id", "out", "edge_id", "kind")
+
+
 def traceability_missing(spark, d):
     return ask.traceability(full(spark, d), _asked(spark, d)).where("missing").select("object_id", "missing")
 
@@ -386,4 +392,5 @@ QUERIES = {f.__name__: f for f in (
     requirements_by_change, requirements_by_evidence, services, changes, traceability, traceability_missing, sanitized_props, forbidden_props, locator_kinds, store_roundtrip, build_job,
     registry_rules, federation_counts, node_records, edge_records, service_records, derive_diagnostics_ordered, validation_ordered,
     components_extended, requirements_by_capability_and_change, store_export, store_match_named, federation_ordered,
+    change_links,
 )}
