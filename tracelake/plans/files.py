@@ -19,10 +19,12 @@ from tracelake.functions.text import ARTIFACTS
 from tracelake.operators import ask
 from tracelake.plans.sql import IDENT, REQ_ID, REQ_IDENT, SCE_ID, SCE_IDENT, SPEC_ID, edge, evidence, sid
 from tracelake.sources import registry, specs, store
-from tracelake.sources.shared import cut, shared_dir
+from tracelake.sources.shared import cut, dealt, shared_dir
 from tracelake.sources.tables import table
 
 RANGE = 1000
+#: Files that one task writes, and texts that one task parses.
+FILES_A_TASK, TEXTS_A_TASK = 5_000, 20_000
 
 
 def _folder(n: Column) -> Column:
@@ -74,18 +76,20 @@ def written(spark: SparkSession, d: str) -> str:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, top = fs.FileSystem.from_uri(root)
-        n = 0
+        n, made = 0, None
         for batch in batches:
             for path, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 folder = path if value is None else path.rsplit("/", 1)[0]
-                target.create_dir(f"{top}/{folder}", recursive=True)
+                if folder != made:
+                    target.create_dir(f"{top}/{folder}", recursive=True)
+                    made = folder
                 if value is not None:
                     with target.open_output_stream(f"{top}/{path}") as f:
                         f.write(value.encode())
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    entries(spark, d).select("path", "value").mapInArrow(of, "n long").agg(F.sum("n")).collect()
+    dealt(cut(entries(spark, d).select("path", "value")), FILES_A_TASK).mapInArrow(of, "n long").agg(F.sum("n")).collect()
     return root
 
 
@@ -165,7 +169,8 @@ def nested_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nested(spark, d):
-    return specs.spec_facts(specs.parsed(specs.placed(nested_texts(spark, d))))
+    """Each text is parsed once, by many tasks: the table that they are made from is small."""
+    return specs.spec_facts(cut(specs.parsed(specs.placed(dealt(nested_texts(spark, d), TEXTS_A_TASK))).drop("body")))
 
 
 def forbidden_nested(spark, d):
