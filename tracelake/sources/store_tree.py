@@ -22,6 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tracelake.sources.shared import cut
+
 SCHEMA = "path string, is_dir boolean, bytes long, content binary"
 #: Folders that the driver lists down to, unless the option `folders` says otherwise; and bytes of a batch of rows.
 FOLDERS, BATCH_BYTES = 64, 8 << 20
@@ -74,32 +76,37 @@ class TreeReader(DataSourceReader):
     def read(self, partition: Folders | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark reads where there are none
             return
-        store, top = opened(self.root)
-        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.binary()]
-        rows: list[tuple] = []
-        size = 0
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "is_dir", "bytes", "content"])
-
-        todo = list(partition.paths)
-        while todo:
-            for info in children(store, todo.pop()):
-                folder = info.type == fs.FileType.Directory
-                if folder and partition.whole:
-                    todo.append(info.path)
-                content = None
-                if not folder and info.base_name == self.content:
-                    with store.open_input_file(info.path) as f:
-                        content = f.read()
-                rows.append((info.path[len(top) :].lstrip("/"), folder, None if folder else info.size, content))
-                size += 200 + len(content or b"")
-                if size > BATCH_BYTES:
-                    yield batch()
-                    size = 0
-        yield batch()
+        yield from listed(self.root, partition.paths, partition.whole, self.content)
+
+
+def listed(root: str, folders: list[str], whole: bool, content: str | None) -> Iterator[pa.RecordBatch]:
+    """SCHEMA of what lies in the folders, and below them if `whole`."""
+    store, top = opened(root)
+    kinds = [pa.string(), pa.bool_(), pa.int64(), pa.binary()]
+    rows: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "is_dir", "bytes", "content"])
+
+    todo = list(folders)
+    while todo:
+        for info in children(store, todo.pop()):
+            folder = info.type == fs.FileType.Directory
+            if folder and whole:
+                todo.append(info.path)
+            value = None
+            if not folder and info.base_name == content:
+                with store.open_input_file(info.path) as f:
+                    value = f.read()
+            rows.append((info.path[len(top) :].lstrip("/"), folder, None if folder else info.size, value))
+            size += 200 + len(value or b"")
+            if size > BATCH_BYTES:
+                yield batch()
+                size = 0
+    yield batch()
 
 
 def tree(spark: SparkSession, root: str, content: str | None = None, folders: int = FOLDERS) -> DataFrame:
@@ -107,3 +114,28 @@ def tree(spark: SparkSession, root: str, content: str | None = None, folders: in
     spark.dataSource.register(StoreTree)
     of = spark.read.format("store_tree").option("path", root).option("folders", str(folders))
     return (of.option("content", content) if content else of).load()
+
+
+def by_level(spark: SparkSession, root: str, content: str | None = None, each: int = 500, levels: int = 16) -> DataFrame:
+    """SCHEMA of all below root, written: each level of folders is listed by tasks of about `each` folders, so that neither the
+    driver nor the task of one wide folder goes through all that lies below.  What is deeper than `levels` is walked whole."""
+    store, top = opened(root)
+    if store.get_file_info(top).type != fs.FileType.Directory:
+        return spark.createDataFrame([], SCHEMA)
+
+    def below(whole: bool):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from listed(root, [f"{top.rstrip('/')}/{p}".rstrip("/") or "/" for p in batch.column(0).to_pylist()], whole, content)
+
+        return of
+
+    folders, out = spark.createDataFrame([("",)], "path string"), None
+    for level in range(levels + 1):
+        rows = cut(folders.mapInArrow(below(level == levels), SCHEMA))
+        out = rows if out is None else out.unionByName(rows)
+        folders = rows.where("is_dir").select("path")
+        if level == levels or (n := folders.count()) == 0:
+            break
+        folders = folders.repartition(-(-n // each))
+    return out
