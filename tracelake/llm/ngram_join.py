@@ -42,6 +42,8 @@ PERCENT = 75
 SHORT = LONG = 8
 #: Keys that one task gathers, and the share of spare keys.
 TASK_KEYS, SPARE = 3_000_000, 0.12
+#: Texts whose keys a task holds and packs at once.
+TEXTS = 2_500
 
 _U = np.uint64
 
@@ -167,7 +169,7 @@ def met(docs: DataFrame, n_keys: int, text: str = "text") -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
             data, ends = utf8(batch.column(0))
             nodes, got = [], []
             for x in sets(data, ends):
