@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import ngram_join
-from tracelake.operators import ask, merge
+from tracelake.operators import ask, merge, reach
 from tracelake.operators.components import connected_components
-from tracelake.plans import files, fixture_graph as fg
-from tracelake.schema import CHANGES, SPEC
+from tracelake.plans import files, fixture_graph as fg, queries
+from tracelake.schema import CHANGES, SPEC, Graph
 from tracelake.sources import store_tree
-from tracelake.sources.shared import cut
+from tracelake.sources.shared import cut, shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +59,36 @@ def test_components_of_stable_ids_and_others(spark, ids):
     assert {(r.v, r.component) for r in connected_components(edges).collect()} == {(v, min(ids[:3])) for v in ids[:3]}
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files_of = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    old = files_of()
+    written = cut(spark.range(5_000).groupBy(F.col("id") % 1_000).count())
+    assert not files_of() - old and written.count() == 1_000
+
+
+def test_components_leave_one_table(spark):
+    edges = spark.range(3_000).select(F.format_string("node:%016x", "id").alias("a"), F.format_string("node:%016x", F.floor(F.col("id") / 2)).alias("b"))
+    tables = lambda: {f for f in os.listdir(shared_dir(spark)) if f.startswith("cut-")}
+    old = tables()
+    assert {r.component for r in connected_components(edges).collect()} == {"node:" + 16 * "0"} and len(tables() - old) == 1
+
+
+def test_reach_of_seeds_without_an_edge(spark):
+    nodes = spark.createDataFrame([(i, "k") for i in ("node:00000000000000ff", "node:8000000000000000", "node:0000000000000001", "x", "y")], "id string, kind string")
+    edges = spark.createDataFrame([("node:00000000000000ff", "node:8000000000000000")], "source_id string, target_id string")
+    seeds = spark.createDataFrame([("node:8000000000000000",), ("node:0000000000000001",), ("x",), (None,)], "id string")
+    g = Graph(nodes, edges, nodes.limit(0))
+    want = ["node:0000000000000001", "node:00000000000000ff", "node:8000000000000000", "x"]
+    for rounds in (0, 5):
+        assert sorted(r.id for r in reach.within_reach(nodes, g, seeds, rounds).collect()) == want
+
+
+def test_ends_are_those_of_all_edges(spark):
+    pair = lambda g: {tuple(r) for r in g.edges.select("kind", "source_id", "target_id").collect()}
+    assert pair(queries.ends(spark, SF)) == pair(queries.full(spark, SF, evidence=False))
+
+
 def test_touching_holds_all_that_touch_edges_meet(spark):
     g, small = fg.graph(spark, SF), fg.touching(spark, SF)
     want = {r.id for r in g.nodes.where(F.col("kind").isin(SPEC, *CHANGES)).select("id").collect()}
