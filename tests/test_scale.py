@@ -89,6 +89,15 @@ def test_ends_are_those_of_all_edges(spark):
     assert pair(queries.ends(spark, SF)) == pair(queries.full(spark, SF, evidence=False))
 
 
+def test_tasks_of_order_joins_grow_with_the_lines(spark, monkeypatch):
+    want = sorted(map(tuple, fg.order_capabilities(spark, SF, fg.ordered_parts(spark, SF)).collect()))
+    monkeypatch.setattr(fg, "LINES_A_TASK", 100)
+    monkeypatch.setattr(fg, "FEW_PARTS", 10)
+    got = fg.order_capabilities(spark, SF, fg.ordered_parts(spark, SF))
+    assert sorted(map(tuple, got.collect())) == want
+    assert got.groupBy(F.spark_partition_id()).count().count() > 8
+
+
 def test_touching_holds_all_that_touch_edges_meet(spark):
     g, small = fg.graph(spark, SF), fg.touching(spark, SF)
     want = {r.id for r in g.nodes.where(F.col("kind").isin(SPEC, *CHANGES)).select("id").collect()}
