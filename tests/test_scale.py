@@ -1,6 +1,7 @@
 """What steps move and how they share out their work, beside their results."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tracelake.operators import ask, merge, reach
 from tracelake.operators.components import connected_components
 from tracelake.plans import files, fixture_graph as fg, queries
 from tracelake.schema import CHANGES, SPEC, Graph
-from tracelake.sources import store_tree
+from tracelake.sources import adjacency, store_tree
 from tracelake.sources.shared import cut, shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -98,6 +99,18 @@ def test_tasks_of_order_joins_grow_with_the_lines(spark, monkeypatch):
     assert got.groupBy(F.spark_partition_id()).count().count() > 8
 
 
+def test_an_index_of_changes_moves_no_other_edge(spark):
+    few = queries.full(spark, SF, evidence=False, of_changes=True).edges
+    every = queries.full(spark, SF, evidence=False).edges.where(F.col("kind").isin(*queries._OF_CHANGES))
+    row = lambda df: sorted(map(tuple, df.select("id", "kind", "source_id", "target_id").collect()))
+    assert row(few) == row(every)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files_of = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    old = files_of()
+    adjacency.detach(adjacency.write(few, f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"))
+    assert not files_of() - old
+
+
 def test_touching_holds_all_that_touch_edges_meet(spark):
     g, small = fg.graph(spark, SF), fg.touching(spark, SF)
     want = {r.id for r in g.nodes.where(F.col("kind").isin(SPEC, *CHANGES)).select("id").collect()}
