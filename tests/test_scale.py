@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import ngram_join
-from tracelake.operators import ask, merge, reach
+from tracelake.operators import ask, merge, reach, validate
+from tracelake.functions.ids import code
 from tracelake.operators.components import connected_components
 from tracelake.plans import files, fixture_graph as fg, queries
 from tracelake.schema import CHANGES, SPEC, Graph
@@ -111,6 +112,31 @@ def test_an_index_of_changes_moves_no_other_edge(spark):
     assert not files_of() - old
 
 
+def test_without_target_moves_codes(spark):
+    ids = spark.range(20_000).select(F.concat(F.lit("node:"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).alias("id"))
+    refs = ids.withColumnRenamed("id", "key")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, n = shuffled(spark, lambda: merge.without_target(refs, "key", ids).count())
+        _, m = shuffled(spark, lambda: cut(refs.distinct().join(ids.withColumnRenamed("id", "key"), "key", "left_anti")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == 0 and n < 0.8 * m
+    texts = ["", "a", "0123456789abcdef", "node:0123456789abcdef", "node:0123456789ABCDEF", "node:0123456789abcdef\n", "\u00e9:0123456789abcdef", "nod:e0123456789abcdef", "\x010123456789abcdef"]
+    df = spark.createDataFrame([(t,) for t in texts], "id string")
+    assert df.select(code(F.col("id"))).distinct().count() == len(texts)
+
+
+def test_trace_shape_of_single_ids_finds_the_same(spark):
+    g = queries.full(spark, SF, evidence=False)
+    wrong = g.edges.withColumn("kind", F.when(F.col("kind").isin("openspec-change-touches-spec", "owns"), "openspec-change-traces-to-spec").otherwise(F.col("kind")))
+    bad = Graph(g.nodes, wrong, g.evidence).map(cut)
+    row = lambda df: sorted(map(tuple, df.collect()))
+    want = row(validate.trace_shape(bad))
+    assert want and row(validate._trace_shape_single(bad)) == want
+
+
 def test_touching_holds_all_that_touch_edges_meet(spark):
     g, small = fg.graph(spark, SF), fg.touching(spark, SF)
     want = {r.id for r in g.nodes.where(F.col("kind").isin(SPEC, *CHANGES)).select("id").collect()}
