@@ -169,3 +169,20 @@ def test_op3_packs_few_texts_at_once(spark, monkeypatch):
     want = sorted(map(tuple, ngram_join.jaccard_components(docs).collect()))
     monkeypatch.setattr(ngram_join, "TEXTS", 7)
     assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == want
+
+
+def test_edges_are_numbered_by_their_ids_unwritten(spark):
+    n = F.col("id")
+    text = lambda kind, x=n: F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(x.cast("string"), 256), 1, 16))
+    d = spark.range(20_000).select(
+        text("edge", n % 19_990).alias("edge_id"), F.when(n % 5 == 0, "b").otherwise("a").alias("kind"), F.when(n % 7 == 0, "no id").when(n % 7 > 1, text("node")).alias("source_id"), text("node", n % 100).alias("target_id"),
+        F.when(n % 3 > 0, text("evidence")).otherwise("").alias("evidence"), F.when(n % 4 > 0, text("evidence")).otherwise("").alias("known_evidence"))
+    number = lambda of: ask.numbered_by_id(of, ask.EDGE_ORDER, {"edge_id": "edge:", "source_id": "node:", "target_id": "node:", "evidence": "evidence:"}, {"known_evidence": "evidence"})
+    old = set(os.listdir(shared_dir(spark)))
+    got, moved = shuffled(spark, lambda: number(d).collect())
+    assert set(os.listdir(shared_dir(spark))) == old  # what numbered() writes is as long as the rows
+    want, whole = shuffled(spark, lambda: ask.numbered(ask.in_edge_order(d)).orderBy("position").collect())
+    assert got == want and moved < 0.6 * whole
+    assert number(d.limit(0)).collect() == []
+    other = d.withColumn("edge_id", F.when(F.col("kind") == "b", F.concat(F.lit("x"), "target_id", F.col("evidence"))).otherwise(F.col("edge_id"))).distinct()
+    assert sorted(number(other).collect(), key=lambda r: r.position) == ask.numbered(ask.in_edge_order(other)).orderBy("position").collect()
