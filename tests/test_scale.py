@@ -186,3 +186,17 @@ def test_edges_are_numbered_by_their_ids_unwritten(spark):
     assert number(d.limit(0)).collect() == []
     other = d.withColumn("edge_id", F.when(F.col("kind") == "b", F.concat(F.lit("x"), "target_id", F.col("evidence"))).otherwise(F.col("edge_id"))).distinct()
     assert sorted(number(other).collect(), key=lambda r: r.position) == ask.numbered(ask.in_edge_order(other)).orderBy("position").collect()
+
+
+def test_op3_hands_python_small_batches(spark, monkeypatch):
+    def checked(batches):
+        for b in batches:
+            assert len(b) <= 1000
+            yield b
+
+    made, name = ngram_join.digests, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(ngram_join, "digests", lambda d: made(d.mapInArrow(checked, d.schema)))
+    docs = spark.range(3_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("one word more than "), (F.col("id") % 1_000).cast("string")).alias("text"))
+    old = spark.conf.get(name)
+    got = ngram_join.jaccard_components(docs).groupBy("component_id").count().collect()
+    assert len(got) == 1_000 and {r["count"] for r in got} == {3} and spark.conf.get(name) == old

@@ -29,13 +29,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracelake.llm.links import link, link_lists, small
 from tracelake.llm.shingles import mix, sets, utf8
-from tracelake.sources.shared import cut
+from tracelake.sources.shared import cut, small_batches
 
 PERCENT = 75
 #: Lists up to SHORT give all pairs at once; those beyond LONG (not below SHORT) count as lost keys.
@@ -276,9 +275,9 @@ def _rows(kind: int, key: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.nda
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of nodes that may be similar, as pairs of their least documents."""
 
-    @F.pandas_udf("boolean")
-    def may(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([may_link(*r) for r in zip(x, y, n, m, strict=True)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def may(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([may_link(*r) for r in zip(*(c.to_pylist() for c in (x, y, n, m)), strict=True)], pa.bool_())
 
     for end in ("a", "b"):
         of = classes.select(F.col("node").alias(end), F.col("rep").alias(f"rep_{end}"), F.col("n_shingles").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
@@ -287,10 +286,8 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of each row: the least document reachable by links, and the least
-    one with an equal set."""
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """digests() of rows, and (digest, class_id, component_id) of their different sets, both written."""
     d = cut(digests(rows))
     classes = cut(d.where("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"),
@@ -299,8 +296,16 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     texts = rows.select(F.col("doc_id").alias("node"), "text")
     links, found = link(_possible(out.where("kind = 0").select("a", "b"), classes), texts, PERCENT)
     found = link_lists(_hidden(out, classes), texts, PERCENT, links, found)[1]
-    whole = classes.join(found, classes.rep == found.v, "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    told = d.select("doc_id", "n_shingles", "digest").join(cut(whole), "digest", "left")
+    return d, cut(classes.join(found, classes.rep == found.v, "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) of each row: the least document reachable by links, and the least
+    one with an equal set."""
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):  # all work in Python is done and written within
+        d, whole = _classes(rows)
+    told = d.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     known = F.col("doc_id").isNotNull()
     return told.select("doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"))
 
