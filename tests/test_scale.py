@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import ngram_join
-from tracelake.operators import ask, merge, reach, validate
+from tracelake.operators import ask, derive, merge, reach, validate
 from tracelake.functions.ids import code
 from tracelake.operators.components import connected_components
 from tracelake.plans import files, fixture_graph as fg, queries
@@ -200,3 +200,25 @@ def test_op3_hands_python_small_batches(spark, monkeypatch):
     old = spark.conf.get(name)
     got = ngram_join.jaccard_components(docs).groupBy("component_id").count().collect()
     assert len(got) == 1_000 and {r["count"] for r in got} == {3} and spark.conf.get(name) == old
+
+
+def test_touched_capabilities_are_those_of_orders(spark, tmp_path):
+    want = fg.order_capabilities(spark, SF, fg.ordered_parts(spark, SF))
+    assert sorted(map(str, fg.touched_capabilities(spark, SF).collect())) == sorted(map(str, want.collect()))
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "P", "x"), (1, "O", "x"), (2, "F", None), (3, "F", None), (4, "F", "y")], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(o, p) for o in (1, 2, 3, 4, 5, None) for p in (1, 2, 2, 9)], "l_orderkey long, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(1, "a", "B#1", 1), (2, "b", "B#1", 50)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{d}/part.parquet")
+    want = fg.order_capabilities(spark, d, fg.ordered_parts(spark, d))
+    assert sorted(map(str, fg.touched_capabilities(spark, d).collect())) == sorted(map(str, want.collect())) and want.count() == 6
+
+
+def test_derive_diagnostics_are_not_written(spark):
+    g = fg.touching(spark, SF)
+    g = Graph(g.nodes.unionByName(g.nodes.where("id like '%7'")), g.edges.unionByName(g.edges.where("id like '%3'")), g.evidence)  # repeated records count as they did
+    old = set(os.listdir(shared_dir(spark)))
+    got = sorted(map(tuple, derive.diagnostics(g).collect()))
+    assert set(os.listdir(shared_dir(spark))) == old
+    assert got == sorted(map(tuple, derive.run(g).diagnostics.collect())) and {r[0] for r in got} == {"info", "warning"}
+    ends = g.nodes.where(F.col("kind").isin(*CHANGES)), g.nodes.where(F.col("kind") == SPEC)
+    assert sorted(map(tuple, derive.diagnostics(g, *ends).collect())) == got
