@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tracelake.functions.ids import clean, clean_parts, code, stable_id
+from tracelake.functions.ids import clean, clean_parts, code, decoded, stable_id
 from tracelake.operators import validate
-from tracelake.plans import fixture_graph as fg
-from tracelake.schema import Graph
+from tracelake.plans import fixture_graph as fg, queries
+from tracelake.schema import CHANGE_TRACES_TO_SPEC, Graph
 from tracelake.sources import specs
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,17 @@ def test_every_reference_and_end_is_looked_up(spark):
     found = validate.missing_ends(Graph(there, ends, there))
     assert sorted((r.rule_id, r.affected_object_id) for r in found.collect()) == [
         ("edge-source-exists", "e3"), ("edge-source-exists", "e7"), ("edge-target-exists", "e3"), ("edge-target-exists", "e5"), ("edge-target-exists", "e7")]
+
+
+def test_codes_lead_back_to_their_texts(spark):
+    digits = "0123456789abcdef"
+    texts = ["", digits, "node:" + digits, "node:" + digits.upper(), "node:" + digits + "\n", "\x01", "é" + digits, "ж", "a\x00", digits + "\x01"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~decoded(code(F.col("t"))).eqNullSafe(F.col("t"))).isEmpty()
+
+
+def test_derived_edges_carry_properties_only_where_they_are_shown(spark):
+    bare, shown = queries.full(spark, SF, evidence=False), queries.full(spark, SF, evidence=False, shown=True)
+    of = F.col("kind") == CHANGE_TRACES_TO_SPEC
+    assert bare.edges.where(of & (F.size("props") > 0)).isEmpty() and shown.edges.where(of & (F.size("props") != 6)).isEmpty()
+    assert sorted(r.id for r in bare.edges.where(of).select("id").collect()) == sorted(r.id for r in shown.edges.where(of).select("id").collect())
