@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tracelake.functions.ids import clean, clean_parts, code, decoded, stable_id
-from tracelake.operators import validate
+from tracelake.operators import derive, validate
 from tracelake.plans import fixture_graph as fg, queries
+from tracelake.plans.job import build
 from tracelake.schema import CHANGE_TRACES_TO_SPEC, Graph
 from tracelake.sources import specs
 
@@ -62,3 +63,14 @@ def test_derived_edges_carry_properties_only_where_they_are_shown(spark):
     of = F.col("kind") == CHANGE_TRACES_TO_SPEC
     assert bare.edges.where(of & (F.size("props") > 0)).isEmpty() and shown.edges.where(of & (F.size("props") != 6)).isEmpty()
     assert sorted(r.id for r in bare.edges.where(of).select("id").collect()) == sorted(r.id for r in shown.edges.where(of).select("id").collect())
+
+
+def test_a_built_graph_reads_the_records_of_the_store(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    facts = fg.graph(spark, "/root/testdata/sf0.001", made=specs.MADE)
+    done = build(facts, folder, check=False, written=True)
+    for df in (done.graph.nodes, done.graph.evidence, done.stored.edges):
+        assert all(folder in f for f in df.inputFiles())
+    assert done.graph.edges.count() == done.stored.edges.count() + derive.derived_edges(done.stored).select("id").distinct().count()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(done.diagnostics) == rows(validate.diagnostics(done.graph))
