@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from tracelake.functions.ids import clean, clean_parts, code, decoded, stable_id
-from tracelake.operators import derive, validate
+from tracelake.operators import ask, derive, reach, validate
 from tracelake.plans import fixture_graph as fg, queries
 from tracelake.plans.job import build
-from tracelake.schema import CHANGE_TRACES_TO_SPEC, Graph
+from tracelake.schema import CHANGE_TRACES_TO_SPEC, CHANGES, Graph
 from tracelake.sources import specs
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,14 @@ def test_a_built_graph_reads_the_records_of_the_store(spark, tmp_path):
     assert done.graph.edges.count() == done.stored.edges.count() + derive.derived_edges(done.stored).select("id").distinct().count()
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(done.diagnostics) == rows(validate.diagnostics(done.graph))
+
+
+def test_two_filters_share_their_labels(spark, monkeypatch):
+    node = lambda id, kind, name, capability=None: (id, kind, name, capability)
+    nodes = spark.createDataFrame([node("c", CHANGES[0], "C"), node("s", "openspec-spec", "s", "cap"), node("r", "openspec-requirement", "r"), node("q", "openspec-requirement", "q", "cap")], "id string, kind string, name string, capability string")
+    edges = spark.createDataFrame([("k", "c", "s"), ("k", "s", "r")], "kind string, source_id string, target_id string")
+    calls, label = [], reach.contracted
+    monkeypatch.setattr(reach, "FEW_SEEDS", 0)
+    monkeypatch.setattr(reach, "contracted", lambda *a: calls.append(a) or label(*a))
+    got = ask.requirements(Graph(nodes, edges, nodes.limit(0)), capability="cap", change="C", merged=True, shown=False)
+    assert [r.id for r in got.collect()] == ["r"] and len(calls) == 1
